@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import decontaminate, packing, quality
+from rankloom.llm import decontaminate, nearjoin, packing, pii, quality
 from rankloom.llm.common import new_path, table
 from rankloom.llm.queries import tokenizer_path
 
@@ -15,15 +15,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, keep_from=quality.THRESHOLD)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts linked by near similarity, the document with the smallest id."""
+    return nearjoin.deduplicate(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.judge(docs, table(spark, sf_dir, "benchmark"), keep=True)
 
 
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("quality", keep_quality), ("decontaminate", drop_contaminated), ("pack", pack)]
+STAGES = [("quality", keep_quality), ("near_copies", drop_near_copies), ("decontaminate", drop_contaminated), ("personal_data", hide_personal_data), ("pack", pack)]
 #: Trees fitted by boosting, iterative pattern scores and packing have no SQL form; tests hold stages against brute force.
 ORACLE_SQL = None
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, sharding, warc
+from . import covertree, decontaminate, licenses, nearjoin, packing, pii, quality, sharding, warc
 from .common import WORD, table
 
 
@@ -15,6 +17,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.classes(table(spark, sf_dir, "documents"))
+
+
+def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -24,6 +38,10 @@ def op5_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
@@ -42,6 +60,24 @@ def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
+_NOTICES = [(label, licenses.tokens_of(t)) for label, texts in licenses.TEMPLATES.items() for t in texts]
+_NOTICE_ROWS = ", ".join(f"({k}, '{label}', {ts!r}, {math.ceil(licenses.THRESHOLD * len(ts) - 1e-9)})" for k, (label, ts) in enumerate(_NOTICES))
+_STARTS = {p: " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p in licenses.PHRASES}
+OP2_SQL = f"""
+with t(k, label, ts, need) as (values {_NOTICE_ROWS}),
+d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from documents),
+w as (select r, doc_id, regexp_extract_all(low, '{WORD}') w from d),
+p as (select r, i - 1 i, case {" ".join(f"when {c} then '{licenses.PHRASES[x]}'" for x, c in _STARTS.items())} end label
+      from (select r, w, unnest(range(1, len(w) + 1)) i from w) where {" or ".join(f"({c})" for c in _STARTS.values())}),
+b as (select r, count(*) n, min(i) a, max(i) z, list(distinct label) labels from p group by r),
+l as (select distinct r, list_distinct(regexp_extract_all(line, '{WORD}')) ts from (select r, unnest(string_split(low, chr(10))) line from d)),
+m as (select r, label, max(len(list_intersect(l.ts, t.ts)) / len(t.ts)) best from l, t where len(l.ts) >= need and len(list_intersect(l.ts, t.ts)) >= need group by r, label),
+g as (select r, list(label) labels, max(best) best from m group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_base, cast(a as bigint) first_word, cast(z as bigint) last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(g.labels, [])))), ',') labels,
+       case when n > 0 then 1.0 else coalesce(best, 0.0) end::double score
+from w left join b using (r) left join g using (r)"""
+
 OP8_SQL = f"""
 with d as (select row_number() over () r, doc_id, {WORDS_SQL} w from documents),
 b as (select item_id, {WORDS_SQL} w from benchmark where item_id is not null),
@@ -66,8 +102,8 @@ select page_id, n payload_bytes, d payload_digest, case when first < page_id the
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_hash_ring, op5_differencing, op7_boosted_trees, op8_wu_manber, op9_chunked_warc)}
+    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL}
+    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL}
