@@ -4,9 +4,11 @@ Writing turns each page into rows of (record, chunk): the payload is cut into ch
 and each becomes a WARC record segment (WARC-Segment-Number, continuation records), so that no record of an archive
 holds more than one chunk of payload. A chunk also ends inside whatever would look like the start of a record, so
 that segments can be told apart by a fixed separator. Spark's text sink writes the archives, with its own commit
-protocol, to any file system that Spark knows; a task that is lost and runs again leaves no half files.
+protocol, to any file system that Spark knows, compressed by file; a task that is lost and runs again leaves no half
+files.
 
-Reading splits the archives at the separator into one row for each segment, in parallel inside large files too.
+Reading splits the archives at the separator into one row for each segment, an archive (a writing task's share) at a
+time.
 Segments of records of several chunks are sorted by record and chunk number, and a digest is carried from chunk to
 chunk; no record is put together in memory. Records of one segment need no shuffle.
 
@@ -110,7 +112,7 @@ def write(decided: DataFrame, path: str, chunk: int = CHUNK) -> str:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    decided.mapInArrow(rows, "value string").write.option("lineSep", "\n").text(path)
+    decided.mapInArrow(rows, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
     return path
 
 
