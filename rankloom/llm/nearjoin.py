@@ -32,7 +32,7 @@ from .textcodes import Texts, mix, runs_of_words, slices, words
 
 NGRAM, SIMILARITY = 5, 0.8
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
-BLOCK = 128
+BLOCK = 384
 
 
 def depth_for(similarity: float, trees: int, deepest: int, recall: float) -> int:
