@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, licenses, nearjoin, packing, pii, quality, sharding, warc
+from . import covertree, decontaminate, licenses, nearjoin, packing, pii, quality, repeats, sharding, warc
 from .common import WORD, table
 
 
@@ -58,6 +58,10 @@ def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
 _NOTICES = [(label, licenses.tokens_of(t)) for label, texts in licenses.TEMPLATES.items() for t in texts]
@@ -101,9 +105,23 @@ f as (select *, min(page_id) over (partition by d, n) first from c)
 select page_id, n payload_bytes, d payload_digest, case when first < page_id then 'revisit' else 'response' end record_type, case when first < page_id then first end refers_to from f"""
 
 
+OP10_SQL = """
+with d as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+p as (select r, doc_id, i, substr(h, 2 * i - 1, 100) g from (select r, doc_id, h, unnest(range(1, length(h) // 2 - 48)) i from d where length(h) >= 100)),
+f as (select g, min(doc_id) m from p group by g),
+x as (select r, i, lag(i) over (partition by r order by i) b from p join f using (g) where m < doc_id),
+k as (select r, i, sum(case when b is null or i > b + 50 then 1 else 0 end) over (partition by r order by i) k from x),
+s as (select r, min(i) a, max(i) + 49 z from k group by r, k),
+o as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) b from s),
+q as (select r, count(*) n, sum(z - a + 1) c, max(z) z, string_agg(substr(h, 2 * b + 1, 2 * (a - b - 1)), '' order by a) t from o join d using (r) group by r)
+select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(c, 0) as bigint) n_removed, cast(coalesce(n, 0) as bigint) n_spans,
+       sha256(unhex(case when n is null then h else t || substr(h, 2 * z + 1) end)) kept_sha256
+from d left join q using (r)"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc)}
+    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL}
+    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL, "op10_linear_grouping": OP10_SQL}
