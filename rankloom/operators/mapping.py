@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
 from ..functions.sequences import IUPAC, iupac_compatible, normalize_sequence, reverse_complement, ungap
 
 MOST = 1024
@@ -94,7 +95,7 @@ def decide(rolled: DataFrame) -> DataFrame:
 def all_hits(targets: DataFrame, templates: DataFrame, most: int = MOST) -> DataFrame:
     windows = template_windows(templates, targets.select(F.length("target").alias("k")).where("k > 0").distinct())
     queries = orientations(targets.where("target <> ''"))
-    exact = exact_hits(queries, windows)
+    exact = cut(exact_hits(queries, windows))
     return exact.unionByName(iupac_hits(queries, windows, exact, most))
 
 

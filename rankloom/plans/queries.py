@@ -304,7 +304,8 @@ def _rows(spark, d, with_mapping=True):
     p = p.withColumns({"aligned_difference_count": made["aligned_difference_count"], "gap_count": made["gap_count_target"] + made["gap_count_guide"], "label": F.col("label_normalized")})
     p = history.classes(p.withColumn("target", F.col("target_ungapped")))
     fold = (F.conv(F.substr(F.md5(F.concat("crRNA_sequence", F.lit("|f"))), F.lit(1), F.lit(6)), 16, 10).cast("long") % 5).cast("int")
-    return p.withColumn("fold", fold).drop("target_ungapped", "events")
+    out = p.withColumn("fold", fold).drop("target_ungapped", "events")
+    return cut(out) if with_mapping else out  # the mapping job runs once, whatever is made of it
 
 
 def _train(rows):
@@ -388,7 +389,7 @@ def support_counts(spark, d):
 
 @query
 def reference_diagnostics(spark, d):
-    rows = cut(_rows(spark, d))
+    rows = _rows(spark, d)
     train = _train(rows)
     out = history.reference_diagnostics(rows.where("baseline_split <> 'baseline_train'"), history.guide_history(train), history.mapping_history(train))
     return out.select("record_id", "guide_seen", "guide_reference_count", "template_key_seen", "template_reference_count")
@@ -396,14 +397,14 @@ def reference_diagnostics(spark, d):
 
 @query
 def support_summary(spark, d):
-    rows = cut(_rows(spark, d))
+    rows = _rows(spark, d)
     return metrics.support_summary(history.support_counts(rows, _train(rows)), ["baseline_split"], "guide_support_n")
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
 def _scored(spark, d):
     """Validation pairs with components (guide, template and mixed history as b, c and d), mapping and diagnostics."""
-    rows = cut(_rows(spark, d))
+    rows = _rows(spark, d)
     train = _train(rows)
     q = rows.where("baseline_split <> 'baseline_train'")
     gh, mh = history.guide_history(train), history.mapping_history(train)
@@ -485,12 +486,12 @@ def _identities(spark, d):
 
 @query
 def component_groups(spark, d):
-    return groups.component_groups(cut(_identities(spark, d)), True).select("record_id", "group_id")
+    return groups.component_groups(_identities(spark, d), True).select("record_id", "group_id")
 
 
 @query
 def protocol_groups(spark, d):
-    return groups.protocol_groups(cut(_identities(spark, d)))
+    return groups.protocol_groups(_identities(spark, d))
 
 
 @query
@@ -664,8 +665,7 @@ _MAP = ["mapping_hit_count", "mapping_template_count", "mapping_group_count", "m
 
 
 def _table(spark, d):
-    rows = cut(_train(_rows(spark, d)))
-    return history.leave_one_out(rows)
+    return cut(history.leave_one_out(_train(_rows(spark, d))))
 
 
 @query
@@ -690,7 +690,7 @@ def ridge_oof(spark, d):
 
 @query
 def block_arms(spark, d):
-    t, out = cut(_table(spark, d)), None
+    t, out = _table(spark, d), None
     for name, fit in models.block_arms(_SEQ, _MAP, ["te_guide_all"]).items():
         part = models.oof_predict(t, fit).select(F.lit(name).alias("arm"), "record_id", "y_pred")
         out = part if out is None else out.unionByName(part)

@@ -39,7 +39,7 @@ def collect_runs(runs: DataFrame, status: DataFrame, keys: list[str], order: lis
 def clean_templates(raw: DataFrame, number: str = "template_no", text: str = "template_sequence") -> DataFrame:
     """Upper-case, letters other than ambiguity codes dropped, groups of nine by number."""
     clean = F.regexp_replace(F.upper(F.col(text)), f"[^{CODES}]", "")
-    group = F.concat(F.lit("grp_"), F.lpad((F.floor((F.col(number) - 1) / 9) + 1).cast("string"), 3, "0"))
+    group = F.format_string("grp_%03d", F.floor((F.col(number) - 1) / 9) + 1)
     return raw.select(F.col(number).cast("int").alias("template_no"), group.alias("template_group_id"), clean.alias("template_sequence_clean"), F.length(clean).alias("template_length"))
 
 
