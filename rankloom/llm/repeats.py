@@ -13,7 +13,8 @@ to the texts.
 
 Text order is by bytes; matches never cross documents. A null text is empty; a null id is neither earlier nor later
 than any, so its document keeps everything. Repeated rows, and different texts of one id, are documents of
-their own, none earlier than the other. 64-bit hashes stand for grams, cores and texts.
+their own, none earlier than the other. 64-bit hashes stand for cores and texts; within a bucket 32 bits stand for a
+gram, where a collision only lets an anchor through to stage two.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _find_anchors(buckets: int):
         def flush() -> pa.RecordBatch:
             h, key, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _batch(list(_split(_buckets(h, buckets), h, key, doc, pos)))
+            return _batch(list(_split(_buckets(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), key, doc, pos)))
 
         for batch in batches:
             ids = batch.column(0)
@@ -157,7 +158,7 @@ def _shared(buckets: int):
     """Of a bucket of anchors: those of grams that two documents have, and texts known to be covered whole, packed by the text's bucket."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, key, doc, pos = _columns(t, np.uint64, np.uint64, np.int64, np.uint32)
+        h, key, doc, pos = _columns(t, np.uint32, np.uint64, np.int64, np.uint32)
         _, group = np.unique(h, return_inverse=True)
         n = int(group.max()) + 1 if len(group) else 0
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
