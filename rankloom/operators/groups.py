@@ -105,7 +105,7 @@ def isolation_violations(roles: DataFrame, split: list[str], identity: str) -> D
 def overlap_audit(df: DataFrame, fold: str = "fold", identities: tuple[str, ...] = ("record_id", "target", "guide"), templates: str = "mapping_candidate_template_nos") -> DataFrame:
     """For each fold and identity: how many of its different values the fold's rows have, the others' have, and both."""
     parts = [df.select(F.col(fold).alias("fold"), F.lit(i).alias("identity"), F.col(i).cast("string").alias("value")) for i in identities]
-    parts.append(df.select(F.col(fold).alias("fold"), F.lit("template_atom").alias("identity"), F.explode(template_atoms(templates)).cast("string").alias("value")))
+    parts.append(df.select(F.col(fold).alias("fold"), F.lit("template_atom").alias("identity"), F.explode(F.transform(template_atoms(templates), lambda x: x.cast("string"))).alias("value")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)

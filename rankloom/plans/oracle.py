@@ -276,7 +276,7 @@ _tri = f"0.1 * {_dc} + 0.6 * B + 0.3 * C"
 _pol = {"D_SELECTED": (_dc, None), "D_FROZEN": (_df, None), "DB_SELECTED": (f"0.2 * {_dc} + 0.8 * B", _dc), "DB_FROZEN": (f"0.3 * {_df} + 0.7 * B", _df), "TRI_SELECTED": (_tri, _dc), "TRI_FROZEN": (f"0.2 * {_df} + 0.47 * B + 0.33 * C", _df), "SEQ_MAPPING_XGB": ("SEQ_MAPPING_XGB", None), "POLICY": (_tri, _dc)}
 add("policy_predictions", " union all ".join(f"select record_id, y_true, '{n}' model_id, " + (f"{r(f'case when mapping_found then {v} else {b} end', 'y_pred')}, case when mapping_found then 'fusion' else 'fallback' end prediction_route" if b else f"{r(v, 'y_pred')}, 'single' prediction_route") + " from components" for n, (v, b) in _pol.items()), *C)
 add("blend_grid", f"select {r('alpha', 'alpha')}, {r('SCC', 'SCC')}, {r('RMSE', 'RMSE')} from {raw('(select i / 20.0::double alpha, y_true, round(((1 - i / 20.0::double) * D_xgb + i / 20.0::double * B)::double, 9) y_pred from components, range(21) t(i))', 'alpha')}", *C)
-add("crossfit_weights", f"select held::bigint held, {r('m', 'others_SCC')}, {_w}, {r('SCC', 'held_SCC')} from (select h.held, w1, w2, w3, round(avg(SCC), 9) m from gs, (select distinct inner_fold held from gs) h where inner_fold <> held group by all having count(SCC) = 3 qualify row_number() over (partition by h.held order by round(avg(SCC), 9) desc, w1, w2, w3) = 1) b join gs using (w1, w2, w3) where gs.inner_fold = held", *C, ctes=_GS)
+add("crossfit_weights", f"select held::bigint held, {r('m', 'others_SCC')}, {_w}, {r('SCC', 'held_SCC')} from (select h.held, w1, w2, w3, round(avg(SCC), 9) m from gs, (select distinct inner_fold held from gs) h where inner_fold <> held group by h.held, w1, w2, w3 having count(SCC) = 3 qualify row_number() over (partition by h.held order by round(avg(SCC), 9) desc, w1, w2, w3) = 1) b join gs using (w1, w2, w3) where gs.inner_fold = held", *C, ctes=_GS)
 add("near_optimal", "select count(*) n, " + r("max(best)", "best") + ", " + ", ".join(r(f"{f}(w{k})", f"{f}_w{k}") for k in (1, 2, 3) for f in ("min", "max")) + " from sm, (select max(mean_SCC) best from sm) where best - mean_SCC <= 0.01", *C, ctes=_GS)
 add("promotion_gate", f"select model_id, {r('ds', 'delta_SCC')}, {r('dr', 'delta_RMSE')}, bf better_folds, coalesce(ds >= 0.001 and dr <= 0 and bf >= 4, false) passes from (select a.model_id, max(case when level = 'pooled' then a.SCC - b.SCC end) ds, max(case when level = 'pooled' then a.RMSE - b.RMSE end) dr, count(*) filter (where level <> 'pooled' and a.SCC > b.SCC) bf from m a join m b using (level) where a.model_id <> 'M_MID' and b.model_id = 'M_MID' group by a.model_id)", *P, ctes=f"m as {raw(LEVELS, 'model_id, level')}")
 
