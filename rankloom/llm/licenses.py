@@ -10,7 +10,8 @@ both sides must suffice). Templates are a parameter of fixed size; their index i
 Besides, phrases that name a license are found wherever their words stand consecutively.
 
 A null or empty text has no words, no places and no labels. Repeated rows are scanned each for itself. A text without
-line feeds is one block, however long it is.
+line feeds is one block, however long it is. A block that contains the words of two notices gets both labels, so a
+non-commercial notice that spells out all words of a plain one has both.
 """
 
 from __future__ import annotations
