@@ -201,7 +201,7 @@ def _entries(buckets: int):
         key, pos = key[pos != _WHOLE], pos[pos != _WHOLE].astype(np.int64)
         order = np.lexsort((pos, key))
         key, pos = key[order], pos[order]
-        rows: list[tuple] = []
+        made: list[tuple[np.ndarray, ...]] = []
         done: set[int] = set()
         for part, row_key, doc, known in _texts_of(t) if t.num_rows else ():
             data = part.data
@@ -236,8 +236,12 @@ def _entries(buckets: int):
                     around[inside, 15 + j] = data[r[inside]]
                 around[:, 30], around[:, 31] = least[ok], most[ok]
                 place = ((x - part.offsets[tx]) * 2 + half).astype(np.uint32)
-                rows += _split(_buckets(core, buckets), core, row_key[tx], doc[tx], place, around)
-        return pa.Table.from_batches([_batch(rows)])
+                made.append((core, row_key[tx], doc[tx], place, around))
+        if not made:
+            return pa.Table.from_batches([_batch([])])
+        core, *rest = (np.concatenate(x) for x in zip(*made, strict=True))
+        rows = _split(_buckets(core, buckets), core, *rest)
+        return pa.Table.from_batches([_batch([(*r[:5], pa.compress(r[5], codec="zstd", asbytes=True)) for r in rows])])
 
     return run
 
@@ -356,7 +360,9 @@ def _covered(buckets: int):
 
     def run(t: pa.Table) -> pa.Table:
         core, key, doc, place = _columns(t, np.uint64, np.uint64, np.int64, np.uint32)
-        around = np.frombuffer(b"".join(t["e"].to_pylist()), np.uint8).reshape(-1, 32)
+        sizes = [4 * len(x) for x in t["a"].to_pylist()]  # 32 bytes for each core of 8
+        around = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(t["e"].to_pylist(), sizes, strict=True)]
+        around = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 32)
         rows = []
         for half, (o1, o2) in enumerate(_HALVES):
             r = np.flatnonzero(place % 2 == half)
