@@ -56,9 +56,9 @@ def protocol_groups(df: DataFrame, target: str = "target", guide: str = "guide")
 def balanced_group_folds(df: DataFrame, group: str = "group_id", k: int = 5, most: int = 200_000) -> DataFrame:
     """(group, size, fold): groups by size, descending, then name, each to the lightest fold so far.
 
-    The order of the largest `most` groups is what the folds' balance depends on and is walked as stated, on the table
-    of group sizes. Where there are more groups, the rest, which are no larger than those, go round the folds by rank, lightest first,
-    which needs no walk. Both are exact and repeatable.
+    The largest `most` groups are walked as stated, on the table of group sizes: inside Spark where they are few, else as
+    a stream of rows to the driver. Where there are more groups, the rest, none larger than those, are dealt to
+    folds by a hash, which is near even for so many and needs no walk. Either is repeatable.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
     head = sizes.orderBy(F.desc("size"), group).limit(most)
@@ -70,7 +70,7 @@ def balanced_group_folds(df: DataFrame, group: str = "group_id", k: int = 5, mos
         return F.struct(F.transform(a["load"], lambda v, i: v + F.when(i == at, x["size"]).otherwise(0)).alias("load"), F.concat(a["folds"], F.array(at.cast("int"))).alias("folds"))
 
     n = sizes.count()
-    if n <= 2_000:
+    if n <= min(2_000, most):
         one = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), F.col(group).alias("g"), "size"))).alias("all"))
         walked = one.select("all", F.aggregate("all", start, step, lambda a: a["folds"]).alias("folds"))
         return walked.select(F.explode(F.arrays_zip("all", "folds")).alias("x")).select(F.col("x.all.g").alias(group), F.col("x.all.size").alias("size"), F.col("x.folds").alias("fold"))
