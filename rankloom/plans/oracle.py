@@ -243,7 +243,7 @@ def _comp(both: bool, name: str) -> str:
 
 add("component_groups", "select record_id, c group_id from tr join cm_x on n = 't:' || target", ctes=f"{_MROWS}, {_comp(True, 'x')}")
 add("protocol_groups", "select record_id, 'target' protocol_id, target group_id from tr union all select record_id, 'guide', guide from tr union all select record_id, 'atomic_template', c from tr join cm_y on n = 't:' || target union all select record_id, 'dual_atomic', c from tr join cm_x on n = 't:' || target", ctes=f"{_MROWS}, {_comp(True, 'x')}, {_comp(False, 'y')}")
-add("group_folds", "select group_id, size, fold::bigint fold from walk where group_id is not null", *P, ctes="""sz as (select group_id, count(*) size, row_number() over (order by count(*) desc, group_id) i from predictions where model_id = 'M_MID' group by group_id),
+add("group_folds", "select group_id, size, fold::bigint fold from walk where group_id is not null", *P, ctes="""sz as materialized (select group_id, count(*) size, row_number() over (order by count(*) desc, group_id) i from predictions where model_id = 'M_MID' group by group_id),
 walk as (select 0::bigint i, null::varchar group_id, 0::bigint size, -1::bigint fold, [0, 0, 0, 0, 0]::bigint[] l union all select sz.i, sz.group_id, sz.size, list_position(l, list_min(l)) - 1, list_transform(range(1, 6), lambda j: l[j] + case when j = list_position(l, list_min(l)) then sz.size else 0 end) from walk join sz on sz.i = walk.i + 1)""")
 _role = "case when fold = o then 'outer_query' when fold = j then 'inner_validation' else 'inner_fit' end role"
 _nest = lambda src: f"(select *, {_role} from {src}, range(5) x(o), range(5) y(j) where o <> j)"
