@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, release, ship
 from .lyndon import suffix_arrays
 from .textcodes import _BACK, _BYTE, _STEP, Texts, _power, mix, slices
 
@@ -415,6 +415,7 @@ def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = max(48, -(-total // bucket_bytes))
     found = docs.mapInArrow(_find_anchors(buckets), _PACKED)
     shared = cut(found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(buckets), _PACKED))
+    release(documents.sparkSession)
     # texts are dealt by the same key as their anchors: a code of id and text, made where both are known
     keyed = docs.mapInArrow(_with_bucket(buckets), "doc_id long, text string, bucket int").repartition(buckets, "bucket")
     entries = keyed.groupBy("bucket").cogroup(shared.select("bucket", "a", "b").repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_entries(buckets), _PACKED)
