@@ -7,8 +7,8 @@ right, value), and scoring walks all texts down all trees with numpy indexing. I
 never inputs of a score.
 
 A null or empty text has statistics like any other (all counts 0) and gets a score. Labels that are null, or rows
-whose id is null, teach nothing; several labels of one id count as the lowest. Repeated documents are scored each for
-itself. With labels of one kind only, or none, the score is the labels' mean (0.5 without labels).
+whose id is null, teach nothing; several labels of one id count as the lowest, and of several
+documents of one id the one with the smallest statistics teaches. Repeated documents are scored each for itself. With labels of one kind only, or none, the score is the labels' mean (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -171,7 +171,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
             x = np.concatenate([statistics(part) for part in slices(batch.column(2))]) if batch.num_rows else np.zeros((0, len(NAMES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x[:, j]) for j in range(x.shape[1]))], names=["__id", "__quality", *NAMES])
 
-    rows = met.mapInArrow(each, ", ".join(["__id long", "__quality int", *(f"{x} double" for x in NAMES)])).toPandas()
+    measured = met.mapInArrow(each, ", ".join(["__id long", "__quality int", *(f"{x} double" for x in NAMES)]))
+    measured = measured.groupBy("__id", "__quality").agg(F.min(F.struct(*NAMES)).alias("one"))  # at most `most` rows, however often an id repeats
+    rows = measured.select("__id", "__quality", "one.*").toPandas()
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the same trees however Spark deals the rows out
     return fit(rows[list(NAMES)].to_numpy(float), rows["__quality"].to_numpy(float))
 
