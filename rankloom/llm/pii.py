@@ -64,6 +64,11 @@ def _valid(kind: Column, match: Column) -> Column:
     return F.when(kind == "email", True).when(kind == "ip", small).when(kind == "card", n.between(12, 19) & F.when(n.between(12, 19), luhn(digits)).otherwise(False)).when(kind == "phone", n.between(9, 15)).otherwise(True)
 
 
+def _key(id_column: Column, text: Column) -> Column:
+    """Rows equal in id and text share a key; the length keeps ids and texts apart, and a null id is an empty one."""
+    return F.md5(F.concat_ws("|", F.length(text).cast("string"), F.coalesce(id_column.cast("string"), F.lit("")), text))
+
+
 def _context(tail: Column) -> Column:
     """The last two words of what stands before, lower-case; empty where there are fewer."""
     two = F.regexp_extract(F.lower(tail), r"(\S+)\s+(\S+)\s+$", 0)
@@ -77,7 +82,7 @@ def occurrences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = {k: F.when(F.contains("text", F.lit(_NEEDS[k])) if _NEEDS[k] else F.col("text").rlike("[0-9]"), _pieces(F.col("text"), p)).otherwise(none) for k, p in PATTERNS.items()}
     found["token"] = F.when(F.col("text").rlike("[0-9@]"), _pieces(F.col("text"), _TOKEN)).otherwise(none)
     slim = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    slim = cut(slim.select("doc_id", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")).alias("key"), *[v.alias(k) for k, v in found.items()]))
+    slim = cut(slim.select("doc_id", _key(F.col("doc_id"), F.col("text")).alias("key"), *[v.alias(k) for k, v in found.items()]))
     some = slim.where(" or ".join(f"size({k}) > 0" for k in found)).drop("doc_id").dropDuplicates(["key"])
     each = some.select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("all")) for k in found])).alias("x")).select("key", "x.kind", F.posexplode("x.all").alias("nth", "m"))
     so_far = Window.partitionBy("key", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,7 +154,7 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     _, spans = find(documents, id_col, text_col, **parameters)
     hidden = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")).withColumnRenamed("key", "__key")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = documents.withColumn("__key", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), text))).join(hidden, "__key", "left")
+    keyed = documents.withColumn("__key", _key(F.col(id_col), text)).join(hidden, "__key", "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a, s):
