@@ -289,3 +289,52 @@ def test_pipeline_stages_follow_each_other(spark):
     assert docs.where(F.col("text").rlike(PATTERNS["email"])).count() == 0
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+ODD = [(1, "plain words of a text, enough of them to be read as prose by whoever reads it"), (2, None), (3, ""), (None, "1|x a@b.c"), (1, "x"), (4, "call +1 (851) 555-9673 " * 3000), (4, "call +1 (851) 555-9673 " * 3000), (None, None)]
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark, rows):
+    return spark.createDataFrame([(d, t, None, None, None, "e", 1, None) for d, t in rows], f"{DOCUMENTS}, key string, kind int, score double")
+
+
+def test_stages_take_odd_and_empty_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "w " * 20), (2, None), (None, "some item of a benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (ODD, []):
+        docs = odd_documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if name == "pack":
+                whole = Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0)
+                assert sum(whole.values()) == len(rows)
+                continue
+            assert out.columns == docs.columns and all(r["key"] == "e" and r["kind"] == 1 and r["score"] is None for r in got)
+            if name == "personal_data":
+                assert Counter(r["text"] for r in got) == Counter((t or "").replace("+1 (851) 555-9673", "[PHONE]").replace("a@b.c", "[EMAIL]") if t else t for _, t in rows)
+            if name == "near_copies":
+                assert sorted((r["doc_id"] for r in got if r["doc_id"]), key=str) == sorted({d for d, _ in rows if d})
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert pii.report(none).count() == 0 and repeats.removed_repeats(none).count() == 0 and decontaminate.judge(none, bench).count() == 0
+    assert quality.score(none, quality.train(none, labels)).count() == 0
+    assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    judged = decontaminate.judge(frame(spark, ODD), bench).collect()
+    assert len(judged) == len(ODD) and not any(r["overlap"]["contaminated"] for r in judged)
+
+
+def test_training_takes_one_row_of_an_id(spark):
+    rows = [(i % 12, f"text number {i} " * (1 + i % 5)) for i in range(300)] + [(2, "good prose, here it is.")] * 5
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    a = quality.train(frame(spark, rows), labels)
+    b = quality.train(frame(spark, rows[::-1]), labels)
+    assert a.base == b.base and np.array_equal(a.value, b.value)
