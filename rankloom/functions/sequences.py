@@ -21,6 +21,11 @@ def r6(c: str | Column) -> Column:
     return F.round(col(c).cast("double"), 6)
 
 
+def steady6(c: str | Column) -> Column:
+    """Rounded to 6 places so that what summing in another order changes, far beyond them, doesn't break ties."""
+    return F.round(F.round(col(c).cast("double"), 11), 6)
+
+
 def normalize_sequence(c: str | Column) -> Column:
     return F.translate(F.upper(F.trim(col(c))), "U", "T")
 

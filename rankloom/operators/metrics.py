@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
-from ..functions.sequences import r6
+from ..functions.sequences import steady6
 
 METRICS = ("SCC", "PCC", "RMSE", "MAE", "R2")
 CELLS = 64
@@ -187,4 +187,4 @@ def density_2d(predictions: DataFrame, width: float) -> DataFrame:
 
 def rounded(df: DataFrame) -> DataFrame:
     """All doubles to 6 places."""
-    return df.select(*[r6(c).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[steady6(c).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
