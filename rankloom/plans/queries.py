@@ -355,7 +355,7 @@ def smoothed_lookup(spark, d):
     rows = _rows(spark, d)
     h = history.mapping_history(_train(rows)).where("field = 'mapping_candidate_template_nos'").select("key", "sum", "count")
     q = rows.where("baseline_split <> 'baseline_train'").select("record_id", normalize_key("mapping_candidate_template_nos").alias("key"))
-    return history.smoothed_lookup(q, h, ["key"], -2.7, history.MAPPING_K, "te")
+    return history.smoothed_lookup(q, h, ["key"], -2.7, history.MAPPING_K, "te").withColumn("te", steady6("te"))
 
 
 @query
@@ -413,7 +413,7 @@ def _scored(spark, d):
     h = mh.where("field = 'mapping_candidate_template_nos'").select(F.col("key").alias("tkey"), "sum", "count")
     out = history.smoothed_lookup(out.withColumn("tkey", normalize_key("mapping_candidate_template_nos")), h, ["tkey"], -2.7, history.MAPPING_K, "te_template")
     out = history.anchors(out)
-    return out.select("record_id", "label", "mapping_hit_count", "mapping_template_count", "mapping_group_count", "mapping_confidence", "guide_seen", "template_key_seen", steady6("guide_anchor").alias("b"), steady6("mixed_anchor").alias("c"), steady6(-2.5 - 0.1 * F.col("aligned_difference_count")).alias("d"))
+    return out.select("record_id", "label", "mapping_hit_count", "mapping_template_count", "mapping_group_count", "mapping_confidence", "guide_seen", "template_key_seen", F.round("guide_anchor", 6).alias("b"), F.round("mixed_anchor", 6).alias("c"), F.round(-2.5 - 0.1 * F.col("aligned_difference_count"), 6).alias("d"))
 
 
 @query
@@ -429,20 +429,20 @@ def warning_codes(spark, d):
 @query
 def ranked_pairs(spark, d):
     """Flagship: pairs mapped, encoded by label history, blended, routed, warned about and ranked."""
-    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", steady6("activity_score"))
+    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", F.round("activity_score", 6))
     out = score.ranked(routed)
     return out.select("record_id", "activity_score", "model_route", "rank_within_route", "activity_rank", score.warning_codes(F.col("rank_withheld")).alias("warning_codes"))
 
 
 @query
 def ranked_mixed(spark, d):
-    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", steady6("activity_score"))
+    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", F.round("activity_score", 6))
     return score.ranked(routed, allow_mixed=True).select("record_id", "activity_score", "activity_rank")
 
 
 @query
 def top_scores(spark, d):
-    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", steady6("activity_score"))
+    routed = score.routed_fusion(_scored(spark, d)).withColumn("activity_score", F.round("activity_score", 6))
     return score.top_k(routed, 20).select("record_id", "activity_score")
 
 
@@ -464,13 +464,13 @@ def _components(spark, d):
 
 @query
 def blend_profiles(spark, d):
-    return score.fusion_profiles(_components(spark, d))
+    return score.fusion_profiles(_components(spark, d)).withColumn("y_pred", F.round(F.col("y_pred") * 1e6) / 1e6)  # scaled first: half a millionth is a tie of the double, not of its decimal form
 
 
 @query
 def profile_metrics(spark, d):
     c = _components(spark, d)
-    long = score.fusion_profiles(c).withColumn("y_pred", steady6("y_pred")).join(c.select("record_id", "y_true"), "record_id")
+    long = score.fusion_profiles(c).withColumn("y_pred", F.round("y_pred", 6)).join(c.select("record_id", "y_true"), "record_id")
     return metrics.five_metrics(long, ["profile"])
 
 
