@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
@@ -30,6 +30,11 @@ def query(f: Query) -> Query:
     return run
 
 
+def _scaled6(c: str) -> Column:
+    """Rounded to 6 places after scaling, so that half a millionth is a tie of the double, not of its decimal form."""
+    return F.round(F.col(c) * 1e6) / 1e6
+
+
 def _fx(spark: SparkSession, d: str, name: str) -> DataFrame:
     return fixtures.load(spark, d, name)
 
@@ -464,7 +469,7 @@ def _components(spark, d):
 
 @query
 def blend_profiles(spark, d):
-    return score.fusion_profiles(_components(spark, d)).withColumn("y_pred", F.round(F.col("y_pred") * 1e6) / 1e6)  # scaled first: half a millionth is a tie of the double, not of its decimal form
+    return score.fusion_profiles(_components(spark, d)).withColumn("y_pred", _scaled6("y_pred"))
 
 
 @query
@@ -575,7 +580,7 @@ def chosen_family(spark, d):
 @query
 def policy_predictions(spark, d):
     policy = spark.createDataFrame([(0.4, 0.5, 0.1, 0.2, 0.8, 0.1, 0.6, 0.3, "D_B_C")], ", ".join([*[f"d_w{k} double" for k in (1, 2, 3)], "db_w1 double", "db_w2 double", *[f"tri_w{k} double" for k in (1, 2, 3)], "family string"]))
-    return select.apply_policy(_fx(spark, d, "components"), policy)
+    return select.apply_policy(_fx(spark, d, "components"), policy).withColumn("y_pred", _scaled6("y_pred"))
 
 
 @query
