@@ -89,6 +89,22 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    mit, bsd, mpl = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["bsd"][0], licenses.TEMPLATES["mpl"][0]
+
+    def wrap(text, width, lead):
+        w = text.split()
+        return "\n".join(lead + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    far = mit.split()
+    far = "\n".join([" ".join(far[:10]), "other " * 20, " ".join(far[10:])])
+    rows = [(1, wrap(mit, 11, "")), (2, "a = 1\n" + wrap(bsd, 9, " * ") + "\nb = 2"), (3, wrap(mpl, 6, "    # ")), (4, wrap("Licensed under CC BY 4.0.", 1, "")), (5, "x " * 3000 + wrap(mit.replace("charge", "cost"), 3, "// ") + " y" * 3000), (6, far), (7, wrap(mit, 5, "rem "))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    n = len(licenses.tokens_of(mit))
+    assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl", 1.0), 4: ("cc-by,cc-by-nc", 1.0), 5: ("mit", (n - 1) / n), 6: ("", 0.0), 7: ("mit", got[7][1])}
+    assert got[7][1] >= licenses.THRESHOLD
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
