@@ -5,7 +5,9 @@ Positions come from the lengths of what a regular expression matches and of what
 a document's matches turn them into code point offsets. The expressions are written with possessive
 repetition, so that texts of any length match in linear time and constant stack.
 
-Bootstrapping: the two words before an entity are its context. Contexts that occur before at least `support` different
+Bootstrapping: an entity has contexts of several families: the last word and the last two words before it, the first and
+the first two after it, the label or punctuation that it is glued to (email:, tel=, a bracket), and its own shape. Words
+are taken without the punctuation around them. Contexts that occur with at least `support` different
 known entities of a kind are patterns; every other identifier-like token (one with a digit or an at sign) in such a
 context is an instance. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the mean
 score of its instances, an instance's score the noisy-or of its patterns' confidences; instances that score enough count
@@ -34,15 +36,18 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 #: Identifier-like tokens: between white space, with a digit or an at sign.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What may stand before a token within its word: punctuation, and a label with a colon or an equals sign.
+_LEAD = r"^[\"'(\[{<:;,.]*(?:[A-Za-z][A-Za-z_-]*[:=](?!//)[\"'(\[{<]*)?"
+#: Punctuation around a word of a context.
+_AROUND = r"^[\"'(\[{<:;,.=]+|[\"')\]}>:;,.!?=({\[<]+$"
 _TAIL = 96
 SUPPORT, CONFIDENCE, SCORE, ROUNDS = 3, 0.6, 0.6, 3
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    """For each match: the length of what lies before it, the end of that, and the match."""
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(_TAIL)).alias("tail")))
-    zipped = F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p["gap"].alias("gap"), p["tail"].alias("tail"), m.alias("match")))
-    return F.filter(zipped, lambda x: x["match"].isNotNull())
+    """For each match: the length of what lies before it, both ends of that, and the match; last, what lies behind all, without a match."""
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.left(p, F.lit(_TAIL)).alias("head"), F.right(p, F.lit(_TAIL)).alias("tail")))
+    return F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p["gap"].alias("gap"), p["head"].alias("head"), p["tail"].alias("tail"), m.alias("match")))
 
 
 def luhn(digits: Column) -> Column:
@@ -69,30 +74,47 @@ def _key(id_column: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.length(text).cast("string"), F.coalesce(id_column.cast("string"), F.lit("")), text))
 
 
-def _context(tail: Column) -> Column:
-    """The last two words of what stands before, lower-case; empty where there are fewer."""
-    two = F.regexp_extract(F.lower(tail), r"(\S+)\s+(\S+)\s+$", 0)
-    return F.trim(F.regexp_replace(two, r"\s+", " "))
+def _contexts(left: Column, right: Column, match: Column) -> Column:
+    """Contexts of all families that there are, lower-case, each behind the name of its family."""
+    bare = lambda side: F.filter(F.transform(F.split(F.lower(side), r"\s+"), lambda w: F.regexp_replace(w, _AROUND, "")), lambda w: w != "")
+    before, after = bare(left), bare(right)
+    n, m = F.size(before), F.size(after)
+    named = lambda family, text, ok: F.when(ok, F.concat(F.lit(f"{family}:"), text))
+    glued = F.regexp_extract(F.lower(left), r"(\S+)$", 1)
+    shape = F.regexp_replace(F.regexp_replace(match, r"\p{L}+", "a"), "[0-9]", "9")
+    return F.array_compact(F.array(
+        named("l1", F.get(before, n - 1), n > 0), named("l2", F.concat_ws(" ", F.get(before, n - 2), F.get(before, n - 1)), n > 1),
+        named("r1", F.get(after, F.lit(0)), m > 0), named("r2", F.concat_ws(" ", F.get(after, F.lit(0)), F.get(after, F.lit(1))), m > 1),
+        named("glued", glued, glued != ""), named("shape", shape, F.lit(True)),
+    ))
 
 
 def occurrences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of each document; and of each distinct key (kind, start, end, match, context), base spans and identifier-like tokens (kind token)."""
+    """(doc_id, key) of each document; and of each distinct key (kind, start, end, match, contexts), base spans and identifier-like tokens (kind token)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<gap:int,tail:string,match:string>>")
+    none = F.array().cast("array<struct<gap:int,head:string,tail:string,match:string>>")
     found = {k: F.when(F.contains("text", F.lit(_NEEDS[k])) if _NEEDS[k] else F.col("text").rlike("[0-9]"), _pieces(F.col("text"), p)).otherwise(none) for k, p in PATTERNS.items()}
     found["token"] = F.when(F.col("text").rlike("[0-9@]"), _pieces(F.col("text"), _TOKEN)).otherwise(none)
     slim = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     slim = cut(slim.select("doc_id", _key(F.col("doc_id"), F.col("text")).alias("key"), *[v.alias(k) for k, v in found.items()]))
-    some = slim.where(" or ".join(f"size({k}) > 0" for k in found)).drop("doc_id").dropDuplicates(["key"])
-    each = some.select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("all")) for k in found])).alias("x")).select("key", "x.kind", F.posexplode("x.all").alias("nth", "m"))
+    some = slim.where(" or ".join(f"size({k}) > 1" for k in found)).drop("doc_id").dropDuplicates(["key"])
+    each = some.select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("all")) for k in found])).alias("x")).where("size(x.all) > 1").select("key", "x.kind", F.posexplode("x.all").alias("nth", "m"))
     so_far = Window.partitionBy("key", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum(F.col("m.gap") + F.length("m.match")).over(so_far))
-    spans = placed.select("key", "kind", (F.col("end") - F.length("m.match")).alias("start"), "end", F.col("m.match").alias("match"), F.col("m.tail").alias("tail")).where(_valid(F.col("kind"), F.col("match")))
-    # tokens without the punctuation around them
-    lead = F.when(F.col("kind") == "token", F.length(F.regexp_extract("match", r"^[\"'(\[{<:;,.]*", 0))).otherwise(0)
+    near = Window.partitionBy("key", "kind").orderBy("nth")
+    at = lambda field, k: F.coalesce(F.lead(F.col(f"m.{field}"), k).over(near), F.lit(""))
+    placed = each.select(
+        "key", "kind", "m", F.sum(F.col("m.gap") + F.length("m.match")).over(so_far).alias("end"),
+        F.concat(at("match", -2), at("tail", -1), at("match", -1), "m.tail").alias("left"), F.concat(at("head", 1), at("match", 1), at("head", 2), at("match", 2)).alias("right"),
+    ).where("m.match is not null")
+    spans = placed.select("key", "kind", (F.col("end") - F.length("m.match")).alias("start"), "end", F.col("m.match").alias("match"), F.right("left", F.lit(_TAIL)).alias("left"), F.left("right", F.lit(_TAIL)).alias("right")).where(_valid(F.col("kind"), F.col("match")))
+    # tokens without the label before them and the punctuation around them, which is context
+    lead = F.when(F.col("kind") == "token", F.length(F.regexp_extract("match", _LEAD, 0))).otherwise(0)
     trail = F.when(F.col("kind") == "token", F.length(F.regexp_extract("match", r"[\"')\]}>:;,.!?]*$", 0))).otherwise(0)
     spans = spans.withColumns({"lead": lead, "trail": trail}).where("length(match) > lead + trail")
-    spans = spans.select("key", "kind", (F.col("start") + F.col("lead")).alias("start"), (F.col("end") - F.col("trail")).alias("end"), F.substr("match", F.col("lead") + 1, F.length("match") - F.col("lead") - F.col("trail")).alias("match"), _context(F.col("tail")).alias("context"))
+    inner = F.substr("match", F.col("lead") + 1, F.length("match") - F.col("lead") - F.col("trail"))
+    left, right = F.concat("left", F.left("match", F.col("lead"))), F.concat(F.right("match", F.col("trail")), "right")
+    spans = spans.select("key", "kind", (F.col("start") + F.col("lead")).alias("start"), (F.col("end") - F.col("trail")).alias("end"), inner.alias("match"), left.alias("left"), right.alias("right"))
+    spans = spans.select("key", "kind", "start", "end", "match", _contexts(F.col("left"), F.col("right"), F.col("match")).alias("contexts"))
     return slim.select("doc_id", "key"), cut(spans)
 
 
@@ -101,9 +123,9 @@ def bootstrap(spans: DataFrame, support: int = SUPPORT, confidence: float = CONF
     is_base = F.col("kind") != "token"
     # a token that overlaps a base span is no candidate
     base = spans.where(is_base)
-    edges = base.select("context", F.lower("match").alias("instance"), "kind").distinct()
-    seeds = edges.select("instance", "kind").distinct().groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    every = candidates(spans).select("context", F.lower("match").alias("instance")).distinct().unionByName(edges.select("context", "instance")).where("context <> ''").distinct()
+    edges = base.select(F.explode("contexts").alias("context"), F.lower("match").alias("instance")).distinct()
+    seeds = base.select(F.lower("match").alias("instance"), "kind").distinct().groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    every = candidates(spans).select(F.explode("contexts").alias("context"), F.lower("match").alias("instance")).distinct().unionByName(edges).distinct()
     size = every.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") > support)  # support known instances, and another
     graph = cut(every.join(size, "context"))
     known, patterns, found = cut(seeds), None, None
@@ -128,7 +150,8 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """(doc_id, key) of each document, and (key, kind, start, end, base) of each span."""
     docs, spans = occurrences(documents, id_col, text_col)
     patterns, instances = bootstrap(spans, **parameters)
-    more = candidates(spans).drop("kind").withColumn("instance", F.lower("match")).join(instances, "instance").join(patterns, ["context", "kind"])
+    more = candidates(spans).select("key", "start", "end", F.lower("match").alias("instance"), F.explode("contexts").alias("context")).join(instances, "instance").join(patterns, ["context", "kind"])
+    more = more.select("key", "kind", "start", "end").distinct()  # one span, however many patterns it has
     own = spans.where(F.col("kind") != "token").select("key", "kind", "start", "end", F.lit(True).alias("base"))
     return docs, own.unionByName(more.select("key", "kind", "start", "end", F.lit(False).alias("base")))
 

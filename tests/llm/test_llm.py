@@ -134,6 +134,20 @@ def test_personal_data_bootstrap_finds_unseen_identifiers(spark):
     assert hidden[50] == "please write to: [EMAIL] soon" and hidden[3] == "please write to: [EMAIL] soon" and hidden[51] == rows[9][1]
 
 
+def test_personal_data_bootstrap_uses_every_family_of_contexts(spark):
+    filler = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ango", "istle", "orvex")]
+    w = iter(filler * 9)
+    rows = [(i, f"{next(w)} {next(w)} mailto user{i}@mail.example {next(w)} {next(w)}") for i in range(4)]  # one word before
+    rows += [(10 + i, f"+1 851 555 967{i} dialled {next(w)} {next(w)}") for i in range(4)]  # at the start, one word after
+    rows += [(20 + i, f"{next(w)} {next(w)} tel=+44 851 555 967{i}; {next(w)}") for i in range(4)]  # glued to a label
+    rows += [(30 + i, f"{next(w)} reach us: (box{i}@post.example) {next(w)}") for i in range(4)]  # behind a bracket
+    rows += [(50, f"{next(w)} {next(w)} mailto smith77(at)mail {next(w)}"), (51, f"851x555x9673 dialled {next(w)}"), (52, f"{next(w)} {next(w)} tel=0851/5559673 {next(w)}"), (53, f"{next(w)} reach us: box77(at)post {next(w)}")]
+    rows += [(60, f"{next(w)} in 1998 {next(w)}")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, rows)).collect()}
+    cut = {d: [(k, dict(rows)[d][int(a) : int(b)]) for k, a, b in (x.split(":") for x in got[d].split(",") if x)] for d in (50, 51, 52, 53, 60)}
+    assert cut == {50: [("email", "smith77(at)mail")], 51: [("phone", "851x555x9673")], 52: [("phone", "0851/5559673")], 53: [("email", "box77(at)post")], 60: []}
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50)) for i in range(1003)] + [(5, None)] * 7 + [(None, "x")]
     out = sharding.shard(frame(spark, rows), shards=40).collect()
