@@ -53,15 +53,39 @@ def protocol_groups(df: DataFrame, target: str = "target", guide: str = "guide")
     return out
 
 
+def _fold_cycles(counts: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, from, to, folds): of the groups of a size, in order, those from `from` on and before `to` go round these folds.
+
+    Of (size, number of groups) pairs, sizes descending. Groups of one size fill the lightest folds up to the load of
+    the next one, which then joins the round; once all folds are in it, it lasts. So a size has at most k rounds.
+    """
+    loads, out = [0] * k, []
+    for size, n in counts:
+        order, done = sorted(range(k), key=lambda i: (loads[i], i)), 0
+        for p in range(1, k + 1):
+            active = sorted(order[:p], key=lambda i: (loads[i], i))
+            upto = n - done
+            if p < k:  # turns at a load below the next fold's, or equal to it where the fold's number is lower
+                nxt = order[p]
+                upto = min(upto, sum(max(0, -((loads[i] - loads[nxt]) // size) if i > nxt else (loads[nxt] - loads[i]) // size + 1) for i in active))
+            if upto:
+                out.append((size, done, done + upto, active))
+                for at, i in enumerate(active):
+                    loads[i] += size * ((upto - at + p - 1) // p)
+                done += upto
+            if done == n:
+                break
+    return out
+
+
 def balanced_group_folds(df: DataFrame, group: str = "group_id", k: int = 5, most: int = 200_000) -> DataFrame:
     """(group, size, fold): groups by size, descending, then name, each to the lightest fold so far.
 
-    The largest `most` groups are walked as stated, on the table of group sizes: inside Spark where they are few, else as
-    a stream of rows to the driver. Where there are more groups, the rest, none larger than those, are dealt to
-    folds by a hash, which is near even for so many and needs no walk. Either is repeatable.
+    Up to `most` groups, if they are few, are walked inside Spark. Else only the different sizes and their numbers of groups,
+    at most about sqrt(2 * rows), reach the driver, which settles the order of the folds for each size in closed form;
+    a group's fold follows from its rank among those of its size. Both give the same folds.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    head = sizes.orderBy(F.desc("size"), group).limit(most)
     load = F.array(*[F.lit(0).cast("long")] * k)
     start = F.struct(load.alias("load"), F.array().cast("array<int>").alias("folds"))
 
@@ -69,24 +93,27 @@ def balanced_group_folds(df: DataFrame, group: str = "group_id", k: int = 5, mos
         at = F.array_position(a["load"], F.array_min(a["load"])) - 1
         return F.struct(F.transform(a["load"], lambda v, i: v + F.when(i == at, x["size"]).otherwise(0)).alias("load"), F.concat(a["folds"], F.array(at.cast("int"))).alias("folds"))
 
-    n = sizes.count()
-    if n <= min(2_000, most):
-        one = head.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), F.col(group).alias("g"), "size"))).alias("all"))
+    if sizes.count() <= min(2_000, most):
+        one = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), F.col(group).alias("g"), "size"))).alias("all"))
         walked = one.select("all", F.aggregate("all", start, step, lambda a: a["folds"]).alias("folds"))
         return walked.select(F.explode(F.arrays_zip("all", "folds")).alias("x")).select(F.col("x.all.g").alias(group), F.col("x.all.size").alias("size"), F.col("x.folds").alias("fold"))
-    loads, rows = [0] * k, []
-    for r in head.toLocalIterator():
-        at = min(range(k), key=lambda i: (loads[i], i))
-        loads[at] += r["size"]
-        rows.append((r[group], r["size"], at))
-    schema = f"{group} {df.schema[group].dataType.simpleString()}, size long, fold int"
-    walked = df.sparkSession.createDataFrame(rows, schema)
-    if n <= most:
-        return walked
-    order = sorted(range(k), key=lambda i: (loads[i], i))
-    rest = sizes.join(walked.select(group), group, "left_anti")
-    by_hash = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
-    return walked.unionByName(rest.select(group, "size", F.get(F.array(*map(F.lit, order)), by_hash).cast("int").alias("fold")))
+    # ranges of (size, name), so that many groups of one size are many tasks
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut(sizes.select(F.col(group).alias("g"), "size").repartitionByRange(parts, F.desc("size"), F.asc("g")).withColumn("part", F.spark_partition_id()))
+    here = placed.groupBy("size", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = here.select("size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("nth", F.row_number().over(Window.partitionBy("part", "size").orderBy("g")) - 1)
+    ranked = ranked.join(offsets, ["size", "part"]).select("g", "size", (F.col("before") + F.col("nth")).alias("nth"))
+    counts = [(r["size"], r["n"]) for r in here.groupBy("size").agg(F.sum("n").alias("n")).orderBy(F.desc("size")).collect()]
+    rounds: dict[int, list] = {}
+    for size, lo, hi, folds in _fold_cycles(counts, k):
+        rounds.setdefault(size, []).append((lo, hi, folds))
+    cycles = df.sparkSession.createDataFrame(list(rounds.items()), "size long, rounds array<struct<lo:long,hi:long,folds:array<int>>>")
+    own = F.filter("rounds", lambda x: (x["lo"] <= F.col("nth")) & (F.col("nth") < x["hi"]))[0]
+    dealt = ranked.join(F.broadcast(cycles), "size").withColumn("own", own)
+    turn = F.pmod(F.col("nth") - F.col("own.lo"), F.size("own.folds")).cast("int")
+    return dealt.select(F.col("g").alias(group), "size", F.get("own.folds", turn).alias("fold"))
 
 
 def nested_roles(assignments: DataFrame, folds: int = 5) -> DataFrame:

@@ -1,5 +1,6 @@
 """Tiny vectors and metamorphic cases; whole queries are held against SQL in test_queries.py."""
 
+import random
 import math
 
 import pytest
@@ -113,6 +114,20 @@ def test_folds_are_balanced_and_keep_groups(spark):
     assert many.count() == 30
 
 
+def test_folds_follow_one_rule_at_every_size(spark):
+    rng = random.Random(5)
+    for trial in range(400):
+        k, sizes = rng.randint(1, 6), sorted((rng.choice([1, 1, 2, 3, 7, 50]) * rng.randint(1, 3) for _ in range(rng.randint(0, 120))), reverse=True)
+        loads, want = [0] * k, []
+        for size in sizes:
+            want.append(min(range(k), key=lambda i: (loads[i], i)))
+            loads[want[-1]] += size
+        cycles = groups._fold_cycles([(x, sizes.count(x)) for x in dict.fromkeys(sizes)], k)
+        assert [folds[(n - lo) % len(folds)] for _, lo, hi, folds in cycles for n in range(lo, hi)] == want
+    df = spark.createDataFrame([(f"g{i}",) for i in range(300) for _ in range(rng.choice([1, 1, 1, 2, 5, 40]))] + [(None,)] * 3, "group_id string")
+    assert rows(groups.balanced_group_folds(df, most=10)) == rows(groups.balanced_group_folds(df))
+
+
 def test_rank_target_round_trip(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(50)], "id int, label double")
     z = models.rank_target(df)
