@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash, which stands in for an LSH forest, with exact verification.
 
 Every text becomes the set of its runs of `n` words (a shorter text, but not one without words, is one run), as 64-bit
-codes. Texts of equal sets are a class; what follows is about classes. A forest of `trees` sorted prefix tries holds
-`deepest` minima for each class and tree. Starting from whole signatures, the matched prefix is shortened until two
-sets at the threshold share a prefix in at least one tree with the target recall: 1 - (1 - s**depth)**trees. Classes
-that share a prefix in a tree are a bucket.
+codes. Texts of equal sets are a class; what follows is about classes. There is no forest: no sorted tries, no prefix
+matches and no lengths that adapt to data. Each of `trees` bands is one code of `depth` minima, the most (up to DEEPEST)
+with which two sets at the threshold agree in at least one band with the target recall: 1 - (1 - s**depth)**trees. That is
+fixed before any data are read, as a forest would have to match as short a prefix everywhere to promise that recall in
+every bucket. Classes with the same code in a band are a bucket; large buckets cost more than longer prefixes would.
 
 No pairs of a bucket become rows. Buckets of two are a pair each; larger ones are cut into blocks by a hash, and
 pairs of blocks are the units of work. A first pass over signatures alone keeps, for each unit, the classes that have a
