@@ -97,6 +97,13 @@ def words(texts: Texts) -> Words:
     return Words(mix(codes + (end - start).astype(np.uint64)), np.searchsorted(start, offsets), start, end)
 
 
+def codes_of_stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of stretches of bytes, A-Z as a-z; equal stretches have equal codes."""
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TERM[data] * _power("step", _STEP, len(data)), out=running[1:])
+    return mix((running[end] - running[start]) * _power("back", _BACK, len(data) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def runs_of_words(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all runs of n consecutive words, and bounds by text; a text of fewer words, but not none, is one run."""
     count = np.diff(w.bounds)

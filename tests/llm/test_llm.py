@@ -193,6 +193,43 @@ def test_differencing_balances():
     assert sums.sum() == lengths.sum() and sums.max() - sums.min() < 60
 
 
+def plain_differencing(lengths, k):
+    """Karmarkar-Karp as it is written down: a heap of partitions, each of k (sum, pieces), merged largest onto smallest."""
+    parts = [(-x, i, [(0, [])] * (k - 1) + [(x, [i])]) for i, x in enumerate(lengths)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[:2])
+        (_, a, x), (_, b, y) = parts[:2]
+        merged = sorted(((s + t, u + v) for (s, u), (t, v) in zip(x, reversed(y))), key=lambda w: w[0])
+        parts = [*parts[2:], (merged[0][0] - merged[-1][0], a, merged)]
+    return sorted(s for s, _ in parts[0][2]) if parts else []
+
+
+def test_differencing_against_plain_form():
+    rng = np.random.default_rng(7)
+    for n, k in ((1, 1), (1, 4), (5, 2), (30, 4), (80, 9), (12, 20), (200, 3)):
+        lengths = np.unique(rng.integers(1, 10**9, n))  # ties may be merged in another order
+        of = packing.differencing(lengths, k)
+        assert sorted(np.bincount(of, lengths, k).astype(int).tolist()) == plain_differencing(lengths.tolist(), k)
+    assert len(packing.differencing(np.zeros(0, np.int64), 3)) == 0
+
+
+def test_token_ids_with_few_known_stretches():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from rankloom.llm.queries import tokenizer_path
+
+    texts = [t for _, t in corpus(3, 40)] + ["it''s 'S \x85x\xa0y d'K", "= \u0338 =\u0338 1\u20e3 e\u0301.", "\u01c5\u0149 \u0130 \u00d7\u00f7", "\x00\x1f a\x1cb", "<|endoftext|>", "¡hola! «té.» ’s", " \n "]
+    tokenizer, own = Tokenizer.from_file(tokenizer_path()), packing.TokenIds(tokenizer_path(), most=50)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for most in (1 << 20, 2000):
+        got = []
+        for part in textcodes.slices(pa.array(texts), most):
+            ids, bounds = own.encode(part)
+            got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == want
+
+
 @pytest.mark.parametrize("block", [10, 1000])
 def test_cover_tree(spark, block):
     rng = np.random.default_rng(3)
