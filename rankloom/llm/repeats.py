@@ -1,20 +1,23 @@
 """Suffix-array dedup: bytes of a document that a string of `length` bytes covers which also starts in an earlier one.
 
-A suffix array of everything can't be built in one place, so equal strings are brought together first. Every window of
-`length` bytes names one anchor, the `gram`-byte string in it with the smallest hash (the last of several): equal windows
-name equal anchors at equal offsets. Stage one finds the anchors that two documents share; their hashes travel packed by
-bucket, and a text that its task has met under a smaller id sends none. Stage two sends, for each shared anchor and half of the offsets, the part
-common to all its windows (the core) as a hash, and the bytes around it. Entries of equal core and bytes are told apart by
-document id alone. Where one core has several surroundings, suffix arrays (linear grouping, `lyndon`) of the
-surroundings, with the core as one symbol, sort the windows; neighbours equal in a window's length are one window, and
-it belongs to the smallest document id. A core with many surroundings is split in halves of its offsets, whose cores
-are longer, until they are few or equal, so no group is ever too large for a task. Stage three joins what is covered
-to the texts.
-
-Text order is by bytes; matches never cross documents. A null text is empty; a null id is neither earlier nor later
-than any, so its document keeps everything. Repeated rows, and different texts of one id, are documents of
-their own, none earlier than the other. 64-bit hashes stand for cores and texts; within a bucket 32 bits stand for a
-gram, where a collision only lets an anchor through to stage two.
+A suffix array of everything can't be built in one place, so equal strings are brought together first, in four stages.
+Stage one cuts every text where its own bytes say so (about every CHUNK bytes); a chunk reaches `length` - 1 bytes into the
+next, so each window of `length` bytes lies in the chunk that it starts in. A chunk that an earlier document has too is
+dead: all its windows are covered, and nobody needs them as a source. Copies and most of near copies end here, for a hash and an id a
+chunk. Chunk hashes are counted before they are shuffled; hashes that more than a thousandth of all chunks share are joined
+by a broadcast of at most a thousand rows, so no hash is a task of its own.
+Stage two: every other window names one anchor, the `gram`-byte string in it with the smallest hash (the last of several):
+equal windows name equal anchors at equal offsets. Hashes of anchors travel packed by bucket, and those that one text alone has are dropped.
+Stage three sends, for each anchor left and half of the offsets, the part common to all its windows (the core) as a hash,
+and the bytes around it; of entries equal in core and bytes, a task sends those of its smallest document. Where one core has several surroundings, suffix
+arrays (linear grouping, `lyndon`) of the surroundings, with the core as one symbol, sort the windows; neighbours equal in a window's
+length are one window, and it belongs to the smallest document id. A core with many surroundings is split in halves of its offsets, whose cores
+are longer, until they are few or equal. Stage four joins what is covered to the texts.
+
+Texts are shuffled once, compressed, by a code of id and text. Text order is by bytes; matches never cross documents. A null
+text is empty; a null id is neither earlier nor later than any, so its document keeps everything. Repeated rows, and different texts of one id, are documents of
+their own, none earlier than the other. 64-bit hashes stand for chunks, cores and texts; within a bucket 32 bits stand for a
+gram, where a collision only lets an anchor through to stage three.
 """
 
 from __future__ import annotations
@@ -24,18 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, ship
+from .common import cut, ship
 from .lyndon import suffix_arrays
 from .textcodes import _BACK, _BYTE, _STEP, Texts, _power, mix, slices
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM, CHUNK = 50, 20, 256
 BUCKET_BYTES = 1 << 24
+#: A chunk hash that more than this part of all chunks share is joined by broadcast.
+HEAVY = 1000
 _FEW = 48
-_FLUSH = 1 << 20
-_WHOLE = np.uint32(0xFFFFFFFF)
 _PACKED = "bucket int, a binary, b binary, c binary, d binary, e binary"
 
 
@@ -59,28 +63,71 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows of a slice's texts, their hashes, and their texts."""
+def window_starts(texts: Texts) -> np.ndarray:
+    """For each byte of a slice, whether a window of its text starts there."""
+    ok = np.ones(len(texts.data), bool)
+    for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True):
+        ok[max(a, b - LENGTH + 1) : b] = False
+    return ok
+
+
+def _codes(running: np.ndarray, width: int) -> np.ndarray:
+    """A code of the `width` bytes from each position on; its upper half is well mixed."""
+    n = len(running) - width
+    x = (running[width:] - running[:n]) * _power("back", _BACK, n)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x7FB5D329728EA185)
+    return x
+
+
+def chunks(texts: Texts, running: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes of all chunks of a slice, the ends of the windows' starts in them, and their texts."""
+    n = len(texts.data)
+    if n < LENGTH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.zeros(n, bool)
+    begins[: n - 15] = _codes(running, 16) < np.uint64(2**64 // CHUNK)
+    begins[texts.offsets[:-1][texts.offsets[:-1] < n]] = True
+    start = np.flatnonzero(begins & ok)
+    text = np.searchsorted(texts.offsets, start, "right") - 1
+    end = texts.offsets[text + 1] - LENGTH + 1
+    same = text[1:] == text[:-1]
+    end[:-1][same] = start[1:][same]
+    return start, end, text
+
+
+def anchors(texts: Texts, running: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors of the live windows of a slice's texts, and their hashes."""
     n = len(texts.data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    running = _running(texts.data)
-    at = np.arange(n - GRAM + 1)
-    h = _hashes(running, at, at + GRAM)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     low = np.uint64(0xFFFFFFFF)
-    best = _least((h & ~low) | (low - at.astype(np.uint64)), LENGTH - GRAM + 1)
-    text = np.repeat(np.arange(len(texts.offsets) - 1), np.diff(texts.offsets))
-    inside = text[: len(best)] == text[LENGTH - 1 :]
-    p = np.unique((low - (best[inside] & low)).astype(np.int64))
-    return p, h[p], text[p]
+    best = _codes(running, GRAM)
+    best &= ~low
+    best |= low - np.arange(len(best), dtype=np.uint64)
+    best = _least(best, LENGTH - GRAM + 1)
+    is_anchor = np.zeros(n, bool)
+    is_anchor[(low - (best[live[: len(best)]] & low)).astype(np.int64)] = True
+    p = np.flatnonzero(is_anchor)
+    return p, _hashes(running, p, p + GRAM)
 
 
 def _text_keys(texts: Texts) -> np.ndarray:
     return _hashes(_running(texts.data), texts.offsets[:-1], texts.offsets[1:])
 
 
-def _row(bucket: int, *parts: np.ndarray) -> tuple:
-    return (bucket, *(p.tobytes() for p in parts), *([b""] * (5 - len(parts))))
+_MARK = b"mark"  # in column e: a row of what is covered, by text, that later stages only pass on
+
+
+def _row(bucket: int, *parts: np.ndarray, mark: bool = False) -> tuple:
+    return (bucket, *(p.tobytes() for p in parts), *([b""] * (4 - len(parts))), *([_MARK if mark else b""] if len(parts) < 5 else []))
+
+
+def _marks(t: pa.Table) -> tuple[list[tuple], pa.Table]:
+    """Rows of what is covered, and the other rows."""
+    marked = pc.equal(t["e"], _MARK)
+    own = t.filter(marked)
+    return list(zip(*(own[x].to_pylist() for x in ("bucket", *"abcde")), strict=True)), t.filter(pc.invert(marked))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -88,61 +135,113 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "a", "b", "c", "d", "e"])
 
 
-def _split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+def _split(bucket: np.ndarray, *columns: np.ndarray, mark: bool = False) -> Iterator[tuple]:
     """Packed rows, one for each bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     columns = [c[order] for c in columns]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else [0]
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        yield _row(int(bucket[lo]), *(c[lo:hi] for c in columns))
+        yield _row(int(bucket[lo]), *(c[lo:hi] for c in columns), mark=mark)
 
 
 def _buckets(codes: np.ndarray, n: int) -> np.ndarray:
     return ((codes >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
 
 
-def _find_anchors(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        held: list[tuple[np.ndarray, ...]] = []
+def _row_keys(part: Texts, doc: np.ndarray, running: np.ndarray) -> np.ndarray:
+    return mix(_hashes(running, part.offsets[:-1], part.offsets[1:]) ^ mix(doc.view(np.uint64)))
 
-        def flush() -> pa.RecordBatch:
-            h, key, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return _batch(list(_split(_buckets(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), key, doc, pos)))
 
+_CHUNKS = "key long, doc long, start int, stop int, hash long"
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents that have an id."""
+    for batch in batches:
+        ids = batch.column(0)
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for part in slices(batch.column(1)):
+            running = _running(part.data)
+            start, end, text = chunks(part, running, window_starts(part))
+            doc = ids[part.lo : part.hi]
+            key = _row_keys(part, doc, running)
+            go, first = known[part.lo : part.hi][text], part.offsets[text]
+            columns = (key[text].view(np.int64), doc[text], (start - first).astype(np.int32), (end - first).astype(np.int32), _hashes(running, start, end + LENGTH - 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c[go]) for c in columns], names=["key", "doc", "start", "stop", "hash"])
+
+
+def _pack_texts(buckets: int):
+    """Documents packed by bucket: ids, whether these are null, lengths, and compressed texts one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for part in slices(batch.column(1)):
-                p, h, text = anchors(part)
-                keys = _text_keys(part)
-                doc = np.zeros(part.hi - part.lo, np.int64)
-                emit = np.zeros(len(doc), bool)
-                whole = []
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for part in slices(batch.column(1), 1 << 24):
+                doc = ids[part.lo : part.hi]
+                keys = np.concatenate([_row_keys(x, doc[x.lo : x.hi], _running(x.data)) for x in part.pieces()])
                 size = np.diff(part.offsets)
-                for i in np.flatnonzero(size >= LENGTH).tolist():
-                    x = ids[part.lo + i].as_py()
-                    if x is None:
-                        continue
-                    doc[i], k = x, int(keys[i])
-                    if k in seen and seen[k] < x:
-                        whole.append(i)  # an equal text of a smaller id was read before
-                    elif k not in seen or x < seen[k]:
-                        seen[k], emit[i] = x, True
-                row_key = mix(keys ^ mix(doc.view(np.uint64)))
-                go = emit[text]
-                p, h, text = p[go], h[go], text[go]
-                held.append((h, row_key[text], doc[text], (p - part.offsets[text]).astype(np.uint32)))
-                if whole:
-                    w = np.array(whole)
-                    held.append((row_key[w], row_key[w], doc[w], np.full(len(w), _WHOLE)))
-            if sum(len(x[0]) for x in held) > _FLUSH:
-                yield flush()
-                if len(seen) > 500_000:
-                    seen.clear()  # only saves work: copies not seen are found by their anchors
-        if held:
-            yield flush()
+                raw = part.data.tobytes()
+                order = np.argsort(of := _buckets(keys, buckets), kind="stable")
+                rows = []
+                for mine in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                    text = b"".join(raw[a:b] for a, b in zip(part.offsets[mine].tolist(), part.offsets[mine + 1].tolist(), strict=True))
+                    rows.append((int(of[mine[0]]), doc[mine].tobytes(), known[part.lo : part.hi][mine].tobytes(), size[mine].tobytes(), keys[mine].tobytes(), pa.compress(text, codec="zstd", asbytes=True)))
+                yield _batch(rows)
+
+    return run
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, `many` of them, one range after another."""
+    return np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
+
+
+def _places(keys: np.ndarray, row_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places, in sorted keys, of what belongs to each text, and those texts."""
+    lo, hi = np.searchsorted(keys, row_key, "left"), np.searchsorted(keys, row_key, "right")
+    return _ranges(lo, hi - lo), np.repeat(np.arange(len(row_key)), hi - lo)
+
+
+def _find_anchors(buckets: int):
+    """Of a bucket of texts, with their dead chunks: anchors of live windows, packed by gram, and what dead chunks cover."""
+
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        dead = [s["key"].to_numpy().view(np.uint64), s["start"].to_numpy().astype(np.int64), s["stop"].to_numpy().astype(np.int64)]
+        order = np.lexsort((dead[1], dead[0]))
+        dead_key, first, stop = (x[order] for x in dead)
+        new = np.ones(len(dead_key), bool)  # of a repeated row's chunks, one
+        new[1:] = (dead_key[1:] != dead_key[:-1]) | (first[1:] != first[:-1])
+        dead_key, first, stop = dead_key[new], first[new], stop[new]
+        begins = np.ones(len(dead_key), bool)
+        begins[1:] = (dead_key[1:] != dead_key[:-1]) | (first[1:] != stop[:-1])
+        at = np.flatnonzero(begins)
+        last = np.append(at[1:], len(dead_key))[: len(at)] - 1
+        dead_key, first, stop = dead_key[at], first[at], stop[last]
+        rows = list(_split(_buckets(dead_key, buckets), dead_key, first.astype(np.uint32), (stop + LENGTH - 1).astype(np.uint32), mark=True))
+        held, done = [], set()
+        for part, row_key, _, known in _texts_of(t):
+            running, live = _running(part.data), window_starts(part)
+            at, text = _places(dead_key, row_key)
+            change = np.zeros(len(part.data) + 1, np.int8)
+            np.add.at(change, first[at] + part.offsets[text], 1)
+            np.add.at(change, stop[at] + part.offsets[text], -1)
+            live &= np.cumsum(change[:-1], dtype=np.int8) == 0
+            for i, k in enumerate(row_key.tolist()):  # repeated rows send their anchors once
+                if k in done or not known[i]:
+                    live[part.offsets[i] : part.offsets[i + 1]] = False
+                done.add(k)
+            p, h = anchors(part, running, live)
+            text = np.searchsorted(part.offsets, p, "right") - 1
+            held.append((h, row_key[text], (p - part.offsets[text]).astype(np.uint32)))
+        if not held:
+            return pa.Table.from_batches([_batch(rows)])
+        h, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        rows += _split(_buckets(h, buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), key, pos)
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -155,17 +254,21 @@ def _columns(t: pa.Table, *kinds: type) -> list[np.ndarray]:
 
 
 def _shared(buckets: int):
-    """Of a bucket of anchors: those of grams that two documents have, and texts known to be covered whole, packed by the text's bucket."""
+    """Of a bucket of anchors: those of grams that two texts have, packed by the text's bucket."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, key, doc, pos = _columns(t, np.uint32, np.uint64, np.int64, np.uint32)
-        _, group = np.unique(h, return_inverse=True)
-        n = int(group.max()) + 1 if len(group) else 0
-        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(low, group, doc)
-        np.maximum.at(high, group, doc)
-        keep = (low != high)[group] | (pos == _WHOLE)
-        return pa.Table.from_batches([_batch(list(_split(_buckets(key[keep], buckets), key[keep], pos[keep])))])
+        rows, t = _marks(t)
+        h, key, pos = _columns(t, np.uint32, np.uint64, np.uint32)
+        order = np.argsort(h, kind="stable")
+        h, key, pos = h[order], key[order], pos[order]
+        head = np.ones(len(h), bool)
+        head[1:] = h[1:] != h[:-1]
+        group = np.cumsum(head) - 1
+        mixed = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+        mixed[group[1:][(h[1:] == h[:-1]) & (key[1:] != key[:-1])]] = True
+        keep = mixed[group]
+        rows += _split(_buckets(key[keep], buckets), key[keep], pos[keep])
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -183,39 +286,42 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _texts_of(t: pa.Table) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a bucket of documents, with row keys, ids and which ids aren't null."""
-    ids = t["doc_id"].combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    known = ~ids.is_null().to_numpy(zero_copy_only=False)
-    doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    for part in slices(t["text"]):
-        mine = slice(part.lo, part.hi)
-        yield part, mix(_text_keys(part) ^ mix(doc[mine].view(np.uint64))), doc[mine], known[mine]
+    """Slices of a bucket of packed documents, with row keys, ids and which ids aren't null."""
+    for a, b, c, d, e in zip(*(t[x] for x in "abcde"), strict=True):
+        size = np.frombuffer(c.as_py(), np.int64)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(pa.decompress(e.as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+        whole = Texts(0, len(size), data, offsets)
+        doc, known, key = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), bool), np.frombuffer(d.as_py(), np.uint64)
+        for part in whole.pieces():
+            mine = slice(part.lo, part.hi)
+            yield part, key[mine], doc[mine], known[mine]
 
 
 def _entries(buckets: int):
-    """Cores and surroundings of shared anchors, packed by core; a: cores, b: row keys, c: ids, d: anchors and halves, e: surroundings."""
+    """Cores and surroundings of shared anchors, packed by core; a: cores, b: row keys, c: ids, d: anchors and halves, e: surroundings.
+
+    Where a task has the same core and surroundings again in a later document, it sends what that covers instead.
+    """
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        rows, s = _marks(s)
         key, pos = _columns(s, np.uint64, np.uint32)
-        key, pos = key[pos != _WHOLE], pos[pos != _WHOLE].astype(np.int64)
+        pos = pos.astype(np.int64)
         order = np.lexsort((pos, key))
         key, pos = key[order], pos[order]
         made: list[tuple[np.ndarray, ...]] = []
         done: set[int] = set()
-        for part, row_key, doc, known in _texts_of(t) if t.num_rows else ():
+        for part, row_key, doc, known in _texts_of(t):
             data = part.data
             running = _running(data)
-            lo, hi = np.searchsorted(key, row_key, "left"), np.searchsorted(key, row_key, "right")
             fresh = np.array([k not in done for k in row_key.tolist()], bool) & known
             first = np.zeros(len(row_key), bool)
             first[np.unique(row_key, return_index=True)[1]] = True
             fresh &= first  # repeated rows are entered once
             done.update(row_key[fresh].tolist())
-            hi = np.where(fresh, hi, lo)
-            many = hi - lo
-            text = np.repeat(np.arange(len(row_key)), many)
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+            at, text = _places(key, row_key)
+            at, text = at[fresh[text]], text[fresh[text]]
             begin, end = part.offsets[text], part.offsets[text + 1]
             a = begin + pos[at]
             for half, (o1, o2) in enumerate(_HALVES):
@@ -238,14 +344,31 @@ def _entries(buckets: int):
                 place = ((x - part.offsets[tx]) * 2 + half).astype(np.uint32)
                 made.append((core, row_key[tx], doc[tx], place, around))
         if not made:
-            return pa.Table.from_batches([_batch([])])
-        core, *rest = (np.concatenate(x) for x in zip(*made, strict=True))
-        rows = _split(_buckets(core, buckets), core, *rest)
-        return pa.Table.from_batches([_batch([(*r[:5], pa.compress(r[5], codec="zstd", asbytes=True)) for r in rows])])
+            return pa.Table.from_batches([_batch(rows)])
+        core, key, doc, place, around = (np.concatenate(x) for x in zip(*made, strict=True))
+        code = core.copy()
+        for j in range(0, 32, 8):
+            code = mix(code * np.uint64(0xD1342543DE82EF95) + np.ascontiguousarray(around[:, j : j + 8]).view(np.uint64)[:, 0])
+        order = np.lexsort((doc, code))
+        head = np.ones(len(code), bool)
+        head[1:] = code[order][1:] != code[order][:-1]
+        later = np.zeros(len(code), bool)
+        later[order] = doc[order] > doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+        rows += list(_covers(key[later], place[later], around[later, 30].astype(np.int64), around[later, 31].astype(np.int64), buckets))
+        send = ~later
+        rows += [(*r[:5], pa.compress(r[5], codec="zstd", asbytes=True)) for r in _split(_buckets(core[send], buckets), core[send], key[send], doc[send], place[send], around[send])]
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
+def _covers(key: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Packed rows of the stretches that the windows of offsets low to high at anchors cover, by text."""
+    o1 = np.where(place % 2 == 0, _HALVES[0][0], _HALVES[1][0])
+    a = (place // 2).astype(np.int64) - o1
+    return _split(_buckets(key, buckets), key, (a - high).astype(np.uint32), (a - low + LENGTH).astype(np.uint32), mark=True)
+
+
 def first_windows(core: np.ndarray, left: np.ndarray, right: np.ndarray, w: int, least: np.ndarray, most: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry, the smallest and largest offset at which its window also starts in a smaller document (-1: none).
 
@@ -359,18 +482,16 @@ def _covered(buckets: int):
     """Of a bucket of cores: stretches of texts that earlier documents have, packed by the text's bucket."""
 
     def run(t: pa.Table) -> pa.Table:
+        rows, t = _marks(t)
         core, key, doc, place = _columns(t, np.uint64, np.uint64, np.int64, np.uint32)
         sizes = [4 * len(x) for x in t["a"].to_pylist()]  # 32 bytes for each core of 8
         around = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(t["e"].to_pylist(), sizes, strict=True)]
         around = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 32)
-        rows = []
         for half, (o1, o2) in enumerate(_HALVES):
             r = np.flatnonzero(place % 2 == half)
-            w = o2 - o1
-            low, high = first_windows(core[r], around[r, :15], around[r, 15:30], w, around[r, 30].astype(np.int64), around[r, 31].astype(np.int64), doc[r])
+            low, high = first_windows(core[r], around[r, :15], around[r, 15:30], o2 - o1, around[r, 30].astype(np.int64), around[r, 31].astype(np.int64), doc[r])
             hit = high >= 0
-            a = (place[r][hit] // 2).astype(np.int64)
-            rows += _split(_buckets(key[r][hit], buckets), key[r][hit], (a - o1 - high[hit]).astype(np.uint32), (a - o1 - low[hit] + LENGTH).astype(np.uint32))
+            rows += _covers(key[r][hit], place[r][hit], low[hit], high[hit], buckets)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -385,63 +506,49 @@ def _results(t: pa.Table, s: pa.Table) -> pa.Table:
     order = np.lexsort((start, key))
     key, start, end = key[order], start[order].astype(np.int64), end[order].astype(np.int64)
     rows = []
-    if t.num_rows:
-        ids = t["doc_id"].to_pylist()
-        for part, row_key, _, known in _texts_of(t):
-            lo, hi = np.searchsorted(key, row_key, "left"), np.searchsorted(key, row_key, "right")
-            for i in range(part.hi - part.lo):
-                data = part.data[part.offsets[i] : part.offsets[i + 1]]
-                a, b = start[lo[i] : hi[i]], np.minimum(end[lo[i] : hi[i]], len(data))
-                if not len(a) or not known[i]:
-                    rows.append((ids[part.lo + i], len(data), 0, 0, hashlib.sha256(data).hexdigest(), []))
-                    continue
-                reach = np.maximum.accumulate(b)
-                new = np.concatenate([[True], a[1:] > reach[:-1]])
-                a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
-                kept = np.ones(len(data), bool)
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    kept[x:y] = False
-                rows.append((ids[part.lo + i], len(data), int((b - a).sum()), len(a), hashlib.sha256(data[kept].tobytes()).hexdigest(), np.column_stack([a, b]).ravel().tolist()))
+    for part, row_key, doc, known in _texts_of(t):
+        lo, hi = np.searchsorted(key, row_key, "left"), np.searchsorted(key, row_key, "right")
+        for i in range(part.hi - part.lo):
+            data = part.data[part.offsets[i] : part.offsets[i + 1]]
+            a, b = start[lo[i] : hi[i]], end[lo[i] : hi[i]]
+            doc_id = int(doc[i]) if known[i] else None
+            if not len(a) or not known[i]:
+                rows.append((doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), []))
+                continue
+            reach = np.maximum.accumulate(b)
+            new = np.concatenate([[True], a[1:] > reach[:-1]])
+            a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
+            kept = np.ones(len(data), bool)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                kept[x:y] = False
+            rows.append((doc_id, len(data), int((b - a).sum()), len(a), hashlib.sha256(data[kept].tobytes()).hexdigest(), np.column_stack([a, b]).ravel().tolist()))
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
+def dead_chunks(docs: DataFrame) -> DataFrame:
+    """(key, start, stop) of chunks that an earlier document has too."""
+    every = cut(docs.mapInArrow(_chunk_rows, _CHUNKS))
+    shared = every.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most")
+    many = every.count() // HEAVY
+    shared = cut(shared.select("hash", "least", "n"))
+    heavy, light = F.broadcast(shared.where(F.col("n") > many).select("hash", "least")), shared.where(F.col("n") <= many).select("hash", "least")
+    rest = every.join(heavy.select("hash"), "hash", "left_anti").join(light, "hash")
+    return every.join(heavy, "hash").unionByName(rest).where("doc > least").select("key", "start", "stop")
+
+
 def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed stretches."""
     ship(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(48, -(-total // bucket_bytes))
-    found = docs.mapInArrow(_find_anchors(buckets), _PACKED)
-    shared = cut(found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared(buckets), _PACKED))
-    release(documents.sparkSession)
-    # texts are dealt by the same key as their anchors: a code of id and text, made where both are known
-    keyed = docs.mapInArrow(_with_bucket(buckets), "doc_id long, text string, bucket int").repartition(buckets, "bucket")
-    entries = keyed.groupBy("bucket").cogroup(shared.select("bucket", "a", "b").repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(_entries(buckets), _PACKED)
-    spans = entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_covered(buckets), _PACKED)
-    whole = shared.select("bucket", "a", "b").mapInArrow(_whole, _PACKED)
-    marks = spans.unionByName(whole).select("bucket", "a", "b", "c").repartition(buckets, "bucket")
-    return keyed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_results, _RESULT)
-
-
-def _with_bucket(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            keys = [mix(_text_keys(p) ^ mix(doc[p.lo : p.hi].view(np.uint64))) for p in slices(batch.column(1))]
-            got = _buckets(np.concatenate(keys), buckets) if keys else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=["doc_id", "text", "bucket"])
-
-    return run
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for bucket, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            key = np.frombuffer(a, np.uint64)[np.frombuffer(b, np.uint32) == _WHOLE]
-            if len(key):
-                rows.append(_row(bucket, key, np.zeros(len(key), np.uint32), np.full(len(key), _WHOLE)))
-        if rows:
-            yield _batch(rows)
+    group = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    dead = dead_chunks(docs).withColumn("bucket", (F.shiftrightunsigned("key", 33) % buckets).cast("int"))
+    texts = group(docs.mapInArrow(_pack_texts(buckets), _PACKED))
+    found = texts.cogroup(group(dead)).applyInArrow(_find_anchors(buckets), _PACKED)
+    shared = group(found).applyInArrow(_shared(buckets), _PACKED)
+    entries = texts.cogroup(group(shared)).applyInArrow(_entries(buckets), _PACKED)
+    spans = group(entries).applyInArrow(_covered(buckets), _PACKED)
+    return texts.cogroup(group(spans)).applyInArrow(_results, _RESULT)

@@ -49,6 +49,14 @@ class Texts:
     data: np.ndarray
     offsets: np.ndarray
 
+    def pieces(self, most: int = 1 << 20) -> Iterator[Texts]:
+        """The same texts, numbered from 0, in runs of at most about `most` bytes, one text at least."""
+        lo, n = 0, len(self.offsets) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.offsets, self.offsets[lo] + most, "right")) - 1)
+            yield Texts(lo, hi, self.data[self.offsets[lo] : self.offsets[hi]], self.offsets[lo : hi + 1] - self.offsets[lo])
+            lo = hi
+
 
 def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Texts]:
     """The texts of an Arrow column (null: empty) in runs of at most about `most` bytes, one text at least."""
