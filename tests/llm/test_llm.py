@@ -261,6 +261,33 @@ def test_cover_tree(spark, block):
     assert got == want
 
 
+def test_cover_tree_of_any_magnitude(spark):
+    v = [[1e200, 0.0], [2e200, 0.0], [1e-200, 1e-200], [2e-200, 2e-200], [1.0, 0.0], [1.0, 1e-4], [5e-324, 0.0], [1e308, 1e308], [1.0, 1.0, 0.0], [2.0, 2.0, 0.0]]
+    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 4: (4, 0), 5: (4, 0), 6: (4, 0), 2: (2, 2), 3: (2, 2), 7: (2, 2), 8: (1, 8), 9: (1, 8)}
+
+
+def test_cover_tree_of_one_large_label(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = np.concatenate([centres[rng.integers(0, 40, 2500)] + rng.normal(size=(2500, 24)) * rng.choice([0.03, 0.1, 0.16, 0.5], (2500, 1)), rng.normal(size=(1500, 24)), centres[0] + rng.normal(size=(1000, 24)) * 0.02])
+    unit = x / np.sqrt((x**2).sum(1))[:, None]
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    a, b = np.nonzero(link)
+    root = np.arange(len(x))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        if (new == root).all():
+            break
+        root = new
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df, block=300, fan=8).collect()}
+    assert got == {i: (int(n), int(r)) for i, (n, r) in enumerate(zip(link.sum(1), root))}
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
