@@ -9,7 +9,8 @@ by a broadcast of at most a thousand rows, so no hash is a task of its own.
 Stage two: every other window names one anchor, the `gram`-byte string in it with the smallest hash (the last of several):
 equal windows name equal anchors at equal offsets. Hashes of anchors travel packed by bucket, and those that one text alone has are dropped.
 Stage three sends, for each anchor left and half of the offsets, the part common to all its windows (the core) as a hash,
-and the bytes around it; of entries equal in core and bytes, a task sends those of its smallest document. Where one core has several surroundings, suffix
+and the bytes around it; of entries equal in core and bytes, a task sends one, of its smallest document. Anchors that more than HOT texts share are sent as their
+own windows, one by one, for what surrounds a frequent passage is different everywhere. Where one core has several surroundings, suffix
 arrays (linear grouping, `lyndon`) of the surroundings, with the core as one symbol, sort the windows; neighbours equal in a window's
 length are one window, and it belongs to the smallest document id. A core with many surroundings is split in halves of its offsets, whose cores
 are longer, until they are few or equal. Stage four joins what is covered to the texts.
@@ -39,6 +40,9 @@ LENGTH, GRAM, CHUNK = 50, 20, 256
 BUCKET_BYTES = 1 << 24
 #: A chunk hash that more than this part of all chunks share is joined by broadcast.
 HEAVY = 1000
+#: Texts with one gram from which its windows are sent one by one.
+HOT = 1000
+_HOT = np.uint32(1 << 31)
 _FEW = 48
 _PACKED = "bucket int, a binary, b binary, c binary, d binary, e binary"
 
@@ -96,18 +100,23 @@ def chunks(texts: Texts, running: np.ndarray, ok: np.ndarray) -> tuple[np.ndarra
     return start, end, text
 
 
+def anchors_of_windows(running: np.ndarray) -> np.ndarray:
+    """The anchor of the window that starts at each byte of a slice, as long as windows lie in it."""
+    low = np.uint64(0xFFFFFFFF)
+    best = _codes(running, GRAM)
+    best &= ~low
+    best |= low - np.arange(len(best), dtype=np.uint64)
+    return (low - (_least(best, LENGTH - GRAM + 1) & low)).astype(np.int64)
+
+
 def anchors(texts: Texts, running: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of the live windows of a slice's texts, and their hashes."""
     n = len(texts.data)
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = np.uint64(0xFFFFFFFF)
-    best = _codes(running, GRAM)
-    best &= ~low
-    best |= low - np.arange(len(best), dtype=np.uint64)
-    best = _least(best, LENGTH - GRAM + 1)
+    of = anchors_of_windows(running)
     is_anchor = np.zeros(n, bool)
-    is_anchor[(low - (best[live[: len(best)]] & low)).astype(np.int64)] = True
+    is_anchor[of[live[: len(of)]]] = True
     p = np.flatnonzero(is_anchor)
     return p, _hashes(running, p, p + GRAM)
 
@@ -116,16 +125,17 @@ def _text_keys(texts: Texts) -> np.ndarray:
     return _hashes(_running(texts.data), texts.offsets[:-1], texts.offsets[1:])
 
 
-_MARK = b"mark"  # in column e: a row of what is covered, by text, that later stages only pass on
+#: In column e: rows, by text, that later stages only pass on: what is covered; or starts of windows, those of equal windows of the same text, and how many follow.
+_MARK, _SAME = b"mark", b"same"
 
 
-def _row(bucket: int, *parts: np.ndarray, mark: bool = False) -> tuple:
-    return (bucket, *(p.tobytes() for p in parts), *([b""] * (4 - len(parts))), *([_MARK if mark else b""] if len(parts) < 5 else []))
+def _row(bucket: int, *parts: np.ndarray, mark: bytes = b"") -> tuple:
+    return (bucket, *(p.tobytes() for p in parts), *([b""] * (4 - len(parts))), *([mark] if len(parts) < 5 else []))
 
 
 def _marks(t: pa.Table) -> tuple[list[tuple], pa.Table]:
     """Rows of what is covered, and the other rows."""
-    marked = pc.equal(t["e"], _MARK)
+    marked = pc.is_in(t["e"], value_set=pa.array([_MARK, _SAME]))
     own = t.filter(marked)
     return list(zip(*(own[x].to_pylist() for x in ("bucket", *"abcde")), strict=True)), t.filter(pc.invert(marked))
 
@@ -135,7 +145,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "a", "b", "c", "d", "e"])
 
 
-def _split(bucket: np.ndarray, *columns: np.ndarray, mark: bool = False) -> Iterator[tuple]:
+def _split(bucket: np.ndarray, *columns: np.ndarray, mark: bytes = b"") -> Iterator[tuple]:
     """Packed rows, one for each bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
@@ -221,7 +231,7 @@ def _find_anchors(buckets: int):
         at = np.flatnonzero(begins)
         last = np.append(at[1:], len(dead_key))[: len(at)] - 1
         dead_key, first, stop = dead_key[at], first[at], stop[last]
-        rows = list(_split(_buckets(dead_key, buckets), dead_key, first.astype(np.uint32), (stop + LENGTH - 1).astype(np.uint32), mark=True))
+        rows = list(_split(_buckets(dead_key, buckets), dead_key, first.astype(np.uint32), (stop + LENGTH - 1).astype(np.uint32), mark=_MARK))
         held, done = [], set()
         for part, row_key, _, known in _texts_of(t):
             running, live = _running(part.data), window_starts(part)
@@ -253,8 +263,8 @@ def _columns(t: pa.Table, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _shared(buckets: int):
-    """Of a bucket of anchors: those of grams that two texts have, packed by the text's bucket."""
+def _shared(buckets: int, many: int):
+    """Of a bucket of anchors: those of grams that two texts have, with a bit where many have them, packed by the text's bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         rows, t = _marks(t)
@@ -266,6 +276,11 @@ def _shared(buckets: int):
         group = np.cumsum(head) - 1
         mixed = np.zeros(group[-1] + 1 if len(group) else 0, bool)
         mixed[group[1:][(h[1:] == h[:-1]) & (key[1:] != key[:-1])]] = True
+        order = np.lexsort((key, group))
+        other = np.ones(len(key), bool)
+        other[1:] = (group[order][1:] != group[order][:-1]) | (key[order][1:] != key[order][:-1])
+        hot = np.bincount(group[order][other], minlength=len(mixed)) > many
+        pos = pos | np.where(hot[group], _HOT, np.uint32(0))
         keep = mixed[group]
         rows += _split(_buckets(key[keep], buckets), key[keep], pos[keep])
         return pa.Table.from_batches([_batch(rows)])
@@ -301,7 +316,7 @@ def _texts_of(t: pa.Table) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.n
 def _entries(buckets: int):
     """Cores and surroundings of shared anchors, packed by core; a: cores, b: row keys, c: ids, d: anchors and halves, e: surroundings.
 
-    Where a task has the same core and surroundings again in a later document, it sends what that covers instead.
+    Where a task has the same core and surroundings again, in a later document, it sends what that covers instead; in the same document, that the windows are equal.
     """
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
@@ -322,6 +337,15 @@ def _entries(buckets: int):
             done.update(row_key[fresh].tolist())
             at, text = _places(key, row_key)
             at, text = at[fresh[text]], text[fresh[text]]
+            hot = (pos[at] & int(_HOT)) > 0
+            if hot.any():
+                is_hot = np.zeros(len(data), bool)
+                is_hot[part.offsets[text[hot]] + (pos[at[hot]] ^ int(_HOT))] = True
+                w = np.flatnonzero(is_hot[anchors_of_windows(running)] & window_starts(part)[: len(data) - LENGTH + 1])
+                tx = np.searchsorted(part.offsets, w, "right") - 1
+                w, tx = w[fresh[tx]], tx[fresh[tx]]
+                made.append((_hashes(running, w, w + LENGTH) ^ np.uint64(2), row_key[tx], doc[tx], ((w - part.offsets[tx]) * 2).astype(np.uint32), np.zeros((len(w), 32), np.uint8)))
+                at, text = at[~hot], text[~hot]
             begin, end = part.offsets[text], part.offsets[text + 1]
             a = begin + pos[at]
             for half, (o1, o2) in enumerate(_HALVES):
@@ -349,13 +373,23 @@ def _entries(buckets: int):
         code = core.copy()
         for j in range(0, 32, 8):
             code = mix(code * np.uint64(0xD1342543DE82EF95) + np.ascontiguousarray(around[:, j : j + 8]).view(np.uint64)[:, 0])
-        order = np.lexsort((doc, code))
+        order = np.lexsort((place, key, doc, code))
         head = np.ones(len(code), bool)
         head[1:] = code[order][1:] != code[order][:-1]
+        first = order[np.flatnonzero(head)][np.cumsum(head) - 1]
         later = np.zeros(len(code), bool)
-        later[order] = doc[order] > doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-        rows += list(_covers(key[later], place[later], around[later, 30].astype(np.int64), around[later, 31].astype(np.int64), buckets))
+        later[order] = doc[order] > doc[first]
+        low, high = around[:, 30].astype(np.int64), around[:, 31].astype(np.int64)
+        rows += list(_covers(key[later], place[later], low[later], high[later], buckets))
+        own = np.ones(len(code), bool)  # the first place of each text
+        own[1:] = head[1:] | (key[order][1:] != key[order][:-1])
+        leader = order[np.flatnonzero(own)][np.cumsum(own) - 1]
+        again = ~own & ~later[order]
+        f, l = order[again], leader[again]
+        start = lambda i: ((place[i] // 2).astype(np.int64) - np.where(place[i] % 2 == 0, _HALVES[0][0], _HALVES[1][0]) - high[i]).astype(np.uint32)
+        rows += _split(_buckets(key[f], buckets), key[f], start(f), start(l), (high[f] - low[f] + 1).astype(np.uint8), mark=_SAME)
         send = ~later
+        send[f] = False
         rows += [(*r[:5], pa.compress(r[5], codec="zstd", asbytes=True)) for r in _split(_buckets(core[send], buckets), core[send], key[send], doc[send], place[send], around[send])]
         return pa.Table.from_batches([_batch(rows)])
 
@@ -366,7 +400,7 @@ def _covers(key: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarra
     """Packed rows of the stretches that the windows of offsets low to high at anchors cover, by text."""
     o1 = np.where(place % 2 == 0, _HALVES[0][0], _HALVES[1][0])
     a = (place // 2).astype(np.int64) - o1
-    return _split(_buckets(key, buckets), key, (a - high).astype(np.uint32), (a - low + LENGTH).astype(np.uint32), mark=True)
+    return _split(_buckets(key, buckets), key, (a - high).astype(np.uint32), (a - low + LENGTH).astype(np.uint32), mark=_MARK)
 
 
 def first_windows(core: np.ndarray, left: np.ndarray, right: np.ndarray, w: int, least: np.ndarray, most: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -502,11 +536,16 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _results(t: pa.Table, s: pa.Table) -> pa.Table:
     """What is left of each text of a bucket; removed: starts and ends of removed stretches."""
-    key, start, end = _columns(s, np.uint64, np.uint32, np.uint32)
+    same = pc.equal(s["e"], _SAME)
+    key, start, end = _columns(s.filter(pc.invert(same)), np.uint64, np.uint32, np.uint32)
     order = np.lexsort((start, key))
     key, start, end = key[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    twin_key, *twin = _columns(s.filter(same), np.uint64, np.uint32, np.uint32, np.uint8)
+    order = np.argsort(twin_key, kind="stable")
+    twin_key, (there, here, run) = twin_key[order], (x[order].astype(np.int64) for x in twin)
     rows = []
     for part, row_key, doc, known in _texts_of(t):
+        twin_lo, twin_hi = np.searchsorted(twin_key, row_key, "left"), np.searchsorted(twin_key, row_key, "right")
         lo, hi = np.searchsorted(key, row_key, "left"), np.searchsorted(key, row_key, "right")
         for i in range(part.hi - part.lo):
             data = part.data[part.offsets[i] : part.offsets[i + 1]]
@@ -515,6 +554,15 @@ def _results(t: pa.Table, s: pa.Table) -> pa.Table:
             if not len(a) or not known[i]:
                 rows.append((doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), []))
                 continue
+            if twin_hi[i] > twin_lo[i]:  # equal windows are covered alike
+                mine = slice(twin_lo[i], twin_hi[i])
+                change = np.bincount(a, minlength=len(data) + 1) - np.bincount(b - LENGTH + 1, minlength=len(data) + 1)
+                covered, many = np.cumsum(change) > 0, run[mine]
+                x, y = _ranges(there[mine], many), _ranges(here[mine], many)
+                x = np.unique(x[covered[y]])
+                a, b = np.concatenate([a, x]), np.concatenate([b, x + LENGTH])
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
             reach = np.maximum.accumulate(b)
             new = np.concatenate([[True], a[1:] > reach[:-1]])
             a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
@@ -538,7 +586,7 @@ def dead_chunks(docs: DataFrame) -> DataFrame:
     return every.join(heavy, "hash").unionByName(rest).where("doc > least").select("key", "start", "stop")
 
 
-def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed stretches."""
     ship(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -548,7 +596,7 @@ def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     dead = dead_chunks(docs).withColumn("bucket", (F.shiftrightunsigned("key", 33) % buckets).cast("int"))
     texts = group(docs.mapInArrow(_pack_texts(buckets), _PACKED))
     found = texts.cogroup(group(dead)).applyInArrow(_find_anchors(buckets), _PACKED)
-    shared = group(found).applyInArrow(_shared(buckets), _PACKED)
+    shared = group(found).applyInArrow(_shared(buckets, hot), _PACKED)
     entries = texts.cogroup(group(shared)).applyInArrow(_entries(buckets), _PACKED)
     spans = group(entries).applyInArrow(_covered(buckets), _PACKED)
     return texts.cogroup(group(spans)).applyInArrow(_results, _RESULT)

@@ -345,13 +345,16 @@ def test_suffix_arrays():
             assert (got[bounds[i] : bounds[i + 1]] - bounds[i]).tolist() == sorted(range(len(x)), key=lambda j: x[j:])
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_repeats(spark, hot):
     rng = random.Random(5)
     passages = ["".join(rng.choice("abcdefghij é") for _ in range(rng.randint(40, 120))) for _ in range(12)]
     rows = []
     for _ in range(150):
         rows.append((rng.randint(0, 140), "".join(rng.choice([rng.choice(passages), "".join(rng.choice("abcdefghijkl ") for _ in range(rng.randint(0, 40))), "xy" * rng.randint(1, 40)]) for _ in range(rng.randint(0, 6)))))
     rows += [(i, passages[1] + str(i * 7919 % 1000) * 3 + passages[2]) for i in range(200, 270)]
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(700))
+    rows += [(500 + i, long[: 900 * i] + f" [{i}] " + long[900 * i :]) for i in range(5)] + [(600, "the " * 400), (601, "x" + "the " * 300 + "y"), (602, "ab" * 90), (603, "abab" * 30 + passages[3])]
     rows += [(None, passages[0] * 2), (5, None), (7, ""), (400, rows[3][1]), (401, rows[3][1]), (401, rows[3][1])]
     first = {}
     for d, t in rows:
@@ -366,7 +369,7 @@ def test_repeats(spark):
             if first[b[i : i + 50]] < d:
                 gone[i : i + 50] = True
         want[d, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
-    got = Counter(tuple(r) for r in repeats.removed_repeats(frame(spark, rows)).drop("removed").collect())
+    got = Counter(tuple(r) for r in repeats.removed_repeats(frame(spark, rows), hot=hot).drop("removed").collect())
     assert got == want
 
 
