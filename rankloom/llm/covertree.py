@@ -5,7 +5,7 @@ of cells is grown over all points of a label, level by level: a cell of more tha
 smallest hashes), and each of its points goes to the nearest. Cells end where they hold at most `block` points or lie within half the threshold of their
 centre; such dense cells are cut by a hash. The number of cells follows the number of points; all of a level is assigned in tasks of bounded
 size. Spark then walks down the tree with itself, one level a round: pairs of cells whose centres are farther apart than both covering radii and the
-threshold allow are dropped. The pairs of final cells that are left are a task each.
+threshold allow are dropped. The pairs of final cells that are left are a task each, for the points of either cell that may have a partner in the other.
 
 A task builds a cover tree of each of its two cells: nested levels of centres with halving radii, every point within
 its level's radius of its centre. Both trees are walked down together; a pair of nodes is dropped as soon as the
@@ -211,7 +211,7 @@ def links(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, vectors: np.nda
     return ids[some], out.count[some], ids[out.roots()][some]
 
 
-_POINT = "point long, label long, dim int, copies long, vector array<{t}>, node long, far double"
+_POINT = "point long, label long, dim int, copies long, vector array<{t}>, node long, far double, visits array<long>"
 
 
 def _matrix(t: pa.Table, name: str, dim: int) -> np.ndarray:
@@ -219,15 +219,24 @@ def _matrix(t: pa.Table, name: str, dim: int) -> np.ndarray:
 
 
 def _to_nearest(points: pa.Table, centres: pa.Table) -> pa.Table:
-    """Points of one cell with the nearest of its centres, and their distance."""
+    """Points of one cell with the nearest of its centres, their distance, and the other cells that may hold a partner.
+
+    What is nearer to centre c than to centre d lies on c's side of the plane between them; a point as far as the threshold on d's side has no partner there.
+    """
     points, dim = points.combine_chunks(), points["dim"][0].as_py() if points.num_rows else 1
     if not points.num_rows:
         return points.drop_columns(["salt"])
     centre = units(_matrix(centres, "centre", dim))[1]
+    reach = centres["reach"][0].as_py()
     apart = distances(units(_matrix(points, "vector", dim))[1], centre)
     child = centres["child"].to_numpy()
-    points = points.drop_columns(["salt", "node", "far"])
-    return points.append_column("node", pa.array(child[apart.argmin(1)])).append_column("far", pa.array(apart.min(1)))
+    own, far = apart.argmin(1), apart.min(1)
+    between = distances(centre, centre)[own]
+    visit = (apart**2 - far[:, None] ** 2 <= 2 * reach * between + _SLACK) & (np.arange(len(child)) != own[:, None])
+    before = [x or [] for x in points["visits"].to_pylist()]
+    visits = pa.array([x + child[v].tolist() for x, v in zip(before, visit, strict=True)], pa.list_(pa.int64()))
+    points = points.drop_columns(["salt", "node", "far", "visits"])
+    return points.append_column("node", pa.array(child[own])).append_column("far", pa.array(far)).append_column("visits", visits)
 
 
 def _sum(values: Column) -> Column:
@@ -243,7 +252,7 @@ def grow(points: DataFrame, cosine: float, block: int, fan: int) -> tuple[DataFr
     """Points in their final cells; all cells (node, parent, centre, radius, n, final); and the number of levels."""
     far = float(np.sqrt(2 - 2 * cosine))
     kind = points.schema["vector"].dataType.elementType.simpleString()
-    placed = points.withColumns({"node": F.xxhash64("label", "dim"), "far": F.lit(4.0)}).select(*[x.split()[0] for x in _POINT.split(", ")])
+    placed = points.withColumns({"node": F.xxhash64("label", "dim"), "far": F.lit(4.0), "visits": F.array().cast("array<long>")}).select(*[x.split()[0] for x in _POINT.split(", ")])
     of = placed.groupBy("node").agg(F.count("*").alias("n")).select("node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("array<double>").alias("centre"), F.lit(4.0).alias("radius"), "n")
     cells, level = cut(of), 0
     last = cells
@@ -258,7 +267,7 @@ def grow(points: DataFrame, cosine: float, block: int, fan: int) -> tuple[DataFr
         centres = cut(ranked.where("rank <= k").select("node", F.xxhash64("node", "rank", F.lit(level)).alias("child"), _unit(F.col("vector").cast("array<double>")).alias("centre"), "n"))
         salts = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
         mine = placed.join(large.select("node", "n"), "node").withColumn("salt", F.pmod(F.xxhash64("point", F.lit(3)), salts).cast("int")).drop("n")
-        spread = centres.select(F.col("node").alias("cell"), "child", "centre", F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"))
+        spread = centres.select(F.col("node").alias("cell"), "child", "centre", F.lit(far).alias("reach"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("part"))
         moved = mine.groupBy("node", "salt").cogroup(spread.groupBy("cell", "part")).applyInArrow(_to_nearest, _POINT.format(t=kind))
         placed = cut(placed.join(large.select("node"), "node", "left_anti").select(*moved.columns).unionByName(moved))
         sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
@@ -267,11 +276,15 @@ def grow(points: DataFrame, cosine: float, block: int, fan: int) -> tuple[DataFr
 
 
 def meeting(cells: DataFrame, levels: int, cosine: float) -> DataFrame:
-    """(a, b) of final cells, a <= b, that may hold a linked pair: the tree walked down with itself."""
+    """(a, b, via_a, via_b) of final cells, a <= b, that may hold a linked pair: the tree walked down with itself.
+
+    via_b is the ancestor of b, or b, where the paths to both part; points of a that don't visit it have no partner in b. via_a likewise.
+    """
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
     below = cells.where("parent is not null").select(F.col("parent").alias("up"), "node", "centre", "radius")
     kids = cut(below.unionByName(cells.where("final").select(F.col("node").alias("up"), "node", "centre", "radius")))
-    pairs = cells.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    none = F.lit(None).cast("long")
+    pairs = cells.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"), none.alias("via_a"), none.alias("via_b"))
 
     def side(x: str) -> DataFrame:
         return kids.select(F.col("up").alias(x), F.col("node").alias(f"{x}_node"), F.col("centre").alias(f"{x}_centre"), F.col("radius").alias(f"{x}_radius"))
@@ -280,7 +293,11 @@ def meeting(cells: DataFrame, levels: int, cosine: float) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b or a_node <= b_node")
         apart = F.sqrt(_sum(F.zip_with("a_centre", "b_centre", lambda v, w: (v - w) * (v - w))))
         near = both.where(F.col("a_centre").isNull() | F.col("b_centre").isNull() | (F.col("a_node") == F.col("b_node")) | (apart <= F.col("a_radius") + F.col("b_radius") + reach))
-        pairs = cut(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
+        parts = (F.col("a") == F.col("b")) & (F.col("a_node") != F.col("b_node"))
+        near = near.select("a_node", "b_node", F.when(parts, F.col("a_node")).otherwise(F.col("via_a")).alias("via_a"), F.when(parts, F.col("b_node")).otherwise(F.col("via_b")).alias("via_b"))
+        turn = F.col("a_node") > F.col("b_node")
+        either = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+        pairs = cut(near.select(either("a_node", "b_node").alias("a"), either("b_node", "a_node").alias("b"), either("via_a", "via_b").alias("via_a"), either("via_b", "via_a").alias("via_b")))
     return pairs
 
 
@@ -299,9 +316,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, block: int = BLOCK, f
     met = meeting(cells, levels, cosine)
     size = cells.where("final").select("node", F.ceil(F.col("n") / block).cast("int").alias("salts"))
     met = met.join(size.select(F.col("node").alias("a"), F.col("salts").alias("a_salts")), "a").join(size.select(F.col("node").alias("b"), F.col("salts").alias("b_salts")), "b")
-    one = met.select(F.col("a").alias("node"), F.col("a_salts").alias("salts"), F.col("b").alias("node2"), F.col("b_salts").alias("salts2"))
-    two = met.where("a <> b").select(F.col("b").alias("node"), F.col("b_salts").alias("salts"), F.col("a").alias("node2"), F.col("a_salts").alias("salts2"))
-    spread = placed.join(one.unionByName(two), "node").withColumn("salt", F.pmod(F.xxhash64("point", F.lit(7)), F.col("salts")).cast("int"))
+    one = met.select(F.col("a").alias("node"), F.col("a_salts").alias("salts"), F.col("b").alias("node2"), F.col("b_salts").alias("salts2"), F.col("via_b").alias("via"))
+    two = met.where("a <> b").select(F.col("b").alias("node"), F.col("b_salts").alias("salts"), F.col("a").alias("node2"), F.col("a_salts").alias("salts2"), F.col("via_a").alias("via"))
+    spread = placed.join(one.unionByName(two), "node").where("via is null or array_contains(visits, via)").withColumn("salt", F.pmod(F.xxhash64("point", F.lit(7)), F.col("salts")).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2"))
     own, its = F.struct("node", "salt"), F.struct(F.col("node2").alias("node"), F.col("salt2").alias("salt"))
     tasks = spread.select(F.least(own, its).alias("a"), F.greatest(own, its).alias("b"), (own <= its).alias("left"), "point", "copies", "dim", "vector")
