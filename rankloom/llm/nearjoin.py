@@ -1,21 +1,25 @@
-"""N-gram Jaccard join by banded MinHash, which stands in for an LSH forest, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Every text becomes the set of its runs of `n` words (a shorter text, but not one without words, is one run), as 64-bit
-codes. Texts of equal sets are a class; what follows is about classes. There is no forest: no sorted tries, no prefix
-matches and no lengths that adapt to data. Each of `trees` bands is one code of `depth` minima, the most (up to DEEPEST)
-with which two sets at the threshold agree in at least one band with the target recall: 1 - (1 - s**depth)**trees. That is
-fixed before any data are read, as a forest would have to match as short a prefix everywhere to promise that recall in
-every bucket. Classes with the same code in a band are a bucket; large buckets cost more than longer prefixes would.
+codes. Texts of equal sets are a class; what follows is about classes. Each of `trees` trees orders the classes by a label of
+DEEPEST minima of the set, 16 bits each: a prefix trie, in which classes equal in the first d minima are a node of depth d. Two sets
+of similarity s share a node of depth d with probability s**d.
+
+How long a prefix must match is settled for each class and tree from the sizes of the nodes. A prefix is shortened, from DEEPEST minima on, as long
+as its node holds at most `small` classes, down to SHORTEST. Where that leaves a class with less than the target recall for a partner at the threshold,
+1 - product over trees of (1 - s**depth), its prefixes are shortened further, cheapest first by added classes for recall gained, until the target is met.
+A node that one class needs is opened for all classes in it, so every class is in one node of each tree: its bucket there. Sizes below `small` don't
+decide anything, so that a pair's own presence can't; where all nodes are small, every prefix has SHORTEST minima.
 
 No pairs of a bucket become rows. Buckets of two are a pair each; larger ones are cut into blocks by a hash, and
-pairs of blocks are the units of work. A first pass over signatures alone keeps, for each unit, the classes that have a
+pairs of blocks are the units of work. A first pass over bucket codes alone keeps, for each unit, the classes that have a
 partner whose first common tree is this one, so each candidate pair is met once; then texts of those classes are
 fetched, and all candidate pairs of a unit are verified with exact set intersections. A unit returns counts of links
 and a spanning forest of them.
 
 A null text is empty; texts without words have no set, belong to a class of their own and link with nothing. Repeated
-rows are documents of their own. Rows without an id link as far as their set is equal to, or fetched from, one with an
-id. Other columns are not read.
+rows are documents of their own, and so are different texts of one id. Rows without an id link like others; where no row of a class has an id,
+its class_id is null. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
@@ -32,16 +37,25 @@ from .components import components, local_roots
 from .textcodes import Texts, mix, runs_of_words, slices, words
 
 NGRAM, SIMILARITY = 5, 0.8
-TREES, DEEPEST, RECALL = 20, 8, 0.9999
+TREES, SHORTEST, DEEPEST, RECALL = 20, 4, 8, 0.999
+SMALL = 64
 BLOCK = 384
 
 
-def depth_for(similarity: float, trees: int, deepest: int, recall: float) -> int:
-    """The longest prefix that two sets of this similarity share in one of the trees with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def depths(sizes: np.ndarray, similarity: float, recall: float, small: int, shortest: int = SHORTEST) -> np.ndarray:
+    """How many minima must match, by class and tree; sizes: of the nodes at depths shortest, shortest + 1, ... by class and tree."""
+    longest = sizes.shape[2] - 1
+    at = np.where((sizes <= small).any(2), (sizes <= small).argmax(2), longest)
+    miss = np.log1p(-(similarity ** (shortest + np.arange(longest + 1))))  # logarithm of a tree's chance to miss, by depth
+    while True:
+        bad = np.flatnonzero((miss[at].sum(1) > np.log(1 - recall)) & (at > 0).any(1))
+        if not len(bad):
+            return at + shortest
+        d = at[bad]
+        up = np.maximum(d - 1, 0)
+        added = np.take_along_axis(sizes[bad], up[..., None], 2)[..., 0] - np.take_along_axis(sizes[bad], d[..., None], 2)[..., 0]
+        price = np.where(d > 0, added / np.maximum(miss[d] - miss[up], 1e-12), np.inf)
+        at[bad, price.argmin(1)] -= 1
 
 
 def sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,41 +82,118 @@ def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
 
 
-def prefixes(codes: np.ndarray, bounds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each non-empty set, a code of the first `depth` minima of each tree."""
-    factor, plus = _factors(trees * DEEPEST)
+def labels(codes: np.ndarray, bounds: np.ndarray, trees: int) -> np.ndarray:
+    """For each non-empty set and tree: DEEPEST minima of 16 bits in two integers, the first minimum highest."""
+    factor, plus = (x.astype(np.uint32) for x in _factors(trees * DEEPEST))
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.zeros((len(starts), trees), np.uint64)
+    out = np.zeros((len(starts), trees, 2), np.uint64)
     if not len(starts):
         return out.view(np.int64)
-    for t in range(trees):
-        code = np.zeros(len(starts), np.uint64)
-        for d in range(depth):
-            i = t * DEEPEST + d
-            code = mix(code * np.uint64(0xD1342543DE82EF95) + np.minimum.reduceat(codes * factor[i] + plus[i], starts))
-        out[:, t] = code
+    low = (codes >> np.uint64(32)).astype(np.uint32)
+    for i in range(trees * DEEPEST):
+        least = np.minimum.reduceat(low * factor[i] + plus[i], starts).astype(np.uint64)
+        t, d = divmod(i, DEEPEST)
+        out[:, t, d // 4] |= (mix(least + np.uint64(i)) >> np.uint64(48)) << np.uint64(48 - 16 * (d % 4))
     return out.view(np.int64)
 
 
-def _sketch(n: int, trees: int, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def nodes(label: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Codes of the nodes at these depths (one for each class and tree) that hold these labels."""
+    high, low = label.view(np.uint64)[..., 0], label.view(np.uint64)[..., 1]
+    cut_at = lambda x, d: np.where(d > 0, x >> np.uint64(16) * (4 - np.clip(d, 1, 4)).astype(np.uint64), np.uint64(0))
+    return mix(mix(cut_at(high, depth) * np.uint64(0xD1342543DE82EF95) + depth.astype(np.uint64)) + cut_at(low, depth - 4)).view(np.int64)
+
+
+_SKETCH = "doc_id long, row long, key long, size long, labels array<long>"
+
+
+def _sketch(n: int, trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, size, heads = [], [], []
-            for part in slices(batch.column(1)):
+            keys, size, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part in slices(batch.column(2)):
                 codes, bounds = sets(part, n)
                 keys.append(set_keys(codes, bounds))
                 size.append(np.diff(bounds))
-                got = np.zeros((part.hi - part.lo, trees), np.int64)
-                got[size[-1] > 0] = prefixes(codes, bounds, trees, depth)
-                heads.append(got)
-            cat = lambda x, empty: np.concatenate(x) if x else empty
-            flat = pa.array(cat(heads, np.zeros((0, trees), np.int64)).ravel())
-            heads = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(cat(keys, np.zeros(0, np.int64))), pa.array(cat(size, np.zeros(0, np.int64)), pa.int64()), heads], names=["doc_id", "key", "size", "heads"])
+                got = np.zeros((part.hi - part.lo, trees, 2), np.int64)
+                got[size[-1] > 0] = labels(codes, bounds, trees)
+                found.append(got.ravel())
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees * 2), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(keys)), pa.array(np.concatenate(size), pa.int64()), flat], names=["doc_id", "row", "key", "size", "labels"])
 
     return run
 
 
+def _labels_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("labels")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, 2)
+
+
+def _nodes_from(first: int, last: int, trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of classes: their nodes at depths first to last, as array<long> by tree and depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = _labels_of(batch)
+            got = np.stack([nodes(label, np.full(label.shape[:2], d)) for d in range(first, last + 1)], 2)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees * (last - first + 1)), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["key", "nodes"])
+
+    return run
+
+
+def _wanted_depths(similarity: float, recall: float, small: int, trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of classes in large nodes, with sizes of their nodes by tree and depth: the depth that each needs in each tree."""
+    width = DEEPEST - SHORTEST + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.ones((batch.num_rows, trees * width), np.int64)
+            found = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            place, n = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+            sizes[row, place] = n
+            need = depths(sizes.reshape(batch.num_rows, trees, width), similarity, recall, small)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees), pa.array(need.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["key", "depths"])
+
+    return run
+
+
+def _chosen(trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of classes with their depths: key and the codes of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            depth = batch.column(batch.schema.get_field_index("depths")).flatten().to_numpy(zero_copy_only=False).reshape(-1, trees)
+            got = nodes(_labels_of(batch), depth)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * trees), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["key", "heads"])
+
+    return run
+
+
+def forest(reps: DataFrame, similarity: float, trees: int, recall: float, small: int) -> DataFrame:
+    """key and heads, the codes of its buckets by tree, of classes (key, labels)."""
+    width = DEEPEST - SHORTEST + 1
+    top = reps.select("key", "labels").mapInArrow(_nodes_from(SHORTEST, SHORTEST, trees), "key long, nodes array<long>")
+    short = top.select("key", F.posexplode("nodes").alias("tree", "node"))
+    large = cut(short.groupBy("tree", "node").agg(F.count("*").alias("n")).where(F.col("n") > small).select("tree", "node"))
+    # classes in large nodes: sizes of all their nodes, those of one class left out
+    hot = cut(short.join(large, ["tree", "node"], "left_semi").select("key").distinct().join(reps.select("key", "labels"), "key"))
+    below = hot.mapInArrow(_nodes_from(SHORTEST, DEEPEST, trees), "key long, nodes array<long>").select("key", F.posexplode("nodes").alias("place", "node"))
+    whole = short.select((F.col("tree") * width).alias("place"), "node").unionByName(below.where(F.col("place") % width > 0).select("place", "node"))
+    sizes = whole.groupBy("place", "node").agg(F.count("*").alias("n")).where("n > 1")
+    measured = below.join(sizes, ["place", "node"]).groupBy("key").agg(F.collect_list(F.struct("place", F.col("n").cast("int"))).alias("sizes"))
+    need = cut(measured.mapInArrow(_wanted_depths(similarity, recall, small, trees), "key long, depths array<int>"))
+    # the node of the least depth that any class of a node of depth SHORTEST needs, on each class's own path
+    wanted = below.select("key", F.floor(F.col("place") / width).cast("int").alias("tree"), (F.col("place") % width + SHORTEST).cast("int").alias("depth"), "node")
+    opened = wanted.join(need.select("key", F.posexplode("depths").alias("tree", "depth")), ["key", "tree", "depth"]).select("tree", "depth", "node").distinct()
+    chosen = wanted.join(opened, ["tree", "depth", "node"]).groupBy("key", "tree").agg(F.min("depth").alias("depth"))
+    by_key = chosen.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "depth"))), lambda x: x["depth"]).alias("depths"))
+    deep = hot.join(by_key, "key").select("key", "labels", "depths").mapInArrow(_chosen(trees), "key long, heads array<long>")
+    return deep.unionByName(top.join(hot.select("key"), "key", "left_anti").select("key", F.col("nodes").alias("heads")))
+
+
 def _units(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Batches regrouped so that consecutive rows equal in the named columns are in one, small ones together."""
     held: list[pa.RecordBatch] = []
@@ -238,48 +329,62 @@ def _verified(n: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def classes(documents: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest doc_id reachable by links), n_links (other documents linked directly) and copies (documents of an equal set, itself included)."""
-    ship(documents.sparkSession)
-    depth = depth_for(similarity, trees, DEEPEST, recall)
-    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = cut(slim.mapInArrow(_sketch(n, trees, depth), "doc_id long, key long, size long, heads array<long>"))
-    reps = cut(sketch.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("heads").alias("heads")))
+def _row(id_column: Column, text: Column) -> Column:
+    """Rows equal in id and text share it."""
+    return F.xxhash64(id_column.cast("string"), F.lit(1), text)
+
 
-    forest = reps.select("key", F.posexplode("heads").alias("tree", "bucket"))
-    counted = cut(forest.groupBy("tree", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("k1"), F.max("key").alias("k2")).where("n > 1"))
+def _classified(documents: DataFrame, n: int, similarity: float, trees: int, recall: float, block: int, small: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, row, key, size), and classes of equal sets (key, class_id, n_links, copies, keeper: the row that stands for all it is linked with)."""
+    ship(documents.sparkSession)
+    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", _row(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    sketch = cut(slim.mapInArrow(_sketch(n, trees), _SKETCH))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")
+    reps = cut(sketch.where("size > 0").groupBy("key").agg(first, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("labels").alias("labels")))
+    heads = cut(forest(reps, similarity, trees, recall, small))
+    reps = reps.drop("labels")
+
+    grown = heads.select("key", F.posexplode("heads").alias("tree", "bucket"))
+    counted = cut(grown.groupBy("tree", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("k1"), F.max("key").alias("k2")).where("n > 1"))
     # a pair may be alone together in several trees; the first of them is the only one that can be its first common tree
     pairs = counted.where("n = 2").groupBy("k1", "k2").agg(F.min(F.struct("tree", "bucket")).alias("at"))
-    small = pairs.select("at.tree", "at.bucket", F.explode(F.array("k1", "k2")).alias("key")).select("tree", "bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key")
+    few = pairs.select("at.tree", "at.bucket", F.explode(F.array("k1", "k2")).alias("key")).select("tree", "bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(True).alias("left"), F.lit(True).alias("right"), "key")
     large = counted.where("n > 2").select("tree", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = forest.join(large, ["tree", "bucket"]).join(reps.select("key", "size", "heads"), "key")
+    members = grown.join(large, ["tree", "bucket"]).join(reps.select("key", "size"), "key").join(heads, "key")
     mine = F.pmod(F.xxhash64("key", "tree"), F.col("blocks")).cast("int")
     members = members.withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = members.select("tree", "bucket", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("left"), (F.col("mine") >= F.col("other")).alias("right"), "key", "size", "heads")
     shape = "tree int, bucket long, a int, b int, left boolean, right boolean, key long"
     needed = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_needed(similarity), shape)
-    work = cut(small.unionByName(needed))
+    work = cut(few.unionByName(needed))
 
-    wanted = work.select("key").distinct().join(reps, "key").select("key", "doc", "size", "copies", "heads")
-    texts = slim.withColumnRenamed("doc_id", "doc").join(wanted, "doc")
+    wanted = work.select("key").distinct().join(reps, "key").join(heads, "key").select("key", F.col("first.row").alias("row"), "size", "copies", "heads")
+    texts = slim.select("row", "text").join(wanted, "row").dropDuplicates(["key"])
     fetched = work.join(texts, "key").select(*_UNIT, "left", "right", "key", "size", "copies", "heads", "text")
     found = cut(fetched.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_verified(n, similarity), "key long, links long, root long"))
 
     total = found.groupBy("key").agg(F.sum("links").alias("links"))
     tree = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    named = reps.select("key", "doc", "copies").join(total, "key", "left").join(tree, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("doc").alias("class_id"))
-    named = named.join(smallest, "component").select("key", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = reps.select("key", "first", "copies").join(total, "key", "left").join(tree, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("of"))
+    named = named.join(smallest, "component").select("key", F.col("of.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies", F.col("of.row").alias("keeper"))
+    return sketch.select("doc_id", "row", "key", "size"), named
+
+
+def classes(documents: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, class_id (the smallest doc_id reachable by links), n_links (other documents linked directly) and copies (documents of an equal set, itself included)."""
+    sketch, named = _classified(documents, n, similarity, trees, recall, block, small, id_col, text_col)
     worded = sketch.where("size > 0").select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", "copies")
     wordless = sketch.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return worded.unionByName(wordless)
 
 
-def deduplicate(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their class; of repeated rows of that id, one.
+def deduplicate(documents: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document, with all its columns, of each group of linked documents: that with the smallest id (rows without one come last).
 
-    Documents whose id is null stay.
+    Of rows equal in id and text one stays, whichever. Different texts of one id are told apart. Texts without words stay.
     """
-    kept = classes(documents, **parameters).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = documents.where(F.col("doc_id").isNotNull()).join(kept, documents["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    sketch, named = _classified(documents, n, similarity, trees, recall, block, small, id_col, text_col)
+    kept = named.select("keeper").distinct().unionByName(sketch.where("size = 0").select(F.col("row").alias("keeper")).distinct()).withColumnRenamed("keeper", "__kept")
+    keyed = documents.withColumn("__row", _row(F.col(id_col).cast("long"), F.col(text_col)))
+    return keyed.join(kept, keyed["__row"] == kept["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")

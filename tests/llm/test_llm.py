@@ -71,14 +71,60 @@ def test_near_join(spark):
     for block in (384, 2):
         got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nearjoin.classes(frame(spark, rows), block=block).collect()}
         assert got == want
+    for small in (1, 4):
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nearjoin.classes(frame(spark, rows), small=small).collect()}
+        assert sum(got[d] == want[d] for d in want) >= len(want) - 2
     kept = nearjoin.deduplicate(frame(spark, [*rows, rows[5], (None, "nobody")]))
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({c for c, _ in want.values()}) and kept.columns == SCHEMA.replace(",", "").split()[::2]
     assert nearjoin.classes(frame(spark, [])).count() == 0
 
 
-def test_forest_depth_reaches_recall():
-    d = nearjoin.depth_for(0.8, 20, 8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+def test_forest_depths():
+    rng = np.random.default_rng(2)
+    sizes = np.sort(rng.choice([1, 2, 5, 60, 70, 300, 5000, 10**6], (300, 20, 5)), 2)[:, :, ::-1]
+    sizes[0], sizes[1] = 3, 10**6
+    got = nearjoin.depths(sizes, 0.8, 0.999, 64)
+    assert (got[0] == 4).all() and set(got.ravel().tolist()) == {4, 5, 6, 7, 8}
+    assert (np.prod(1 - 0.8**got, axis=1) <= 0.001).all()
+    for i, t in zip(*np.nonzero(sizes[:, :, 0] <= 64)):
+        assert got[i, t] == 4  # what is small is matched as shortly as allowed
+
+
+def test_forest_recall_near_the_threshold(spark):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for i in range(500):  # runs of words that two texts share: similarity 0.80 to 0.85
+        head = [f"a{i}x{j}" for j in range(rng.randint(80, 120))]
+        k = max(1, len(head) // 11)
+        rows += [(2 * i, " ".join(head)), (2 * i + 1, " ".join([*head[k:], *(f"b{i}x{j}" for j in range(k))]))]
+        w, v = ([tuple(x[j : j + 5]) for j in range(len(x) - 4)] for x in (rows[-2][1].split(), rows[-1][1].split()))
+        s = len(set(w) & set(v)) / len(set(w) | set(v))
+        pairs += [2 * i] if 0.8 <= s <= 0.85 else []
+    hot = " ".join(f"h{j}" for j in range(90)).split()
+    rows += [(2000 + i, " ".join([*hot[: i % 89], f"z{i}", *hot[i % 89 :]])) for i in range(300)]  # many near copies: large nodes
+    assert len(pairs) > 300
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in nearjoin.classes(frame(spark, rows), small=16).collect()}
+    assert sum(got[i + 1][0] == i and got[i][1] == 1 for i in pairs) >= 0.995 * len(pairs)
+    assert all(got[2000 + i][0] == 2000 for i in range(300))
+    want = Counter()
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for d, t in rows if d >= 2000)]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                want[i] += 1
+                want[j] += 1
+    found, all_links = sum(got[2000 + i][1] for i in range(300)), sum(want.values())
+    assert 0.995 * all_links <= found <= all_links and all(got[2000 + i][1] <= want[i] for i in range(300))
+
+
+def test_near_join_tells_rows_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (6, b), (None, a + " more"), (None, b + " and"), (None, "quite another text here"), (7, "quite another text here now"), (5, a)]
+    kept = sorted((r["doc_id"], r["text"]) for r in nearjoin.deduplicate(frame(spark, rows)).where("doc_id is not null").collect())
+    assert kept == [(5, a), (5, b), (7, "quite another text here now")]
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in nearjoin.classes(frame(spark, rows)).collect())
+    assert got == Counter([(5, 5, 2), (5, 5, 2), (5, 5, 2), (6, 5, 2), (None, 5, 2), (None, 5, 2), (None, None, 0), (7, 7, 0)])
+    assert nearjoin.deduplicate(frame(spark, rows)).where("doc_id is null").count() == 1
 
 
 def test_licenses(spark):
