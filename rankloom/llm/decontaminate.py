@@ -7,11 +7,13 @@ Where the jump is 0, the block's full hash selects a bucket of windows with that
 words of each with the text confirms an occurrence. Texts are cut into lanes of some hundred end positions, and
 numpy moves all lanes of a slice on together, each by its own jumps.
 
-The benchmark is a stated set of queries: slices of it of at most `slice_bytes` are broadcast, one pass after
-another over the documents, without a shuffle, so a large benchmark means more passes, not a larger broadcast.
+The benchmark is a stated set of queries: slices of it of about `slice_bytes` are broadcast, one pass after
+another over the documents, without a shuffle. A pass's result is checkpointed before the next slice is built, so a large benchmark
+means more passes, not a larger broadcast: one slice's tables are held at a time, about 25 bytes for each byte of the slice.
 
 Nulls and texts without words have no windows and no hits. Repeated items and repeated documents each count for
-themselves (an item_id counts once). A document without words is not contaminated.
+themselves (an item_id counts once). Windows of an item without an id are hit like others, only no item is listed for them.
+A document without words is not contaminated.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import cut, ship
 from .textcodes import Texts, Words, mix, slices, words
 
 WINDOW = 13
@@ -40,21 +42,25 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class ShiftTables:
-    """The tables of one length class. rows: windows as rows of word codes, padded with 0 up to the longest."""
+    """The tables of one length class. Window i is the words codes[start[i]] to codes[start[i] + lengths[i] - 1]."""
 
-    def __init__(self, rows: np.ndarray, lengths: np.ndarray):
-        self.rows, self.lengths = rows, lengths
+    def __init__(self, codes: np.ndarray, start: np.ndarray, lengths: np.ndarray):
+        self.codes, self.start, self.lengths = codes, start, lengths
         self.m = int(lengths.min())
         self.block = min(2, self.m)
         self.most = self.m - self.block + 1
-        self.bits = max(12, int(np.ceil(np.log2(max(2, 8 * len(rows) * self.m)))))
-        self.shift = np.full(1 << self.bits, self.most, np.int64)
+        self.bits = max(12, int(np.ceil(np.log2(2 * len(start) * self.m))))
+        self.shift = np.full(1 << self.bits, self.most, np.uint8)
         for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._slot(self._block(rows[:, end - 1] if self.block == 2 else None, rows[:, end])), self.m - 1 - end)
-        suffix = self._block(rows[:, self.m - 2] if self.block == 2 else None, rows[:, self.m - 1])
+            np.minimum.at(self.shift, self._slot(self._ends_at(end)), np.uint8(self.m - 1 - end))
+        suffix = self._ends_at(self.m - 1)
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
 
+    def _ends_at(self, end: int) -> np.ndarray:
+        """The block that ends at word `end` of each window."""
+        return self._block(self.codes[self.start + end - 1] if self.block == 2 else None, self.codes[self.start + end])
+
     def _block(self, a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
         return mix(b) if a is None else _pair(a, b)
 
@@ -74,7 +80,7 @@ class ShiftTables:
         found_at, found = [], []
         while len(at):
             block = self._block(w.codes[at - 1] if self.block == 2 else None, w.codes[at])
-            jump = self.shift[self._slot(block)]
+            jump = self.shift[self._slot(block)].astype(np.int64)
             zero = np.flatnonzero(jump == 0)
             if len(zero):
                 lo = np.searchsorted(self.suffix, block[zero], "left")
@@ -85,11 +91,11 @@ class ShiftTables:
                     window = self.order[np.repeat(lo, many) + nth]
                     first, length = at[pick] - m + 1, self.lengths[window]
                     same = first + length <= limit[pick]
-                    for j in range(self.rows.shape[1]):
+                    for j in range(int(self.lengths.max())):
                         live = np.flatnonzero(same & (length > j))
                         if not len(live):
                             break
-                        same[live] = w.codes[first[live] + j] == self.rows[window[live], j]
+                        same[live] = w.codes[first[live] + j] == self.codes[self.start[window[live]] + j]
                     found_at.append(first[same])
                     found.append(window[same])
             at = at + np.maximum(jump, 1)
@@ -99,33 +105,44 @@ class ShiftTables:
 
 
 class Windows:
-    """All windows of a slice of the benchmark, by length class, with the items that have them."""
+    """All windows of a slice of the benchmark, by length class, with the items that have them (an item without an id: none)."""
 
-    def __init__(self, item_ids: list[int], texts: list[str | None], window: int = WINDOW):
-        self.ids = np.array(item_ids, np.int64)
-        column = pa.array([x or "" for x in texts], pa.large_string())
-        rows, lengths, owner = [], [], []
-        for part in slices(column):
+    def __init__(self, item_ids: list[str | None], texts: list[str | None], window: int = WINDOW):
+        self.ids = item_ids
+        codes, start, lengths, owner, at = [], [], [], [], 0
+        for part in slices(pa.array([x or "" for x in texts], pa.large_string())):
             w = words(part)
-            for i in range(part.hi - part.lo):
-                codes = w.codes[w.bounds[i] : w.bounds[i + 1]]
-                n = min(window, len(codes))
-                for j in range(len(codes) - n + 1 if n else 0):
-                    rows.append(np.pad(codes[j : j + n], (0, window - n)))
-                    lengths.append(n)
-                    owner.append(part.lo + i)
+            count = np.diff(w.bounds)
+            size = np.minimum(count, window)
+            many = np.where(count > 0, count - size + 1, 0)
+            first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(w.bounds[:-1], many)
+            codes.append(w.codes)
+            start.append(at + first)
+            lengths.append(np.repeat(size, many))
+            owner.append(part.lo + np.repeat(np.arange(part.hi - part.lo), many))
+            at += len(w.codes)
         self.classes = []
-        rows, lengths, owner = np.array(rows, np.uint64).reshape(-1, window), np.array(lengths, np.int64), np.array(owner, np.int64)
+        if not at:
+            return
+        codes, start, lengths, owner = (np.concatenate(x) for x in (codes, start, lengths, owner))
+        named = np.array([x is not None for x in item_ids])
         for low, high in ((window, window), (2, window - 1), (1, 1)):
-            mine = (lengths >= low) & (lengths <= high)
-            if mine.any() and low <= high:
-                keys = np.column_stack([rows[mine], lengths[mine].astype(np.uint64)])
-                distinct, inverse = np.unique(keys, axis=0, return_inverse=True)
-                order = np.argsort(inverse.ravel(), kind="stable")
-                bounds = np.searchsorted(inverse.ravel()[order], np.arange(len(distinct) + 1))
-                self.classes.append((ShiftTables(distinct[:, :-1].copy(), distinct[:, -1].astype(np.int64)), bounds, owner[mine][order]))
-
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mine = np.flatnonzero((lengths >= low) & (lengths <= high))
+            if len(mine) and low <= high:
+                s, n, o = start[mine], lengths[mine], owner[mine]
+                both = [n.astype(np.uint64), n.astype(np.uint64) + np.uint64(7)]
+                for j in range(high):
+                    code = np.where(j < n, codes[np.minimum(s + j, len(codes) - 1)], np.uint64(0))
+                    both = [mix(both[0] * np.uint64(0xD1342543DE82EF95) + code), mix(both[1] * np.uint64(0xC2B2AE3D27D4EB4F) + code)]
+                order = np.lexsort((o, both[1], both[0]))
+                new = np.ones(len(order), bool)
+                new[1:] = (both[0][order][1:] != both[0][order][:-1]) | (both[1][order][1:] != both[1][order][:-1])
+                stands, number = order[new], np.cumsum(new) - 1
+                keep = named[o[order]]
+                bounds = np.searchsorted(number[keep], np.arange(len(stands) + 1))
+                self.classes.append((ShiftTables(codes, s[stands], n[stands]), bounds, o[order][keep]))
+
+    def hits(self, w: Words) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """Which words are hit; pairs of a text and an item that has an occurring window."""
         change = np.zeros(len(w.codes) + 1, np.int64)
         pairs = [np.zeros((0, 2), np.int64)]
@@ -141,7 +158,7 @@ class Windows:
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             pairs.append(np.column_stack([np.repeat(pair[:, 0], many), owner[np.repeat(bounds[pair[:, 1]], many) + nth]]))
         got = np.unique(np.concatenate(pairs), axis=0)
-        return np.cumsum(change)[:-1] > 0, got[:, 0], self.ids[got[:, 1]]
+        return np.cumsum(change)[:-1] > 0, [(i, self.ids[x]) for i, x in got.tolist()]
 
 
 def _runs(hit: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -159,50 +176,46 @@ def _runs(hit: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     return out
 
 
-def digest(n_words: int, n_hit: int, items: Iterable[int]) -> tuple:
-    ids = sorted({str(x) for x in items})
+def digest(n_words: int, n_hit: int, items: Iterable[str]) -> tuple:
+    ids = sorted(set(items))
     return n_words, n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _judge(texts: Texts, windows: Windows, runs: list | None, items: list | None) -> list[tuple[list[int], list[int], int]]:
+def _judge(texts: Texts, windows: Windows, runs: list | None, items: list | None) -> list[tuple[list[int], list[str], int]]:
     """Runs of hit words, items and the number of words of each text, with what earlier passes found."""
     w = words(texts)
-    hit, text, item = windows.hits(w)
+    hit, found = windows.hits(w)
     for i in range(texts.hi - texts.lo) if runs is not None else ():
         for s, e in zip(runs[texts.lo + i][::2], runs[texts.lo + i][1::2], strict=True):
             hit[w.bounds[i] + s : w.bounds[i] + e] = True
-    mine: list[list[int]] = [list(items[texts.lo + i]) if items is not None else [] for i in range(texts.hi - texts.lo)]
-    for i, x in zip(text, item, strict=True):
-        mine[i].append(int(x))
+    mine: list[list[str]] = [list(items[texts.lo + i]) if items is not None else [] for i in range(texts.hi - texts.lo)]
+    for i, x in found:
+        mine[i].append(x)
     return list(zip(_runs(hit, w.bounds), mine, np.diff(w.bounds).tolist(), strict=True))
 
 
-def windows_of(benchmark: DataFrame, slice_bytes: int, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> list:
-    """Search tables of the benchmark, broadcast in slices of about slice_bytes of text each."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.col("i").isNotNull()).dropDuplicates()
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // slice_bytes))
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()  # about slice_bytes
-        out.append(spark.sparkContext.broadcast(Windows([r["i"] for r in rows], [r["t"] for r in rows], window)))
-    return out
+def parts_of(benchmark: DataFrame, slice_bytes: int, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """Items (i, t) of the benchmark in parts of about slice_bytes of text each."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).dropDuplicates()
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // slice_bytes))
+    return [items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
 
 
-def judge(documents: DataFrame, benchmark: DataFrame, keep: bool = False, column: str = "overlap", text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+def judge(documents: DataFrame, benchmark: DataFrame, keep: bool = False, column: str = "overlap", text_col: str = "text", slice_bytes: int = 2 << 20) -> DataFrame:
     """documents with one struct column added (DIGEST), or, with keep, only the documents that are not contaminated.
 
     The added column takes the given name; a column of documents with that name gives way to it.
     """
     ship(documents.sparkSession)
-    tables = windows_of(benchmark, slice_bytes)
+    parts = parts_of(benchmark, slice_bytes)
     frame = documents if keep else documents.drop(column)
     own = frame.schema
-    for k, shared in enumerate(tables):
-        last = k == len(tables) - 1
-        carried = T.StructType([T.StructField("__runs", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.LongType()))])
+    carried = T.StructType([T.StructField("__runs", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+    for k, items in enumerate(parts):
+        last = k == len(parts) - 1
         added = (T.StructType([]) if keep else T.StructType([T.StructField(column, DIGEST)])) if last else carried
+        rows = items.collect()  # about slice_bytes
+        shared = documents.sparkSession.sparkContext.broadcast(Windows([r["i"] for r in rows], [r["t"] for r in rows]))
 
         def each(batches: Iterator[pa.RecordBatch], k=k, last=last, shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,7 +225,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, keep: bool = False, column
                 found = [x for part in slices(batch.column(at)) for x in _judge(part, shared.value, runs, items)]
                 columns, names = batch.columns[: len(own)], own.names
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.int64()))], names=[*names, "__runs", "__items"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.string()))], names=[*names, "__runs", "__items"])
                     continue
                 rows = [digest(n, sum(runs[1::2]) - sum(runs[::2]), items) for runs, items, n in found]
                 if keep:
@@ -223,4 +236,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, keep: bool = False, column
                     yield pa.RecordBatch.from_arrays([*columns, struct], names=[*names, column])
 
         frame = frame.mapInArrow(each, T.StructType([*own.fields, *added.fields]))
+        if not last:
+            frame = cut(frame)
+            shared.unpersist()
     return frame

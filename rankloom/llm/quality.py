@@ -107,6 +107,7 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, ridge: float = 1.0, least: float = 3.0) -> Trees:
+    """Boosted trees for labels y (0 or 1) of rows x, by logistic loss; without rows, or with labels of one kind, the labels' mean (0.5 without any)."""
     mean = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     model = Trees(float(np.log(mean / (1 - mean))))
     if not len(y) or y.min() == y.max():
@@ -159,6 +160,11 @@ def fold(id_column):
     return F.crc32(id_column.cast("string")) % FOLDS
 
 
+def held_out(id_column):
+    """Whether a row teaches nothing by its id's remainder; one without an id has none, and nothing is learnt from it either way."""
+    return F.coalesce(fold(id_column) == 0, F.lit(False))
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Trees:
     """Trees fitted on at most `most` labelled documents that aren't held out."""
     ship(documents.sparkSession)

@@ -46,7 +46,7 @@ def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
     scored = quality.score(documents.select("doc_id", "text"), model, column="score")
-    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ from w left join b using (r) left join g using (r)"""
 
 OP8_SQL = f"""
 with d as (select row_number() over () r, doc_id, {WORDS_SQL} w from documents),
-b as (select item_id, {WORDS_SQL} w from benchmark where item_id is not null),
+b as (select item_id, {WORDS_SQL} w from benchmark),
 win as (select distinct least(len(w), 13) n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') g, item_id
         from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0)),
 sizes as (select distinct n from win),
@@ -92,7 +92,7 @@ occ as (select r, i, n, item_id from (
           select r, i, sizes.n, array_to_string(w[i:i + sizes.n - 1], ' ') g
           from (select r, w, unnest(range(1, len(w) + 1)) i from d where len(w) > 0), sizes where i + sizes.n - 1 <= len(w)) join win using (n, g)),
 hit as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from (select distinct r, i, n from occ)) group by r),
-it as (select r, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct r, cast(item_id as varchar) s from occ) group by r)
+it as (select r, count(*) n_items, string_agg(s, ',' order by s) ids from (select distinct r, cast(item_id as varchar) s from occ where item_id is not null) group by r)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
        sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join hit using (r) left join it using (r)"""

@@ -350,7 +350,7 @@ def test_quality_on_held_out_labels(spark):
 def test_decontamination(spark, slice_bytes):
     rng = random.Random(6)
     v = ["w%d" % i for i in range(12)]
-    items = [(i, " ".join(rng.choice(v) for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 30])))) for i in range(40)] + [(41, None), (42, "..."), (43, "Zz"), (3, "w1 w2")]
+    items = [(i, " ".join(rng.choice(v) for _ in range(rng.choice([1, 2, 5, 12, 13, 14, 30])))) for i in range(40)] + [(41, None), (42, "..."), (43, "Zz"), (3, "w1 w2"), (None, "other w3 w3 other"), (None, "w1 w2"), (7, "zz")]
     rows = [(i, " ".join(rng.choice([*v, "other"]) for _ in range(rng.randint(0, 60))) + " " + (rng.choice(items)[1] or "").upper()) for i in range(150)] + [(700, None), (701, ""), (702, items[5][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: tuple(r["overlap"]) for r in decontaminate.judge(frame(spark, rows), bench, slice_bytes=slice_bytes).collect()}
@@ -364,12 +364,27 @@ def test_decontamination(spark, slice_bytes):
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == x[s : s + n]:
                         hit |= set(range(i, i + n))
-                        found.add(str(item))
+                        found |= {str(item)} if item is not None else set()
         assert got[d] == (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     kept = decontaminate.judge(frame(spark, rows), bench, keep=True, slice_bytes=slice_bytes)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in got if not got[d][-1])
 
 
+def test_decontamination_tables_are_bounded():
+    rng = np.random.default_rng(5)
+    text = "".join(f"w{x} " for x in rng.integers(0, 10**6, 310_000))[: 2 << 20]
+    tables = decontaminate.Windows(["a", None], [text, text[1000:3000]])
+    held = sum(x.nbytes for c, bounds, owner in tables.classes for x in (c.codes, c.start, c.lengths, c.shift, c.order, c.suffix, bounds, owner))
+    assert held < 30 * len(text)
+
+
+def test_decontamination_takes_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("q-1", "one two three"), (None, "four five")], "item_id string, text string")
+    got = decontaminate.judge(frame(spark, [(1, "one two three four five"), (2, "five four")]), bench).collect()
+    want = {1: (5, 5, 1, hashlib.sha256(b"q-1").hexdigest(), True), 2: (2, 0, 0, hashlib.sha256(b"").hexdigest(), False)}
+    assert {r["doc_id"]: tuple(r["overlap"]) for r in got} == want
+
+
 def test_warc_round_trip(spark):
     htmls = ["a", None, "", "b" * 5000, "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n", "\r\n\r\n\r\n", "é𝔘\n" * 900, "a", "b" * 5000, "WARC/1.1\r\n" * 40, "\x00\x01"]
     pages = spark.createDataFrame([(i, f"http://h/{i} x", h, 1) for i, h in enumerate(htmls)], "page_id long, url string, html string, payload_bytes int")
@@ -475,6 +490,11 @@ def test_empty_tables(spark):
     assert len(judged) == len(ODD) and not any(r["overlap"]["contaminated"] for r in judged)
 
 
+def test_held_out_is_never_null(spark):
+    rows = spark.createDataFrame([(None,), (1,), (5,), (12,)], "doc_id long").select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r["doc_id"]: r["h"] for r in rows} == {None: False} | {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in (1, 5, 12)}
+
+
 def test_training_takes_one_row_of_an_id(spark):
     rows = [(i % 12, f"text number {i} " * (1 + i % 5)) for i in range(300)] + [(2, "good prose, here it is.")] * 5
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
