@@ -32,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, new_path, ship
 from .lyndon import suffix_arrays
 from .textcodes import _BACK, _BYTE, _STEP, Texts, _power, mix, slices
 
 LENGTH, GRAM, CHUNK = 50, 20, 256
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 23
 #: A chunk hash that more than this part of all chunks share is joined by broadcast.
 HEAVY = 1000
 #: Texts with one gram from which its windows are sent one by one.
@@ -577,7 +577,9 @@ def _results(t: pa.Table, s: pa.Table) -> pa.Table:
 
 def dead_chunks(docs: DataFrame) -> DataFrame:
     """(key, start, stop) of chunks that an earlier document has too."""
-    every = cut(docs.mapInArrow(_chunk_rows, _CHUNKS))
+    spark = docs.sparkSession
+    docs.mapInArrow(_chunk_rows, _CHUNKS).write.parquet(path := new_path(spark, "chunks"))
+    every = spark.read.parquet(path)
     shared = every.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most")
     many = every.count() // HEAVY
     shared = cut(shared.select("hash", "least", "n"))
@@ -591,7 +593,7 @@ def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ship(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(48, -(-total // bucket_bytes))
+    buckets = max(16, -(-total // bucket_bytes))
     group = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
     dead = dead_chunks(docs).withColumn("bucket", (F.shiftrightunsigned("key", 33) % buckets).cast("int"))
     texts = group(docs.mapInArrow(_pack_texts(buckets), _PACKED))
