@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import coerce_numeric, difference_class, gap_class, normalize_key
+from .metrics import quantiles
 
 GUIDE_K, MAPPING_K, CROSSFIT_K = 0.5, 20.0, 20.0
 MAPPING_FIELDS = ["mapping_status", "mapping_confidence", "mapping_candidate_template_nos", "mapping_candidate_group_ids", "mapping_match_modes", "mapping_candidate_orientations"]
@@ -64,27 +65,28 @@ def guide_encoding(query: DataFrame, history: DataFrame, mean: DataFrame, k: flo
 
 
 def leave_one_out(fit: DataFrame, label: str = "label", k: float = GUIDE_K) -> DataFrame:
-    """The eleven guide columns of the fit rows themselves, without their own label: sums by key are joined back, so a frequent guide is no task of its own."""
-    y = F.col(label)
-    total = fit.agg(F.sum(label).alias("__sum"), F.count(label).alias("__n"))
-
-    def sums(keys: list[str], name: str, where: Column | None = None) -> DataFrame:
-        return (fit.where(where) if where is not None else fit).groupBy(*keys).agg(F.sum(label).alias(f"s_{name}"), F.count(label).alias(f"n_{name}"))
-
-    j = fit.crossJoin(F.broadcast(total)).join(sums(["guide"], "all"), "guide")
-    for t in ("exact", "nonexact"):
-        j = j.join(sums(["guide"], t, F.col("exactness") == t), "guide", "left")
-    for t in ("diffcat", "gapcat"):
-        j = j.join(sums(["guide", t], t), ["guide", t])
+    """The eleven guide columns of the fit rows themselves, without their own label.
+
+    fit is read twice, for sums by guide and for its rows: give a written or checkpointed table. All sums of a guide are one row, made by one
+    aggregation and joined back, so a frequent guide is no group of its own.
+    """
+    y, groups = F.col(label), {"exactness": ("exact", "nonexact"), "diffcat": ("exact", "one", "two_plus"), "gapcat": ("gap", "no_gap")}
+    sums = {f"{t}_{v}": F.col(t) == v for t, vs in groups.items() for v in vs}
+    wide = fit.groupBy("guide").agg(
+        F.sum(label).alias("s_all"), F.count(label).alias("n_all"), *[F.coalesce(F.sum(F.when(c, y)), F.lit(0.0)).alias(f"s_{n}") for n, c in sums.items()], *[F.count_if(c & y.isNotNull()).alias(f"n_{n}") for n, c in sums.items()]
+    )
+    total = wide.agg(F.sum("s_all").alias("__sum"), F.sum("n_all").alias("__n"))
+    j = fit.join(wide, "guide").crossJoin(F.broadcast(total))
+    own = lambda c, t: reduce(lambda a, v: F.when(F.col(t) == v, F.col(f"{c}_{t}_{v}")).otherwise(a), groups[t], F.lit(0))
     prior = (F.col("__sum") - y) / (F.col("__n") - 1)
     j = j.withColumn("te_guide_all", smoothed(F.col("s_all") - y, F.col("n_all") - 1, prior, k))
     out = {"te_guide_all_log_count": F.log1p(F.col("n_all") - 1), "te_guide_seen": (F.col("n_all") > 1).cast("double")}
     for t in ("exact", "nonexact"):
         member = (F.col("exactness") == t).cast("int")
-        n = F.coalesce(f"n_{t}", F.lit(0)) - member
-        out |= {f"te_guide_{t}_ref": smoothed(F.coalesce(f"s_{t}", F.lit(0.0)) - member * y, n, F.col("te_guide_all"), k), f"te_guide_{t}_log_count": F.log1p(n)}
+        n = F.col(f"n_exactness_{t}") - member
+        out |= {f"te_guide_{t}_ref": smoothed(F.col(f"s_exactness_{t}") - member * y, n, F.col("te_guide_all"), k), f"te_guide_{t}_log_count": F.log1p(n)}
     for t in ("diffcat", "gapcat"):
-        out |= {f"te_guide_{t}": smoothed(F.col(f"s_{t}") - y, F.col(f"n_{t}") - 1, F.col("te_guide_all"), k), f"te_guide_{t}_log_count": F.log1p(F.col(f"n_{t}") - 1)}
+        out |= {f"te_guide_{t}": smoothed(own("s", t) - y, own("n", t) - 1, F.col("te_guide_all"), k), f"te_guide_{t}_log_count": F.log1p(own("n", t) - 1)}
     return j.withColumns(out).select(*fit.columns, "te_guide_all", *out)
 
 
@@ -120,8 +122,10 @@ def numeric_mapping(df: DataFrame, columns: list[str] = MAPPING_COUNTS) -> DataF
 
 
 def medians(fit: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of exact medians."""
-    return fit.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
+    """One row of exact medians; null for a column without numbers."""
+    long = fit.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    got = quantiles(long, ["column"], "v", [0.5])
+    return got.agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(c) for c in columns])
 
 
 def median_impute(query: DataFrame, state: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Five metrics with average ranks, and descriptive evaluation tables.
 
-SCC is the Pearson correlation of average ranks. Where one key may have very many rows (pooled tables), values are
-dealt into `cells` equal stretches of the key's range, ranks are taken within a cell, and cells continue from each
-other's totals, so that many tasks rank a single key; small keys are ranked by a plain window.
+SCC is the Pearson correlation of average ranks. Keys of at most CELL_ROWS rows are ranked by a plain window. Where a key has
+more, values are dealt into cells between approximate quantiles of the key's values, ranks are taken within a cell, and cells
+continue from each other's totals, so that many tasks rank a single key; results are the same. Quantiles of tables are read off such row numbers too.
 """
 
 from __future__ import annotations
@@ -14,14 +14,21 @@ from ..functions.checkpoints import cut
 from ..functions.sequences import r6
 
 METRICS = ("SCC", "PCC", "RMSE", "MAE", "R2")
-CELLS = 64
+CELL_ROWS, CELLS = 1 << 18, 256
+
+
+def cells_for(df: DataFrame, keys: list[str], most: int = CELL_ROWS) -> int:
+    """1 where no key has more rows than a task should sort; df is read for it: give a written or checkpointed table."""
+    largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return 1 if largest <= most else CELLS
 
 
 def _cells(df: DataFrame, keys: list[str], value: str, weight: Column, cells: int) -> DataFrame:
-    """df with __cell, the stretch of its key's range that a value is in, and __start, the weight of all lower ones."""
-    span = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    share = (F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    placed = df.join(span, keys).withColumn("__cell", F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0))).drop("__lo", "__hi")
+    """df with __cell, which stretch of its key's values a value is in, and __start, the weight of all lower ones."""
+    if cells == 1:
+        return df.withColumns({"__cell": F.lit(0), "__start": F.lit(0)})
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 20 * cells).alias("__edges"))
+    placed = df.join(edges, keys).withColumn("__cell", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
     totals = placed.groupBy(*keys, "__cell").agg(F.sum(weight).alias("__t"))
     before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "__cell", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
@@ -34,13 +41,34 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str, weight: s
     With several cells, df is read more than once: give a written or checkpointed table.
     """
     w = F.col(weight) if weight else F.lit(1)
-    placed = _cells(df, keys, value, w, cells) if cells > 1 else df.withColumns({"__cell": F.lit(0), "__start": F.lit(0)})
+    placed = _cells(df, keys, value, w, cells)
     order = Window.partitionBy(*keys, "__cell").orderBy(value)
     upto, ties = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, 0)
     rank = F.col("__start") + F.sum(w).over(upto) - (F.sum(w).over(ties) - 1) / 2.0
     return placed.withColumn(out, rank).drop("__cell", "__start")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, cells: int | None = None) -> DataFrame:
+    """df with row numbers from 0 within keys; df is read more than once: give a written or checkpointed table."""
+    cells = cells or cells_for(df, keys)
+    placed = _cells(df, keys, order[0], F.lit(1), cells)
+    inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
+    return placed.withColumn(out, F.col("__start") + F.row_number().over(inside) - 1).drop("__cell", "__start")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "q", cells: int | None = None) -> DataFrame:
+    """keys and an array of exact quantiles, interpolated between neighbours; nulls don't count. No task holds a key's values."""
+    rows = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")))
+    total = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("__n") - 1)).alias("at")) for i, s in enumerate(shares)])).alias("w")
+    wanted = total.select(*keys, at).select(*keys, "w.i", F.floor("w.at").alias("lo"), (F.col("w.at") - F.floor("w.at")).alias("part"))
+    wanted = wanted.select(*keys, "i", "part", F.explode(F.array(F.col("lo"), F.when(F.col("part") > 0, F.col("lo") + 1).otherwise(F.col("lo")))).alias("__at"), "lo").distinct()
+    met = numbered(rows, keys, ["__v"], "__at", cells).join(F.broadcast(wanted), [*keys, "__at"])
+    low, high = F.max(F.when(F.col("__at") == F.col("lo"), F.col("__v"))), F.max(F.when(F.col("__at") > F.col("lo"), F.col("__v")))
+    each = met.groupBy(*keys, "i", "part").agg((low + F.coalesce((high - low) * F.col("part"), F.lit(0.0))).alias("v"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias(out))
+
+
 def correlation(a: str, b: str) -> Column:
     """Null where either column is constant or there is one row."""
     flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
@@ -52,9 +80,10 @@ def error_metrics(y: str, p: str) -> dict[str, Column]:
     return {"PCC": correlation(y, p), "RMSE": F.sqrt(F.avg(e * e)), "MAE": F.avg(F.abs(e)), "R2": F.when(F.min(y) != F.max(y), 1 - F.try_divide(F.avg(e * e), F.var_pop(y)))}
 
 
-def five_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred", more: tuple[Column, ...] = (), cells: int = 1) -> DataFrame:
-    """Per key. cells: over 1 where a single key's rows are more than a task should sort."""
-    df = cut(df) if cells > 1 else df
+def five_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred", more: tuple[Column, ...] = (), cells: int | None = None) -> DataFrame:
+    """Per key. cells: how many tasks rank a key; by its rows unless given."""
+    df = cut(df)
+    cells = cells or cells_for(df, keys)
     ranked = average_rank(average_rank(df, keys, y, "__ry", cells=cells), keys, p, "__rp", cells=cells)
     cols = {"SCC": correlation("__ry", "__rp")} | error_metrics(y, p)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *more, *[c.alias(n) for n, c in cols.items()])
@@ -67,7 +96,7 @@ def with_levels(df: DataFrame, fold: str = "outer_fold") -> DataFrame:
 
 def metrics_by_fold(predictions: DataFrame) -> DataFrame:
     rows = with_levels(predictions.select("model_id", "outer_fold", "group_id", "y_true", "y_pred"))
-    return five_metrics(rows, ["model_id", "level"], more=(F.count_distinct("group_id").alias("n_groups"),), cells=CELLS)
+    return five_metrics(rows, ["model_id", "level"], more=(F.count_distinct("group_id").alias("n_groups"),))
 
 
 def metric_delta(metrics: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -77,9 +106,10 @@ def metric_delta(metrics: DataFrame, a: str, b: str, keys: list[str]) -> DataFra
 
 def tail_bias(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Mean error in the top and bottom tenth of labels, and the range of predictions."""
-    q = predictions.groupBy(*keys).agg(F.percentile("y_true", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), (F.max("y_pred") - F.min("y_pred")).alias("prediction_range"))
+    predictions = cut(predictions.select(*keys, "y_true", "y_pred"))
+    q = quantiles(predictions, keys, "y_true", [0.1, 0.9]).join(predictions.groupBy(*keys).agg((F.max("y_pred") - F.min("y_pred")).alias("prediction_range")), keys)
     e = F.col("y_pred") - F.col("y_true")
-    j = predictions.join(q, keys)
+    j = predictions.join(F.broadcast(q), keys)
     return j.groupBy(*keys).agg(F.avg(F.when(F.col("y_true") <= F.col("q")[0], e)).alias("bottom_bias"), F.avg(F.when(F.col("y_true") >= F.col("q")[1], e)).alias("top_bias"), F.first("prediction_range").alias("prediction_range"))
 
 
@@ -101,14 +131,16 @@ def within_group_rank(predictions: DataFrame, least: int = 5) -> DataFrame:
     """Per model: quartiles of the SCC within groups of at least `least` records, and undefined groups."""
     sized = predictions.join(predictions.groupBy("model_id", "group_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("model_id", "group_id"), ["model_id", "group_id"])
     per = five_metrics(sized, ["model_id", "group_id"])
-    return per.groupBy("model_id").agg(F.count("*").alias("groups"), F.count_if(F.col("SCC").isNull()).alias("undefined"), *[F.percentile("SCC", q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    per = cut(per.select("model_id", "SCC"))
+    q = quantiles(per, ["model_id"], "SCC", [0.25, 0.5, 0.75])
+    counts = per.groupBy("model_id").agg(F.count("*").alias("groups"), F.count_if(F.col("SCC").isNull()).alias("undefined"))
+    return counts.join(q, "model_id", "left").select("model_id", "groups", "undefined", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
 
 
 def exact_bin(df: DataFrame, keys: list[str], order: list[str], bins: int, out: str) -> DataFrame:
     """Bins of sizes at most one apart, as ntile; rows are numbered by value within cells that continue from each other."""
     df = cut(df)
-    placed = _cells(df, keys, order[0], F.lit(1), CELLS).join(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
-    j = placed.withColumn("__i", F.col("__start") + F.row_number().over(Window.partitionBy(*keys, "__cell").orderBy(*order)) - 1)
+    j = numbered(df, keys, order, "__i").join(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
     size, extra = F.floor(F.col("__n") / bins), F.col("__n") % bins
     wide = extra * (size + 1)
     tile = F.when(F.col("__i") < wide, F.floor(F.col("__i") / (size + 1))).otherwise(extra + F.floor((F.col("__i") - wide) / F.greatest(size, F.lit(1)))) + 1
@@ -133,8 +165,9 @@ def observed_bins(predictions: DataFrame, bins: int = 10) -> DataFrame:
 
 def quantile_bins(predictions: DataFrame, bins: int = 5) -> DataFrame:
     """Bins between quantiles of the predictions, closed on the right; the lowest value is in the first."""
-    q = predictions.groupBy("model_id").agg(F.percentile("y_pred", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    j = predictions.join(q, "model_id").withColumn("bin", (F.size(F.filter("edges", lambda x: x < F.col("y_pred"))) + 1).cast("int"))
+    predictions = cut(predictions)
+    q = quantiles(predictions, ["model_id"], "y_pred", [i / bins for i in range(1, bins)], "edges")
+    j = predictions.join(F.broadcast(q), "model_id").withColumn("bin", (F.size(F.filter("edges", lambda x: x < F.col("y_pred"))) + 1).cast("int"))
     return bin_table(j, ["model_id"], "y_pred")
 
 
@@ -157,7 +190,10 @@ def candidate_strata(df: DataFrame, least: int = 10) -> DataFrame:
 
 
 def support_summary(df: DataFrame, keys: list[str], support: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(support) == 0).alias("zero"), F.avg((F.col(support) == 0).cast("double")).alias("zero_fraction"), F.percentile(support, 0.25).alias("q25"), F.percentile(support, 0.5).alias("median"), F.percentile(support, 0.75).alias("q75"), F.max(support).alias("max"))
+    df = cut(df.select(*keys, support))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(support) == 0).alias("zero"), F.avg((F.col(support) == 0).cast("double")).alias("zero_fraction"), F.max(support).alias("max"))
+    q = quantiles(df, keys, support, [0.25, 0.5, 0.75])
+    return counts.join(q, keys, "left").select(*keys, "n", "zero", "zero_fraction", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))], "max")
 
 
 def support_distribution(df: DataFrame, support: str) -> DataFrame:

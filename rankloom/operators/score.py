@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
-from .metrics import CELLS, _cells
+from .metrics import _cells, cells_for
 
 #: Weights of the released blends.
 D_WEIGHTS = {"d_xgb": 0.35, "d_lgbm": 0.59, "d_mlp": 0.06}
@@ -71,7 +71,7 @@ def warning_codes(mixed: Column | None = None) -> Column:
 def rank_desc(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Smallest rank, descending, within keys, taken in cells of the range, so that one route is many tasks. df is read more than once: give a written or checkpointed table."""
     minus = df.withColumns({"__minus": -F.col(value), "__all": F.lit(0)})
-    placed = _cells(minus, keys or ["__all"], "__minus", F.lit(1), CELLS)
+    placed = _cells(minus, keys or ["__all"], "__minus", F.lit(1), cells_for(minus, keys or ["__all"]))
     inside = Window.partitionBy(*(keys or ["__all"]), "__cell").orderBy("__minus")
     return placed.withColumn(out, (F.col("__start") + F.rank().over(inside)).cast("long")).drop("__minus", "__all", "__cell", "__start")
 

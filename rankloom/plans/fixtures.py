@@ -60,9 +60,11 @@ def _fold(hexed, suffix: str = "f", k: int = 5) -> str:
 
 
 def predictions_sql(hexed) -> str:
-    rows = [f"select record_id, crRNA_sequence group_id, {_fold(hexed)} outer_fold, '{m}' model_id, label_normalized y_true, {_noisy(hexed, m, *p)} y_pred from pairs where baseline_split = 'baseline_train'" for m, p in MODELS.items()]
-    rows.append(f"select record_id, crRNA_sequence group_id, {_fold(hexed)} outer_fold, 'M_CONST' model_id, label_normalized y_true, cast(-2.7 as double) y_pred from pairs where baseline_split = 'baseline_train'")
-    return " union all ".join(rows)
+    made = ", ".join(f"{_noisy(hexed, m, *p)} {m}" for m, p in MODELS.items())
+    base = f"select record_id, crRNA_sequence group_id, {_fold(hexed)} outer_fold, label_normalized y_true, {made} from pairs where baseline_split = 'baseline_train'"
+    value = " ".join(f"when '{m}' then {m}" for m in MODELS)
+    names = ", ".join(f"('{m}')" for m in (*MODELS, "M_CONST"))
+    return f"select record_id, group_id, outer_fold, model_id, y_true, case model_id {value} else cast(-2.7 as double) end y_pred from ({base}) rows_ cross join (values {names}) models_(model_id)"
 
 
 COMPONENTS = {"D_xgb": (0.60, 0.40, 0.50), "D_lightgbm": (0.62, 0.38, 0.52), "D_mlp": (0.40, 0.60, 0.80), "B": (0.75, 0.25, 0.40), "C": (0.72, 0.28, 0.42), "SEQ_MAPPING_XGB": (0.70, 0.30, 0.45), "HISTORY_PRIOR": (0.30, 0.70, 0.90)}

@@ -169,9 +169,9 @@ add("mapping_parity", "select c \"column\", (select count(*) from mp) n, case wh
 
 # --- history
 _CLS = f"case when d = 0 then 'exact' else 'nonexact' end exactness, case when d = 0 then 'exact' when d = 1 then 'one' else 'two_plus' end diffcat, case when gaps > 0 then 'gap' else 'no_gap' end gapcat, cast({DUCK_HEX('substr(md5(concat(crRNA_sequence, $$|f$$)), 1, 6)')} % 5 as int) fold"
-_rows = lambda src, ev=_EV: f"rw as (select *, g guide, replace(t, '-', '') target, label_normalized \"label\", {_CLS} from (select *, {_cnt('ev', 'STG')} d, {_cnt('ev', 'TG')} gaps from (select *, {ev} ev from (select *, translate(upper(trim(crRNA_sequence)), 'U', 'T') g, translate(upper(trim(target_aligned_25)), 'U', 'T') t from {src})))), tr as (select * from rw where baseline_split = 'baseline_train'), qu as (select * from rw where baseline_split <> 'baseline_train')"
+_rows = lambda src, ev=_EV: f"rw as (select *, g guide, replace(t, '-', '') target, label_normalized \"label\", {_CLS} from (select *, {_cnt('ev', 'STG')} d, {_cnt('ev', 'TG')} gaps from (select *, {ev} ev from (select *, translate(upper(trim(crRNA_sequence)), 'U', 'T') g, translate(upper(trim(target_aligned_25)), 'U', 'T') t from {src})))), tr as materialized (select * from rw where baseline_split = 'baseline_train'), qu as materialized (select * from rw where baseline_split <> 'baseline_train')"
 _ROWS, _MROWS = _rows("pairs"), _MAPPED + ", " + _rows("mp")
-_GH = "gh as (select 'all' reference_type, guide, '' category, sum(\"label\") s, count(*) c from tr group by guide union all select exactness, guide, '', sum(\"label\"), count(*) from tr group by guide, exactness union all select 'diffcat', guide, diffcat, sum(\"label\"), count(*) from tr group by guide, diffcat union all select 'gapcat', guide, gapcat, sum(\"label\"), count(*) from tr group by guide, gapcat)"
+_GH = "gh as materialized (select 'all' reference_type, guide, '' category, sum(\"label\") s, count(*) c from tr group by guide union all select exactness, guide, '', sum(\"label\"), count(*) from tr group by guide, exactness union all select 'diffcat', guide, diffcat, sum(\"label\"), count(*) from tr group by guide, diffcat union all select 'gapcat', guide, gapcat, sum(\"label\"), count(*) from tr group by guide, gapcat)"
 add("guide_history", f"select reference_type, guide, category, {r('s', 'sum')}, c \"count\" from gh", ctes=f"{_ROWS}, {_GH}")
 _HF = ["mapping_status", "mapping_confidence", "mapping_candidate_template_nos", "mapping_candidate_group_ids", "mapping_match_modes", "mapping_candidate_orientations"]
 _key = lambda c: f"coalesce(nullif({c}::varchar, ''), 'missing')"
