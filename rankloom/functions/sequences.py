@@ -56,8 +56,9 @@ def gap_class(gaps: str | Column) -> Column:
 
 
 def template_atoms(c: str | Column) -> Column:
-    """Numbers of a `;` list; entries that aren't all digits are left out."""
-    return F.transform(F.filter(F.split(col(c), ";"), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+    """Numbers of a `;` list without its blanks, none for a missing one; entries that aren't all digits are an error."""
+    parts = F.filter(F.transform(F.split(F.when(F.trim(col(c)) == "missing", "").otherwise(F.coalesce(col(c), F.lit(""))), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), x.cast("int")).otherwise(F.raise_error(F.concat(F.lit("invalid template number: "), x)).cast("int")))
 
 
 def count_char(c: Column, letters: str) -> Column:

@@ -5,10 +5,11 @@ An alignment is a string of one letter a position: M match, S substitution, T ga
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, IUPAC, count_char, longest, normalize_sequence, ungap
+from .quality import max_abs_diff
 
 LENGTH, PAM = 25, 4
 DINUCLEOTIDES = [a + b for a in BASES for b in BASES]
@@ -117,14 +118,17 @@ def pair_onehot(pairs: DataFrame) -> DataFrame:
     return long.select("record_id", "position", "pair", index.alias("vector_index"))
 
 
-def iupac_tensor(contexts: DataFrame, offset: int = 10) -> DataFrame:
-    """Sparse (record_id, position, channel, value): base weights of a 45-letter context in channels 0-4 and of the guide, from `offset` on, in channels 5-9; an ambiguity code's bases share its weight, a gap is a channel of its own."""
+def iupac_tensor(contexts: DataFrame, offset: int = 10, length: int = 45) -> DataFrame:
+    """Contexts of another length, and letters that are neither codes nor gaps, are an error. Sparse (record_id, position, channel, value): base weights of a 45-letter context in channels 0-4 and of the guide, from `offset` on, in channels 5-9; an ambiguity code's bases share its weight, a gap is a channel of its own."""
     letters = {**IUPAC, "-": "-"}
     weights = F.create_map(*[x for code, bases in letters.items() for x in (F.lit(code), F.array(*[F.struct(F.lit("ACGT-".index(b)).alias("channel"), F.lit(1.0 / len(bases)).alias("value")) for b in bases]))])
+    weights_type = "array<struct<channel:int,value:double>>"
     parts = []
     for text, shift, first in (("target_context_45", 0, 0), ("guide", offset, 5)):
-        long = contexts.select("record_id", F.posexplode(F.split(text, "")).alias("at", "letter"))
-        long = long.select("record_id", (F.col("at") + shift).alias("position"), F.explode(F.try_element_at(weights, F.col("letter"))).alias("w"))
+        whole = F.col(text) if shift else F.when(F.length(text) == length, F.col(text)).otherwise(F.raise_error(F.lit(f"{text} must have {length} letters")).cast("string"))
+        long = contexts.select("record_id", F.posexplode(F.split(whole, "")).alias("at", "letter"))
+        known = F.coalesce(F.try_element_at(weights, F.col("letter")), F.raise_error(F.concat(F.lit("unsupported symbol: "), F.col("letter"))).cast(weights_type))
+        long = long.select("record_id", (F.col("at") + shift).alias("position"), F.explode(known).alias("w"))
         parts.append(long.select("record_id", "position", (F.col("w.channel") + first).alias("channel"), "w.value"))
     return parts[0].unionByName(parts[1])
 
@@ -132,3 +136,30 @@ def iupac_tensor(contexts: DataFrame, offset: int = 10) -> DataFrame:
 def context_profile(contexts: DataFrame, text: str = "target_context_45") -> DataFrame:
     """How often each symbol stands at each position."""
     return contexts.select(F.posexplode(F.split(text, "")).alias("at", "symbol")).groupBy((F.col("at") + 1).alias("position"), "symbol").agg(F.count("*").alias("n"))
+
+
+def feature_parity(rebuilt: DataFrame, stored: DataFrame, tolerance: float) -> DataFrame:
+    """For every feature of two tables of record_id and features: rows that only one has a value for, the largest difference, and whether it is within tolerance."""
+    return max_abs_diff(rebuilt, stored, ["record_id"], [c for c in rebuilt.columns if c != "record_id"], tolerance)
+
+
+def context_matrix(blocks: list[tuple[str, DataFrame]]) -> DataFrame:
+    """An ordered design matrix in sparse form: (record_id, column, value) of blocks in order, columns numbered from 0 within a table of columns.
+
+    A block is (name, long table of record_id, feature, value); what a block lacks for a record is 0. Columns are numbered by block, then by name, as the fit rows have them.
+    """
+    long = None
+    for i, (name, part) in enumerate(blocks):
+        part = part.select("record_id", F.lit(i).alias("block"), F.concat(F.lit(f"{name}:"), "feature").alias("feature"), F.col("value").cast("double").alias("value"))
+        long = part if long is None else long.unionByName(part)
+    return long
+
+
+def matrix_columns(long: DataFrame) -> DataFrame:
+    """(feature, column) of a fit matrix: as many rows as it has columns, numbered in order."""
+    return long.select("block", "feature").distinct().select("feature", (F.row_number().over(Window.orderBy("block", "feature")) - 1).alias("column"))
+
+
+def numbered_matrix(long: DataFrame, columns: DataFrame) -> DataFrame:
+    """A matrix with numbered columns; features that the fit rows lack have none."""
+    return long.join(F.broadcast(columns), "feature").where("value <> 0").select("record_id", "column", "value")

@@ -184,6 +184,13 @@ def context_audit(cohort: DataFrame, contexts: DataFrame) -> DataFrame:
     return j.groupBy("context_status").agg(F.count("*").alias("n"), F.count_if(known).alias("in_cohort"), F.count_if(known & ~F.col("c.guide").eqNullSafe(F.col("r.crRNA_sequence"))).alias("guide_differs"), F.count_if(known & ~F.col("c.y_true").eqNullSafe(F.col("r.label_normalized"))).alias("label_differs"))
 
 
+def protocol_audit(cohort: DataFrame, contexts: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Per protocol and context status: records of the cohort, their groups and folds. assignments: record_id, protocol_id, group_id, fold."""
+    status = cohort.select("record_id").join(contexts.select("record_id", "context_status"), "record_id", "left")
+    j = assignments.join(status, "record_id")
+    return j.groupBy("protocol_id", F.coalesce("context_status", F.lit("no_context")).alias("context_status")).agg(F.count("*").alias("records"), F.count_distinct("group_id").alias("groups"), F.count_distinct("fold").alias("folds"))
+
+
 def data_audit(df: DataFrame, target: str = "target", guide: str = "guide", label: str = "label_normalized") -> DataFrame:
     """Per split: rows, different targets and guides, label range, and targets with several guides."""
     multi = df.groupBy("baseline_split", target).agg(F.count_distinct(guide).alias("g")).groupBy("baseline_split").agg(F.count_if(F.col("g") > 1).alias("targets_with_several_guides"))

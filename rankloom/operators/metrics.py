@@ -80,9 +80,15 @@ def error_metrics(y: str, p: str) -> dict[str, Column]:
     return {"PCC": correlation(y, p), "RMSE": F.sqrt(F.avg(e * e)), "MAE": F.avg(F.abs(e)), "R2": F.when(F.min(y) != F.max(y), 1 - F.try_divide(F.avg(e * e), F.var_pop(y)))}
 
 
+def finite(name: str) -> Column:
+    x = F.col(name)
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(bad, F.raise_error(F.lit(f"{name} is missing or not finite")).cast("double")).otherwise(x.cast("double"))
+
+
 def five_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred", more: tuple[Column, ...] = (), cells: int | None = None) -> DataFrame:
-    """Per key. cells: how many tasks rank a key; by its rows unless given."""
-    df = cut(df)
+    """Per key. cells: how many tasks rank a key; by its rows unless given. Labels or predictions that are missing or not finite are an error."""
+    df = cut(df.withColumns({c: finite(c) for c in (y, p)}))
     cells = cells or cells_for(df, keys)
     ranked = average_rank(average_rank(df, keys, y, "__ry", cells=cells), keys, p, "__rp", cells=cells)
     cols = {"SCC": correlation("__ry", "__rp")} | error_metrics(y, p)
@@ -197,7 +203,8 @@ def support_summary(df: DataFrame, keys: list[str], support: str) -> DataFrame:
 
 
 def support_distribution(df: DataFrame, support: str) -> DataFrame:
-    return five_metrics(df, [support, "mapped"])
+    """By value of a support count and whether a target is mapped: rows, groups and metrics."""
+    return five_metrics(df, [support, "mapped"], more=(F.count_distinct("group_id").alias("n_groups"),))
 
 
 def route_counts(predictions: DataFrame) -> DataFrame:

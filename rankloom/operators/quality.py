@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.sequences import normalize_sequence
 
 REQUIRED = ("record_id", "crRNA_sequence", "target_aligned_25")
-RESERVED = "cas12a_"
+#: Prefix of result columns, which input may not have.
+RESERVED = "result_"
 _ERRORS = "record_id string, source_row long, field string, error string"
 
 
-def check_header(df: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
+def check_header(df: DataFrame, forbidden: tuple[str, ...] = (), reserved: str = RESERVED) -> DataFrame:
     """Errors of the header: missing, reserved and forbidden columns."""
     rows = [("", 1, c, f"Missing required column: {c}") for c in REQUIRED if c not in df.columns]
-    rows += [("", 1, c, "Input contains a reserved result column") for c in df.columns if c.startswith(RESERVED)]
+    rows += [("", 1, c, "Input contains a reserved result column") for c in df.columns if c.startswith(reserved)]
     rows += [("", 1, c, "Mapping is calculated; remove supplied mapping columns") for c in sorted(set(forbidden) & set(df.columns))]
     return df.sparkSession.createDataFrame(rows, _ERRORS)
 

@@ -27,40 +27,42 @@ def routed_fusion(df: DataFrame, weights: dict[str, float] = FULL_WEIGHTS, hits:
     })
 
 
-def profiles() -> dict[str, tuple[dict[str, float], bool]]:
-    """Fusion variants, by name: weights, and whether unmapped rows fall back to d."""
-    out: dict[str, tuple[dict[str, float], bool]] = {}
-    names = list(FULL_WEIGHTS)
-    for x in names:
-        out[f"only_{x}"] = ({x: 1.0}, x != "d")
-    for i, x in enumerate(names):
-        for y in names[i + 1 :]:
-            total = FULL_WEIGHTS[x] + FULL_WEIGHTS[y]
-            out[f"pair_{x}{y}"] = ({x: FULL_WEIGHTS[x] / total, y: FULL_WEIGHTS[y] / total}, True)
-            out[f"pair_{x}{y}_unrouted"] = (out[f"pair_{x}{y}"][0], False)
-    for x in D_WEIGHTS:
-        rest = {k: w for k, w in D_WEIGHTS.items() if k != x}
-        out[f"without_{x}"] = ({**{k: FULL_WEIGHTS["d"] * w / sum(rest.values()) for k, w in rest.items()}, "b": FULL_WEIGHTS["b"], "c": FULL_WEIGHTS["c"]}, True)
-    out["full"], out["full_unrouted"] = (FULL_WEIGHTS, True), (FULL_WEIGHTS, False)
-    out["equal"] = ({x: 1 / 3 for x in names}, True)
-    return out
+def profiles() -> dict[str, tuple[Column, str | None]]:
+    """The sixteen fusion variants, by name: value, and the route of all rows, or None where unmapped rows fall back to d."""
+    part = lambda *names: blend({k: FULL_WEIGHTS[k] for k in names}) / round(sum(FULL_WEIGHTS[k] for k in names), 2)
+    db, dc, bc = part("d", "b"), part("d", "c"), part("b", "c")
+    single = {"D": (F.col("d"), "sequence"), "B": (F.col("b"), "context"), "C": (F.col("c"), "context"), "HISTORY_PRIOR": (F.col("history_prior"), "history_prior"), "SEQ_MAPPING_XGB": (F.col("seq_mapping"), "context")}
+    fixed = {"FULL": blend(FULL_WEIGHTS), "D_B_FIXED": db, "D_C_FIXED": dc, "B_C_FIXED": bc}
+    removed = {"WITHOUT_D": bc, "WITHOUT_B": dc, "WITHOUT_C": db}
+    return single | {k: (v, None) for k, v in (fixed | removed).items()} | {f"{k}_UNROUTED": (v, "context") for k, v in fixed.items()}
 
 
 def fusion_profiles(df: DataFrame, hits: str = "mapping_hit_count") -> DataFrame:
-    """Long: record_id, profile, route, y_pred."""
+    """Long: record_id, profile, route, y_pred; df has d, b, c, history_prior and seq_mapping."""
     mapped = F.col(hits) > 0
     rows = []
-    for name, (weights, routed) in profiles().items():
-        value = F.when(mapped, blend(weights)).otherwise(F.col("d")) if routed else blend(weights)
-        route = F.when(mapped, "blend").otherwise("fallback") if routed else F.lit("blend")
-        rows.append(F.struct(F.lit(name).alias("profile"), route.alias("route"), value.alias("y_pred")))
+    for name, (value, route) in profiles().items():
+        routed = value if route else F.when(mapped, value).otherwise(F.col("d"))
+        rows.append(F.struct(F.lit(name).alias("profile"), (F.lit(route) if route else F.when(mapped, "context").otherwise("sequence_fallback")).alias("route"), routed.alias("y_pred")))
     return df.select("record_id", F.explode(F.array(*rows)).alias("x")).select("record_id", "x.*")
 
 
+#: Route and version of the models that may be primary instead of the full blend.
+COMPARISON_ROUTES = {"d": ("sequence_d_v1_5", "1.5.0"), "legacy": ("sequence_xgboost_v1_0_legacy", "1.0.0")}
+
+
+def primary_score(df: DataFrame, primary: str = "full", version: str = "2.0.0", legacy: str = "d_xgb") -> DataFrame:
+    """activity_score, model_route, prediction_status and model_version under a primary model: full (routed), d or legacy."""
+    if primary == "full":
+        return routed_fusion(df).withColumn("model_version", F.lit(version))
+    route, own = COMPARISON_ROUTES[primary]
+    return df.withColumns({"activity_score": F.col("d" if primary == "d" else legacy), "model_route": F.lit(route), "prediction_status": F.lit("success"), "model_version": F.lit(own)})
+
+
 def warning_codes(mixed: Column | None = None) -> Column:
     """Ordered `;` list; needs hits, counts, confidence and diagnostics in the row."""
     mapped = F.col("mapping_hit_count") > 0
-    codes = [
+    codes = [  # fixed values: the codes, in order
         (~mapped, "W_MAPPING_NOT_FOUND"), (~mapped, "W_SEQUENCE_D_FALLBACK"), (mapped & ~F.col("guide_seen"), "W_GUIDE_NOT_IN_TRAIN_REFERENCE"), (mapped & ~F.col("template_key_seen"), "W_TEMPLATE_KEY_NOT_IN_TRAIN_REFERENCE"),
         (mapped & (F.col("mapping_template_count") > 1), "W_MAPPING_MULTIPLE_CANDIDATES"), (mapped & (F.col("mapping_group_count") > 1), "W_MAPPING_MULTIPLE_GROUPS"), (mapped & (F.col("mapping_confidence") == "review"), "W_MAPPING_REVIEW"),
         (mixed if mixed is not None else F.lit(False), "W_GLOBAL_RANK_WITHHELD_MIXED_ROUTES"),

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import five_metrics
+from ..functions.checkpoints import cut
+from .metrics import average_rank, cells_for, correlation, error_metrics, five_metrics
+from .quality import max_abs_diff
 
 TOLERANCE = 1e-12
 
@@ -34,11 +36,17 @@ def simplex_grid(spark: SparkSession, n: int, step: float, extras: tuple[tuple[f
 
 
 def score_grid(rows: DataFrame, grid: DataFrame, components: list[str], fold: str = "inner_fold", y: str = "y_true") -> DataFrame:
-    """Metrics of every candidate on every fold."""
+    """Metrics of every candidate on every fold. Labels are ranked once a fold; a candidate is a number in what is shuffled and sorted."""
     names = [f"w{k + 1}" for k in range(len(components))]
+    base = cut(rows.select(fold, y, *components))
+    cells = cells_for(base, [fold])
+    ranked = average_rank(base, [fold], y, "__ry", cells=cells)
+    numbered_grid = cut(grid.select(*names, F.monotonically_increasing_id().alias("__w")))
     value = reduce(lambda a, b: a + b, (F.col(w) * F.col(c) for w, c in zip(names, components, strict=True)))
-    made = rows.select(fold, y, *components).crossJoin(F.broadcast(grid)).select(*names, fold, y, F.round(value, 9).alias("y_pred"))
-    return five_metrics(made, [*names, fold], y, "y_pred")
+    made = ranked.crossJoin(F.broadcast(numbered_grid)).select("__w", fold, y, "__ry", F.round(value, 9).alias("y_pred"))
+    made = average_rank(cut(made) if cells > 1 else made, ["__w", fold], "y_pred", "__rp", cells=cells)
+    scores = made.groupBy("__w", fold).agg(F.count("*").alias("n"), correlation("__ry", "__rp").alias("SCC"), *[c.alias(n) for n, c in error_metrics(y, "y_pred").items()])
+    return scores.join(F.broadcast(numbered_grid), "__w").select(*names, fold, "n", "SCC", "PCC", "RMSE", "MAE", "R2")
 
 
 def summarize(scores: DataFrame, keys: list[str], folds: int) -> DataFrame:
@@ -104,6 +112,15 @@ def select_policy(rows: DataFrame, step: float, folds: int = 4) -> DataFrame:
     return pick(d, "d_w", 3).crossJoin(pick(db, "db_w", 2)).crossJoin(pick(tri, "tri_w", 3)).crossJoin(fam.select("family"))
 
 
+def replay_selection(rows: DataFrame, stored: DataFrame, step: float, folds: int = 4, tolerance: float = 1e-10) -> DataFrame:
+    """A stored policy against the one that the inner folds' components give again: per weight, whether both agree; and the family."""
+    again = select_policy(rows, step, folds)
+    weights = [c for c in again.columns if c != "family"]
+    numbers = max_abs_diff(again.withColumn("k", F.lit(0)), stored.withColumn("k", F.lit(0)), ["k"], weights, tolerance).select("column", F.col("within").alias("agrees"))
+    family = again.select(F.col("family").alias("a")).crossJoin(F.broadcast(stored.select(F.col("family").alias("b")))).select(F.lit("family").alias("column"), F.col("a").eqNullSafe(F.col("b")).alias("agrees"))
+    return numbers.unionByName(family)
+
+
 def family_scores(made: DataFrame, db: tuple[float, float], tri: tuple[float, float, float]) -> DataFrame:
     value = {"D": F.col("D"), "SEQ_MAPPING_XGB": F.col("SEQ_MAPPING_XGB"), "D_B": F.col("D") * db[0] + F.col("B") * db[1], "D_B_C": F.col("D") * tri[0] + F.col("B") * tri[1] + F.col("C") * tri[2]}
     long = made.select("inner_fold", "y_true", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.round(v, 9).alias("y_pred")) for f, v in value.items()])).alias("x")).select("inner_fold", "y_true", "x.*")

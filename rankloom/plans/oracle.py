@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ..functions.sequences import BASES, COMPLEMENTS, CODES, IUPAC
-from ..operators.features import DINUCLEOTIDES, TRINUCLEOTIDES
-from ..operators.score import profiles
-from ..operators.select import D_ORIGINAL, DB_ORIGINAL, FAMILIES, TRI_ORIGINAL
 from .fixtures import COMPONENTS, DUCK_HEX, duck_ctes
 from .queries import DRAWS, SEED, STEP, SWAPS, _NUMERIC
 
+# Fixed values, stated here again so that an error in the operators' own shows.
+BASES, CODES, COMPLEMENTS = "ACGT", "ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN"
+IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
+DINUCLEOTIDES = [a + b for a in BASES for b in BASES]
+TRINUCLEOTIDES = ["AAA", "CCC", "GGG", "TTT", "GCG", "CGC", "TAT", "ATA"]
+FAMILIES = [("D", 3), ("SEQ_MAPPING_XGB", 1), ("D_B", 8), ("D_B_C", 9)]
+
 ORACLES: dict[str, str] = {}
 M5 = ("SCC", "PCC", "RMSE", "MAE", "R2")
 
@@ -203,6 +206,45 @@ _DIAG = f"dg as (select te.*, an > 0 guide_seen, coalesce(mh.c, 0) tc, coalesce(
 _SCORE = f"{_MROWS}, {_GH}, {_MH}, {_TEQ}, {_DIAG}"
 add("reference_diagnostics", "select record_id, guide_seen, an guide_reference_count, template_key_seen, tc template_reference_count from dg", ctes=_SCORE)
 
+_SD = f"(select q.guide group_id, \"label\" y_true, round((-2.5 - 0.1 * d)::double, 6) y_pred, mapping_hit_count > 0 mapped, (select count(*) from tr where tr.guide = q.guide) guide_support_n from qu q)"
+add("support_distribution", five(_SD, "guide_support_n, mapped", ("n", "n_groups", *M5), more=", count(distinct group_id) n_groups"), ctes=_MROWS)
+add("mean_baselines", f"select record_id, {r('(select avg(\"label\") from tr)', 'global_mean')}, {r('ga', 'guide_anchor')}, {r('round(tt, 11)', 'template_anchor')}, {r('round(0.5 * ga + 0.5 * tt, 11)', 'mixed_anchor')} from dg", ctes=_SCORE)
+add("numeric_mapping", f"select record_id, {', '.join(f'{c}::double {c}' for c in ('mapping_hit_count', 'mapping_template_count', 'mapping_group_count', 'mapping_orientation_count'))} from mp", ctes=_MAPPED)
+_changed = {"substitution_count": "(select count(*) filter (where gap_count_target > 0) from ft)", "first_difference_position_1based": "(select count(*) filter (where first_difference_position_1based = 10) from ft)"}
+add("feature_parity", "select c \"column\", case when c = 'first_difference_position_1based' then (select count(*) from ft where first_difference_position_1based = 10) else 0 end unmatched, case when c = 'substitution_count' and (select count(*) from ft where gap_count_target > 0) > 0 then 1.0 else m end::double max_abs_diff, case when c = 'first_difference_position_1based' then (select count(*) from ft where first_difference_position_1based = 10) = 0 when c = 'substitution_count' then (select count(*) from ft where gap_count_target > 0) = 0 else true end \"within\" from (values " + ", ".join(f"('{c}', (select case when count({c}) > 0 then 0.0 end from ft))" for c in FEATURES) + ") v(c, m)", ctes=f"{_F}, ft as materialized (select " + ", ".join(f"{e} {n}" for n, e in FEATURES.items()) + " from f)")
+_PN = ", ".join(f"'numeric:{c}', coalesce({c}, (select quantile_cont({c}, 0.5) from nm where baseline_split = 'baseline_train'), 0)" for c in _NUMERIC)
+
+
+def _matrix(with_history: bool) -> None:
+    """Column sums of the ordered design matrix."""
+    k = _key("mapping_candidate_group_ids")
+    te = ["te_guide_all", "te_guide_all_log_count", "te_guide_seen"] + [x for t, suffix in (("exact", "_ref"), ("nonexact", "_ref"), ("diffcat", ""), ("gapcat", "")) for x in (f"te_guide_{t}{suffix}", f"te_guide_{t}_log_count")]
+    loo, query = _LOO.replace("te as (", "te_loo as (", 1), _TEQ.replace("te as (", "te_q as (", 1)
+    # encodings unrounded: as _te, without its rounding
+    cols = ["ga", "ln(1 + an)", "(an > 0)::int"] + [x for s_, n in (("es", "en"), ("ns", "nn"), ("ds", "dn"), ("ps", "pn")) for x in (f"({s_} + 0.5 * ga) / ({n} + 0.5)", f"ln(1 + {n})")]
+    part = []
+    part += [f"select record_id, 0 blk, 'numeric:{c}' feature, coalesce({c}, (select quantile_cont({c}, 0.5) from nm where baseline_split = 'baseline_train'), 0)::double v from nm" for c in _NUMERIC]
+    block = 1
+    if with_history:
+        part += [f"select record_id, 1, 'guide:{n}', ({e})::double from {src}" for src in ("te_loo", "te_q") for n, e in zip(te, cols, strict=True)]
+        block = 2
+    part.append(f"select record_id, {block}, 'pair:' || printf('%02d', i::int) || '_' || regexp_replace(rpad(g, 25, 'N')[i], '[^ACGTN-]', 'N') || regexp_replace(rpad(t, 25, 'N')[i], '[^ACGTN-]', 'N'), 1.0 from (select *, unnest(range(1, 26)) i from f)")
+    part += [f"select record_id, {block + 1}, 'mapping:{c}', {c}::double from mp" for c in ("mapping_hit_count", "mapping_template_count", "mapping_group_count", "mapping_orientation_count")]
+    if with_history:
+        part += ["select record_id, 4, 'history:key_te', a from xf", "select record_id, 4, 'history:key_log_count', b from xf"]
+        block = 3
+    part += [f"select record_id, {block + 2}, 'onehot:{f}=' || {_key(f)}, 1.0 from rw where {_key(f)} in (select {_key(f)} from tr)" for f in ("mapping_status", "mapping_confidence", "mapping_match_modes")]
+    xf = f"""xf as materialized (select t.record_id, (coalesce(sum(o."label"), 0) + 20 * any_value(p.m)) / (count(o."label") + 20) a, ln(1 + count(o."label")) b from (select *, {k} k from tr) t join (select f.fold, avg("label") m from tr, (select distinct fold from tr) f where tr.fold <> f.fold group by f.fold) p on p.fold = t.fold left join (select *, {k} k from tr) o on o.k = t.k and o.fold <> t.fold group by t.record_id, t.k
+      union all select record_id, (coalesce(s, 0) + 20 * -2.7) / (coalesce(c, 0) + 20), ln(1 + coalesce(c, 0)) from qu left join mh on field = 'mapping_candidate_group_ids' and k = {k})"""
+    lg = f"lg as materialized ({' union all '.join(part)}), cn as (select feature, row_number() over (order by blk, feature) - 1 c from (select distinct blk, feature from lg where record_id in (select record_id from tr)))"
+    name = "context_matrix" if with_history else "seq_mapping_matrix"
+    ctes = f"{_MROWS}, {_GH}, {_MH}, {loo}, {query}, {_F}, {_num}, {xf}, {lg}"
+    add(name, "select c::bigint \"column\", feature, count(*) n, round(sum(v), 4) total from lg join cn using (feature) where v <> 0 group by c, feature", ctes=ctes)
+
+
+_matrix(True)
+_matrix(False)
+
 # --- scores
 _SC = _SCORE + ", sc as (select *, round(ga, 6) b, round(0.5 * ga + 0.5 * tt, 6) c, round(-2.5 - 0.1 * d, 6) dd from dg), ro as (select *, mapping_hit_count > 0 mapped, case when mapping_hit_count > 0 then 0.2 * dd + 0.47 * b + 0.33 * c end full_, case when mapping_hit_count > 0 then round(0.2 * dd + 0.47 * b + 0.33 * c, 6) else dd end score, case when mapping_hit_count > 0 then 'mapping_dbc_v2' else 'sequence_d_fallback_v2' end route from sc)"
 add("routed_scores", f"select record_id, {r('full_', 'prediction_full')}, {r('score', 'activity_score')}, route model_route, case when mapped then 'success' else 'fallback_success' end prediction_status from ro", ctes=_SC)
@@ -222,9 +264,13 @@ _hs = lambda c: raw(f"(select guide_seen, template_key_seen, \"label\" y_true, {
 add("history_strata", f"select guide_seen, template_key_seen, x.n, {r('x.n / (select count(*) from sc)', 'fraction')}, {r('x.SCC', 'SCC_a')}, {r('y.SCC', 'SCC_b')}, {r('x.MAE', 'MAE_a')}, {r('y.MAE', 'MAE_b')}, {r('x.SCC - y.SCC', 'delta_SCC')} from {_hs('b')} x join {_hs('dd')} y using (guide_seen, template_key_seen)", ctes=_SC)
 _cs = "(select case when mapping_template_count = 0 then '0' when mapping_template_count = 1 then '1' when mapping_template_count <= 3 then '2-3' when mapping_template_count <= 8 then '4-8' else '9+' end stratum, \"label\" y_true, b y_pred from sc)"
 add("candidate_strata", f"select stratum, n, {', '.join(r(f'case when n >= 10 then {m} end', m) for m in M5)}, n >= 10 estimable from {raw(_cs, 'stratum')}", ctes=_SC)
-_CO = "co as (select record_id, y_true, mapping_found mapped, D_xgb d_xgb, D_lightgbm d_lgbm, D_mlp d_mlp, B b, C c, 0.35 * D_xgb + 0.59 * D_lightgbm + 0.06 * D_mlp d from components)"
-_blend = lambda w: " + ".join(f"{x!r}::double * {c}" for c, x in w.items())
-_PR = "pr as (" + " union all ".join(f"select record_id, y_true, '{n}' profile, " + (f"case when mapped then 'blend' else 'fallback' end route, case when mapped then {_blend(w)} else d end y_pred" if routed else f"'blend' route, {_blend(w)} y_pred") + " from co" for n, (w, routed) in profiles().items()) + ")"
+_CO = "co as (select record_id, y_true, mapping_found mapped, HISTORY_PRIOR hp, SEQ_MAPPING_XGB sm_, D_xgb d_xgb, B b, C c, 0.35 * D_xgb + 0.59 * D_lightgbm + 0.06 * D_mlp d from components)"
+_tri, _db, _dc, _bc = "(0.20 * d + 0.47 * b + 0.33 * c)", "(0.20 * d + 0.47 * b) / 0.67", "(0.20 * d + 0.33 * c) / 0.53", "(0.47 * b + 0.33 * c) / 0.80"
+_profiles = {"D": ("d", "sequence"), "B": ("b", "context"), "C": ("c", "context"), "HISTORY_PRIOR": ("hp", "history_prior"), "SEQ_MAPPING_XGB": ("sm_", "context")}
+_profiles |= {n: (e, "") for n, e in (("FULL", _tri), ("D_B_FIXED", _db), ("D_C_FIXED", _dc), ("B_C_FIXED", _bc), ("WITHOUT_D", _bc), ("WITHOUT_B", _dc), ("WITHOUT_C", _db))}
+_profiles |= {n: (e, "context") for n, e in (("FULL_UNROUTED", _tri), ("D_B_FIXED_UNROUTED", _db), ("D_C_FIXED_UNROUTED", _dc), ("B_C_FIXED_UNROUTED", _bc))}
+_PR = "pr as (" + " union all ".join(f"select record_id, y_true, '{n}' profile, " + (f"'{route}' route, ({e})::double y_pred" if route else f"case when mapped then 'context' else 'sequence_fallback' end route, (case when mapped then {e} else d end)::double y_pred") + " from co" for n, (e, route) in _profiles.items()) + ")"
+add("primary_scores", f"select 'full' primary_model, record_id, {r(f'case when mapped then {_tri} else d end', 'activity_score')}, case when mapped then 'mapping_dbc_v2' else 'sequence_d_fallback_v2' end model_route, case when mapped then 'success' else 'fallback_success' end prediction_status, '2.0.0' model_version from co union all select 'd', record_id, {r('d')}, 'sequence_d_v1_5', 'success', '1.5.0' from co union all select 'legacy', record_id, {r('d_xgb')}, 'sequence_xgboost_v1_0_legacy', 'success', '1.0.0' from co", "components", ctes=_CO)
 add("blend_profiles", f"select record_id, profile, route, {r('y_pred', 'y_pred')} from pr", "components", ctes=f"{_CO}, {_PR}")
 add("profile_metrics", five("(select profile, y_true, round(y_pred, 6) y_pred from pr)", "profile"), "components", ctes=f"{_CO}, {_PR}")
 add("seed_means", f"select record_id, {r('avg(y_pred)', 'y_pred')}, count(*) members from predictions where model_id <> 'M_CONST' group by record_id", *P)
@@ -256,6 +302,9 @@ add("stop_roles", "select record_id, outer_fold::bigint fold, o \"outer\", case
 add("cohort_common", "select p.record_id, crRNA_sequence, target_context_45, label_normalized from pairs p join contexts c using (record_id) where baseline_split = 'baseline_train' and label_normalized is not null and context_status = 'ok'", "contexts")
 add("context_audit", "select context_status, count(*) n, count(p.record_id) in_cohort, count(*) filter (where p.record_id is not null and guide is distinct from crRNA_sequence) guide_differs, count(*) filter (where p.record_id is not null and y_true is distinct from label_normalized) label_differs from contexts c left join (select * from pairs where baseline_split = 'baseline_train' and label_normalized > -3) p using (record_id) group by context_status", "contexts")
 add("data_audit", f"select baseline_split, count(*) n, count(distinct target_aligned_25) targets, count(distinct crRNA_sequence) guides, {r('min(label_normalized)', 'label_min')}, {r('max(label_normalized)', 'label_max')}, (select count(*) from (select target_aligned_25 from pairs q where q.baseline_split = p.baseline_split group by target_aligned_25 having count(distinct crRNA_sequence) > 1)) targets_with_several_guides from pairs p group by baseline_split")
+_pa = DUCK_HEX("substr(md5(concat(group_id, '|p')), 1, 6)")
+add("protocol_audit", f"select protocol_id, coalesce(context_status, 'no_context') context_status, count(*) records, count(distinct group_id) groups, count(distinct {_pa} % 5) folds from (select record_id, 'target' protocol_id, target group_id from tr union all select record_id, 'guide', guide from tr union all select record_id, 'atomic_template', c from tr join cm_y on n = 't:' || target union all select record_id, 'dual_atomic', c from tr join cm_x on n = 't:' || target) a join (select record_id from pairs where baseline_split = 'baseline_train' and label_normalized is not null) using (record_id) left join contexts using (record_id) group by all", "contexts", ctes=f"{_MROWS}, {_comp(True, 'x')}, {_comp(False, 'y')}")
+add("encoding_folds", "select record_id, outer_fold::bigint fold from predictions where model_id = 'M_MID' and outer_fold <> 2", *P)
 add("pending_work", "select model_id, outer_fold::bigint outer_fold, count(*) n, sha256(string_agg(record_id, chr(10) order by record_id)) ids_sha256 from predictions where outer_fold = 0 or model_id = 'M_MID' group by all", *P)
 
 # --- selection
@@ -266,16 +315,33 @@ _w = ", ".join(r(f"w{k}", f"w{k}") for k in (1, 2, 3))
 C = ("components",)
 add("grid_scores", f"select {_w}, inner_fold::bigint inner_fold, {r('SCC', 'SCC')}, {r('MAE', 'MAE')} from gs", *C, ctes=_GS)
 add("chosen_weights", f"select {_w}, {r('mean_SCC', 'mean_SCC')}, {r('mean_MAE', 'mean_MAE')} from sm order by round(mean_SCC, 11) desc, round(mean_MAE, 11), abs(w1 - 0.35) + abs(w2 - 0.59) + abs(w3 - 0.06), w1, w2, w3 limit 1", *C, ctes=_GS)
-_d0 = "0.35 * D_xgb + 0.59 * D_lightgbm + 0.06 * D_mlp"
-_fam = {"D": _d0, "SEQ_MAPPING_XGB": "SEQ_MAPPING_XGB", "D_B": f"({_d0}) * {DB_ORIGINAL[0]} + B * {DB_ORIGINAL[1]}", "D_B_C": f"({_d0}) * {TRI_ORIGINAL[0]} + B * {TRI_ORIGINAL[1]} + C * {TRI_ORIGINAL[2]}"}
-_fs = " union all ".join(f"select '{f}' family, inner_fold, y_true, round(({e})::double, 9) y_pred from components" for f, e in _fam.items())
-add("chosen_family", f"select family, {r('avg(SCC)', 'mean_SCC')}, {r('avg(MAE)', 'mean_MAE')}, any_value(n_learners)::bigint n_learners from {raw(f'({_fs})', 'family, inner_fold')} join (values {', '.join(f'($${f}$$, {n}, {i})' for i, (f, n) in enumerate(FAMILIES))}) v(family, n_learners, ix) using (family) group by family order by round(avg(SCC), 11) desc, round(avg(MAE), 11), any_value(n_learners), any_value(ix) limit 1", *C)
-_dc = "(0.4 * D_xgb + 0.5 * D_lightgbm + 0.1 * D_mlp)"
-_df = f"({D_ORIGINAL[0]} * D_xgb + {D_ORIGINAL[1]} * D_lightgbm + {D_ORIGINAL[2]} * D_mlp)"
-_tri = f"0.1 * {_dc} + 0.6 * B + 0.3 * C"
-_pol = {"D_SELECTED": (_dc, None), "D_FROZEN": (_df, None), "DB_SELECTED": (f"0.2 * {_dc} + 0.8 * B", _dc), "DB_FROZEN": (f"0.3 * {_df} + 0.7 * B", _df), "TRI_SELECTED": (_tri, _dc), "TRI_FROZEN": (f"0.2 * {_df} + 0.47 * B + 0.33 * C", _df), "SEQ_MAPPING_XGB": ("SEQ_MAPPING_XGB", None), "POLICY": (_tri, _dc)}
-add("policy_predictions", " union all ".join(f"select record_id, y_true, '{n}' model_id, " + (f"{r(f'case when mapping_found then {v} else {b} end', 'y_pred')}, case when mapping_found then 'fusion' else 'fallback' end prediction_route" if b else f"{r(v, 'y_pred')}, 'single' prediction_route") + " from components" for n, (v, b) in _pol.items()), *C)
-add("blend_grid", f"select {r('alpha', 'alpha')}, {r('SCC', 'SCC')}, {r('RMSE', 'RMSE')} from {raw('(select i / 20.0::double alpha, y_true, round(((1 - i / 20.0::double) * D_xgb + i / 20.0::double * B)::double, 9) y_pred from components, range(21) t(i))', 'alpha')}", *C)
+_U2 = _U
+_order = lambda m: f"order by round(mean_SCC, 11) desc, round(mean_MAE, 11), {m}"
+_sum = lambda keys, src: f"(select {keys}, case when count(SCC) = 4 then avg(SCC) end mean_SCC, avg(MAE) mean_MAE from {src} group by all)"
+_CHAIN = _GS + f""", pd as materialized (select w1 a1, w2 a2, w3 a3 from sm {_order('abs(w1 - 0.35) + abs(w2 - 0.59) + abs(w3 - 0.06), w1, w2, w3')} limit 1),
+cd as materialized (select components.*, a1 * D_xgb + a2 * D_lightgbm + a3 * D_mlp D from components, pd),
+g2 as (select i / {_U2}.0::double w1, ({_U2} - i) / {_U2}.0::double w2 from range({_U2 + 1}) t(i)),
+s2 as {raw('(select w1, w2, inner_fold, y_true, round((w1 * D + w2 * B)::double, 9) y_pred from cd, g2)', 'w1, w2, inner_fold')},
+pb as materialized (select w1 b1, w2 b2 from {_sum('w1, w2', 's2')} {_order('abs(w1 - 0.3) + abs(w2 - 0.7), w1, w2')} limit 1),
+g3 as (select w1, w2, w3 from gr where not (w1 = 0.35 and w2 = 0.59) union all select 0.20, 0.47, 0.33),
+s3 as {raw('(select w1, w2, w3, inner_fold, y_true, round((w1 * D + w2 * B + w3 * C)::double, 9) y_pred from cd, g3)', 'w1, w2, w3, inner_fold')},
+pt as materialized (select w1 t1, w2 t2, w3 t3 from {_sum('w1, w2, w3', 's3')} {_order('abs(w1 - 0.2) + abs(w2 - 0.47) + abs(w3 - 0.33), w1, w2, w3')} limit 1),
+fl as (select 'D' family, inner_fold, y_true, round(D::double, 9) y_pred from cd union all select 'SEQ_MAPPING_XGB', inner_fold, y_true, round(SEQ_MAPPING_XGB::double, 9) from cd union all select 'D_B', inner_fold, y_true, round((D * b1 + B * b2)::double, 9) from cd, pb union all select 'D_B_C', inner_fold, y_true, round((D * t1 + B * t2 + C * t3)::double, 9) from cd, pt),
+ff as materialized (select family, mean_SCC, mean_MAE, n_learners from {_sum('family', raw('fl', 'family, inner_fold'))} join (values {', '.join(f"('{f}', {n}, {i})" for i, (f, n) in enumerate(FAMILIES))}) v(family, n_learners, ix) using (family) {_order('n_learners, ix')} limit 1),
+po as materialized (select * from pd, pb, pt, (select family from ff))"""
+_pcols = {"d_w1": "a1", "d_w2": "a2", "d_w3": "a3", "db_w1": "b1", "db_w2": "b2", "tri_w1": "t1", "tri_w2": "t2", "tri_w3": "t3"}
+add("selected_policy", f"select {', '.join(r(v, k) for k, v in _pcols.items())}, family from po", *C, ctes=_CHAIN)
+_stored = dict(zip(_pcols, ("0.35", "0.59", "0.06", "0.3", "0.7", "0.2", "0.47", "0.33"), strict=True))
+add("replayed_selection", " union all ".join([*(f"select '{k}' \"column\", abs({v} - {_stored[k]}) <= 1e-10 agrees from po" for k, v in _pcols.items()), "select 'family', family = 'D_B_C' from po"]), *C, ctes=_CHAIN)
+add("chosen_family", f"select family, {r('mean_SCC', 'mean_SCC')}, {r('mean_MAE', 'mean_MAE')}, n_learners::bigint n_learners from ff", *C, ctes=_CHAIN)
+_df = "(0.35 * D_xgb + 0.59 * D_lightgbm + 0.06 * D_mlp)"
+_ptri, _pdb = "(t1 * D + t2 * B + t3 * C)", "(b1 * D + b2 * B)"
+_pol = {"D_SELECTED": ("D", None), "D_FROZEN": (_df, None), "DB_SELECTED": (_pdb, "D"), "DB_FROZEN": (f"0.3 * {_df} + 0.7 * B", _df), "TRI_SELECTED": (_ptri, "D"), "TRI_FROZEN": (f"0.2 * {_df} + 0.47 * B + 0.33 * C", _df), "SEQ_MAPPING_XGB": ("SEQ_MAPPING_XGB", None), "POLICY": (f"case family when 'D' then D when 'SEQ_MAPPING_XGB' then SEQ_MAPPING_XGB when 'D_B' then case when mapping_found then {_pdb} else D end else case when mapping_found then {_ptri} else D end end", "")}
+add("policy_predictions", " union all ".join(f"select record_id, y_true, '{n}' model_id, " + (f"{r(v, 'y_pred')}, 'single' prediction_route" if b is None else f"{r(v if b == '' else f'case when mapping_found then {v} else {b} end', 'y_pred')}, case when mapping_found then 'fusion' else 'fallback' end prediction_route") + " from cd, po" for n, (v, b) in _pol.items()), *C, ctes=_CHAIN)
+_alpha = lambda a, b: raw(f"(select i / 100.0::double alpha, y_true, round(((1 - i / 100.0::double) * {a} + i / 100.0::double * {b})::double, 9) y_pred from components, range(101) t(i))", "alpha")
+add("pairwise_weights", f"select {r('alpha', 'alpha')}, {r('SCC', 'SCC')}, {r('RMSE', 'RMSE')} from {_alpha('D_lightgbm', 'C')} order by round(SCC, 11) desc, round(RMSE, 11), alpha limit 1", *C)
+add("selection_frequency", f"select family, count(*) n from (select inner_fold, max_by(family, (round(SCC, 9), family)) family from {raw('(' + ' union all '.join(f'select $${n}$$ family, inner_fold, y_true, round(({e})::double, 9) y_pred from components' for n, e in (('D', _df), ('SEQ_MAPPING_XGB', 'SEQ_MAPPING_XGB'), ('D_B', _df + ' * 0.3 + B * 0.7'), ('D_B_C', _df + ' * 0.2 + B * 0.47 + C * 0.33'))) + ')', 'family, inner_fold')} group by inner_fold) group by family", *C)
+add("blend_grid", f"select {r('alpha', 'alpha')}, {r('SCC', 'SCC')}, {r('RMSE', 'RMSE')} from {_alpha('D_xgb', 'B')}", *C)
 add("crossfit_weights", f"select held::bigint held, {r('m', 'others_SCC')}, {_w}, {r('SCC', 'held_SCC')} from (select h.held, w1, w2, w3, round(avg(SCC), 9) m from gs, (select distinct inner_fold held from gs) h where inner_fold <> held group by h.held, w1, w2, w3 having count(SCC) = 3 qualify row_number() over (partition by h.held order by round(avg(SCC), 9) desc, w1, w2, w3) = 1) b join gs using (w1, w2, w3) where gs.inner_fold = held", *C, ctes=_GS)
 add("near_optimal", "select count(*) n, " + r("max(best)", "best") + ", " + ", ".join(r(f"{f}(w{k})", f"{f}_w{k}") for k in (1, 2, 3) for f in ("min", "max")) + " from sm, (select max(mean_SCC) best from sm) where best - mean_SCC <= 0.01", *C, ctes=_GS)
 add("promotion_gate", f"select model_id, {r('ds', 'delta_SCC')}, {r('dr', 'delta_RMSE')}, bf better_folds, coalesce(ds >= 0.001 and dr <= 0 and bf >= 4, false) passes from (select a.model_id, max(case when level = 'pooled' then a.SCC - b.SCC end) ds, max(case when level = 'pooled' then a.RMSE - b.RMSE end) dr, count(*) filter (where level <> 'pooled' and a.SCC > b.SCC) bf from m a join m b using (level) where a.model_id <> 'M_MID' and b.model_id = 'M_MID' group by a.model_id)", *P, ctes=f"m as {raw(LEVELS, 'model_id, level')}")
@@ -310,6 +376,19 @@ sw as (select draw, y_true, a, b, draw >= 0 and {_hash(repr(SEED), "'swap'", 'dr
 cs as {raw("(select draw, 'a' side, y_true, case when f then b else a end y_pred from sw union all select draw, 'b', y_true, case when f then a else b end from sw)", 'draw, side')},
 dl as (select draw, max(case when side = 'a' then SCC end) - max(case when side = 'b' then SCC end) d from cs group by draw)"""
 add("swap_test", f"select {r('any_value(o)', 'observed_delta')}, count(d) valid_draws, count(*) total_draws, {r(f'(count(*) filter (where abs(d) >= abs(o) - 1e-12) + 1) / ({SWAPS} + 1)', 'p_value')}, 'available' status from dl, (select d o from dl where draw = -1) where draw >= 0", *P, ctes=_SW)
+_others = ("M_MID", "M_WEAK", "M_CONST")
+_ct = []
+for _o in _others:
+    _swo = _SW.replace("model_id = 'M_MID'", f"model_id = '{_o}'")
+    _ct.append(f"select '{_o}' o, o_ ob, vd, td, hits from (select any_value(o) o_, count(d) vd, count(*) td, count(*) filter (where abs(d) >= abs(o) - 1e-12) hits from (with {_swo} select dl.d, x.o from dl, (select d o from dl where draw = -1) x where draw >= 0))")
+_CT = _boot("'M_STRONG', 'M_MID', 'M_WEAK', 'M_CONST'") + f", ob as materialized {raw('predictions', 'model_id')}, cf as (select model_id, avg(c) c from (select model_id, outer_fold, (min(y_pred) = max(y_pred))::int c from predictions group by all) group by model_id), sq as materialized ({' union all '.join(_ct)})"
+_iv = "case when count(v) < 0.95 * count(*) then 'insufficient_valid_draws' when count(v) < 2 then 'fewer_than_two_valid_draws' else 'available' end"
+_dv = " union all ".join(f"select y.model_id o, '{m}' metric, x.{m} - y.{m} v from bm x join bm y using (draw) where x.model_id = 'M_STRONG' and y.model_id <> 'M_STRONG'" for m in M5)
+_CT += f", dv as (select o, metric, count(v) vd, {_iv} st, case when {_iv} = 'available' then quantile_cont(v, 0.025) end lo, case when {_iv} = 'available' then quantile_cont(v, 0.975) end hi from ({_dv}) group by o, metric)"
+_cw = ", ".join(f"{r(f'(select x.{m} - y.{m} from ob x, ob y where x.model_id = $$M_STRONG$$ and y.model_id = o)', f'delta_{m}')}, {r(f'(select lo from dv where dv.o = sq.o and metric = $${m}$$)', f'delta_{m}_ci_low')}, {r(f'(select hi from dv where dv.o = sq.o and metric = $${m}$$)', f'delta_{m}_ci_high')}, (select vd from dv where dv.o = sq.o and metric = $${m}$$) delta_{m}_valid_draws, (select st from dv where dv.o = sq.o and metric = $${m}$$) delta_{m}_ci_status" for m in M5)
+add("comparison_table", f"""select * exclude (p, i, praw), {r('case when praw is not null then least(max((16 - i + 1) * p) over (order by i), 1.0) end', 'p_holm')}, {r('praw', 'p_value')} from (select *, coalesce(praw, 1.0) p, row_number() over (order by coalesce(praw, 1.0), model_b) i from
+  (select 'M_STRONG' model_a, o model_b, {_cw}, case when ob is not null and vd = td then (hits + 1) / (td + 1) end praw, case when ob is null then 'undefined_observed_scc' when vd < td then 'undefined_permutation_scc' else 'available' end permutation_status, {r("(select c from cf where model_id = 'M_STRONG')", 'constant_fold_fraction_a')}, {r('(select c from cf where model_id = o)', 'constant_fold_fraction_b')},
+   case when ob is not null and vd = td then 'tested' else 'unavailable_undefined' end family_member_status from sq))""", *P, ctes=_CT)
 add("holm", f"select test_id, {r('p_value', 'p_value')}, {r('case when p_value is not null then least(max((30 - i + 1) * p) over (order by i), 1.0) end', 'p_holm')} from (select *, coalesce(p_value, 1.0) p, row_number() over (order by coalesce(p_value, 1.0), test_id) i from (select model_id || '|' || level test_id, case when SCC is not null then round(RMSE / 10, 6) end p_value from {raw(LEVELS, 'model_id, level')}))", *P)
 _perm = lambda src, cols: f"select a.record_id, a.outer_fold::bigint outer_fold, {cols} from (select *, row_number() over (partition by outer_fold order by record_id) i from {src}) a join (select *, row_number() over (partition by outer_fold order by {_hash(repr(SEED), chr(39) + 'permute' + chr(39), 'record_id')}, record_id) i from {src}) b using (outer_fold, i)"
 add("label_shuffle", _perm("(select * from predictions where model_id = 'M_MID')", "b.y_true"), *P)

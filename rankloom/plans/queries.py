@@ -15,7 +15,7 @@ from . import fixtures
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Parameters that oracles share.
-DRAWS, SWAPS, SEED, STEP = 40, 40, "20261012", 0.1
+DRAWS, SWAPS, SEED, STEP = 200, 200, "20261012", 0.05
 
 
 def query(f: Query) -> Query:
@@ -183,7 +183,7 @@ def id_set_hash(spark, d):
 @query
 def normalized_keys(spark, d):
     p = _fx(spark, d, "pairs")
-    return p.select("record_id", normalize_sequence(F.lower("crRNA_sequence")).alias("guide"), ungap("target_aligned_25").alias("target"), normalize_key(F.nullif(F.substr("record_id", F.lit(1), F.lit(1)), F.lit("7"))).alias("key"), F.size(template_atoms(F.concat_ws(";", "record_id", F.lit("x"), F.lit("12")))).alias("atoms"))
+    return p.select("record_id", normalize_sequence(F.lower("crRNA_sequence")).alias("guide"), ungap("target_aligned_25").alias("target"), normalize_key(F.nullif(F.substr("record_id", F.lit(1), F.lit(1)), F.lit("7"))).alias("key"), F.size(template_atoms(F.concat_ws(";", "record_id", F.lit(" "), F.lit(" 12 ")))).alias("atoms"))
 
 
 @query
@@ -407,6 +407,80 @@ def support_summary(spark, d):
     return metrics.support_summary(history.support_counts(rows, _train(rows)), ["baseline_split"], "guide_support_n")
 
 
+@query
+def support_distribution(spark, d):
+    rows = _rows(spark, d)
+    q = history.support_counts(rows.where("baseline_split <> 'baseline_train'"), _train(rows))
+    q = q.withColumns({"mapped": F.col("mapping_hit_count") > 0, "y_true": F.col("label"), "group_id": F.col("guide"), "y_pred": F.round(-2.5 - 0.1 * F.col("aligned_difference_count"), 6)})
+    return metrics.support_distribution(q, "guide_support_n")
+
+
+@query
+def mean_baselines(spark, d):
+    """Global, guide, template and mixed means as predictions."""
+    rows = _rows(spark, d)
+    train = _train(rows)
+    mean = cut(train.agg(F.avg("label").alias("mean")))
+    q = history.guide_encoding(rows.where("baseline_split <> 'baseline_train'"), history.guide_history(train), mean)
+    h = history.mapping_history(train).where("field = 'mapping_candidate_template_nos'").select(F.col("key").alias("tkey"), "sum", "count")
+    q = history.smoothed_lookup(q.withColumn("tkey", normalize_key("mapping_candidate_template_nos")), h, ["tkey"], -2.7, history.MAPPING_K, "te_template")
+    out = history.anchors(q).crossJoin(F.broadcast(mean))
+    return out.select("record_id", F.col("mean").alias("global_mean"), "guide_anchor", steady6("template_anchor").alias("template_anchor"), steady6("mixed_anchor").alias("mixed_anchor"))
+
+
+@query
+def numeric_mapping(spark, d):
+    m = _mapped(spark, d).select("record_id", *[F.nullif(F.col(c).cast("string"), F.lit("0")).alias(c) for c in history.MAPPING_COUNTS])
+    return history.numeric_mapping(m)
+
+
+@query
+def feature_parity(spark, d):
+    """All features against themselves with two of them changed."""
+    made = features.feature_table(_fx(spark, d, "pairs"))
+    stored = made.withColumns({"substitution_count": F.col("substitution_count") + F.when(F.col("gap_count_target") > 0, 1).otherwise(0), "first_difference_position_1based": F.nullif("first_difference_position_1based", F.lit(10))})
+    return features.feature_parity(made, stored, 1e-9)
+
+
+def _matrix_blocks(spark, d, with_history):
+    rows = _rows(spark, d)
+    train = _train(rows)
+    long = lambda df, names: df.select("record_id", *[F.col(c).cast("double").alias(c) for c in names]).unpivot(["record_id"], names, "feature", "value")
+    pairs = _fx(spark, d, "pairs")
+    table = features.feature_table(pairs, _NUMERIC).join(rows.select("record_id", "baseline_split"), "record_id")
+    filled = history.median_impute(table, history.medians(table.where("baseline_split = 'baseline_train'"), _NUMERIC), _NUMERIC)
+    fields = ["mapping_status", "mapping_confidence", "mapping_match_modes"]
+    onehot = history.apply_onehot(rows, history.fit_onehot(train, fields), fields).select("record_id", F.concat_ws("=", "field", "key").alias("feature"), F.lit(1.0).alias("value"))
+    pair = features.pair_onehot(pairs).select("record_id", F.format_string("%02d_%s", F.col("position"), F.col("pair")).alias("feature"), F.lit(1.0).alias("value"))
+    encoded = history.leave_one_out(train).select("record_id", *_TE).unionByName(history.guide_encoding(rows.where("baseline_split <> 'baseline_train'"), history.guide_history(train), train.agg(F.avg("label").alias("mean"))).select("record_id", *_TE))
+    coded = train.withColumn("key", normalize_key("mapping_candidate_group_ids"))
+    query = history.smoothed_lookup(rows.where("baseline_split <> 'baseline_train'").withColumn("key", normalize_key("mapping_candidate_group_ids")), history.mapping_history(train).where("field = 'mapping_candidate_group_ids'").select("key", "sum", "count"), ["key"], -2.7, history.MAPPING_K, "key_te")
+    mapped = history.crossfit(coded, "key").select("record_id", "key_te", "key_log_count").unionByName(query.select("record_id", "key_te", F.col("key_te_log_count").alias("key_log_count")))
+    blocks = [("numeric", long(filled, _NUMERIC))]
+    blocks += [("guide", long(encoded, _TE))] if with_history else []
+    blocks += [("pair", pair), ("mapping", long(history.numeric_mapping(rows), history.MAPPING_COUNTS))]
+    blocks += [("history", long(mapped, ["key_te", "key_log_count"]))] if with_history else []
+    return features.context_matrix([*blocks, ("onehot", onehot)]), train.select("record_id")
+
+
+def _matrix(spark, d, with_history):
+    """Values of the ordered design matrix, columns numbered by what the fit rows have."""
+    matrix, fit = _matrix_blocks(spark, d, with_history)
+    matrix = cut(matrix)
+    columns = cut(features.matrix_columns(matrix.join(fit, "record_id", "left_semi")))
+    return features.numbered_matrix(matrix, columns).join(F.broadcast(columns), "column").groupBy("column", "feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query
+def context_matrix(spark, d):
+    return _matrix(spark, d, True)
+
+
+@query
+def seq_mapping_matrix(spark, d):
+    return _matrix(spark, d, False)
+
+
 # --- scores ----------------------------------------------------------------------------------------------------------
 def _scored(spark, d):
     """Validation pairs with components (guide, template and mixed history as b, c and d), mapping and diagnostics."""
@@ -465,7 +539,7 @@ def candidate_strata(spark, d):
 def _components(spark, d):
     """Components with d, b and c and a mapping hit count, for blends."""
     c = _fx(spark, d, "components")
-    return c.select("record_id", "group_id", "y_true", "outer_fold", F.col("D_xgb").alias("d_xgb"), F.col("D_lightgbm").alias("d_lgbm"), F.col("D_mlp").alias("d_mlp"), F.col("B").alias("b"), F.col("C").alias("c"), F.col("mapping_found").cast("int").alias("mapping_hit_count")).withColumn("d", score.blend(score.D_WEIGHTS))
+    return c.select("record_id", "group_id", "y_true", "outer_fold", F.col("HISTORY_PRIOR").alias("history_prior"), F.col("SEQ_MAPPING_XGB").alias("seq_mapping"), F.col("D_xgb").alias("d_xgb"), F.col("D_lightgbm").alias("d_lgbm"), F.col("D_mlp").alias("d_mlp"), F.col("B").alias("b"), F.col("C").alias("c"), F.col("mapping_found").cast("int").alias("mapping_hit_count")).withColumn("d", score.blend(score.D_WEIGHTS))
 
 
 @query
@@ -480,6 +554,14 @@ def profile_metrics(spark, d):
     return metrics.five_metrics(long, ["profile"])
 
 
+@query
+def primary_scores(spark, d):
+    """Scores, routes, status and versions under each model that may be primary."""
+    c = _components(spark, d)
+    made = [score.primary_score(c, p).select(F.lit(p).alias("primary_model"), "record_id", F.round("activity_score", 6).alias("activity_score"), "model_route", "prediction_status", "model_version") for p in ("full", "d", "legacy")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @query
 def seed_means(spark, d):
     return score.mean_over_seeds(_fx(spark, d, "predictions").where("model_id <> 'M_CONST'"))
@@ -548,6 +630,19 @@ def data_audit(spark, d):
     return groups.data_audit(_fx(spark, d, "pairs"), target="target_aligned_25", guide="crRNA_sequence")
 
 
+@query
+def protocol_audit(spark, d):
+    assignments = groups.protocol_groups(_identities(spark, d))
+    fold = (F.conv(F.substr(F.md5(F.concat("group_id", F.lit("|p"))), F.lit(1), F.lit(6)), 16, 10).cast("long") % 5).cast("int")
+    return groups.protocol_audit(groups.load_cohort(_fx(spark, d, "pairs")), _fx(spark, d, "contexts"), assignments.withColumn("fold", fold))
+
+
+@query
+def encoding_folds(spark, d):
+    p = _fx(spark, d, "predictions").where("model_id = 'M_MID'").select("record_id", F.lit("guide").alias("protocol_id"), F.col("outer_fold").alias("fold"))
+    return groups.encoding_folds(p, "guide", 2)
+
+
 @query
 def pending_work(spark, d):
     plan = quality.id_set_hash(_fx(spark, d, "predictions"), ["model_id", "outer_fold"])
@@ -572,21 +667,46 @@ def chosen_weights(spark, d):
     return select.choose_weights(s, select.D_ORIGINAL).select("w1", "w2", "w3", "mean_SCC", "mean_MAE")
 
 
+def _policy(spark, d):
+    return cut(select.select_policy(cut(_fx(spark, d, "components")), STEP))
+
+
+@query
+def selected_policy(spark, d):
+    """Weights and family chosen on four inner folds: D, then D/B and D/B/C given D, then the family."""
+    return _policy(spark, d)
+
+
+@query
+def replayed_selection(spark, d):
+    """The policy that is chosen again, against a stored one: the frozen weights and the family of all three."""
+    names = [*(f"d_w{k}" for k in (1, 2, 3)), "db_w1", "db_w2", *(f"tri_w{k}" for k in (1, 2, 3))]
+    stored = spark.createDataFrame([(*select.D_ORIGINAL, *select.DB_ORIGINAL, *select.TRI_ORIGINAL, "D_B_C")], ", ".join([*(f"{n} double" for n in names), "family string"]))
+    return select.replay_selection(cut(_fx(spark, d, "components")), stored, STEP)
+
+
 @query
 def chosen_family(spark, d):
-    made = _fx(spark, d, "components").withColumn("D", 0.35 * F.col("D_xgb") + 0.59 * F.col("D_lightgbm") + 0.06 * F.col("D_mlp"))
-    return select.choose_family(select.summarize(select.family_scores(made, select.DB_ORIGINAL, select.TRI_ORIGINAL), ["family"], 4), select.FAMILIES).select("family", "mean_SCC", "mean_MAE", "n_learners")
+    p = _policy(spark, d).first()
+    made = select.with_d(_fx(spark, d, "components"), spark.createDataFrame([(p["d_w1"], p["d_w2"], p["d_w3"])], "w1 double, w2 double, w3 double"))
+    scores = select.family_scores(made, (p["db_w1"], p["db_w2"]), (p["tri_w1"], p["tri_w2"], p["tri_w3"]))
+    return select.choose_family(select.summarize(scores, ["family"], 4), select.FAMILIES).select("family", "mean_SCC", "mean_MAE", "n_learners")
 
 
 @query
 def policy_predictions(spark, d):
-    policy = spark.createDataFrame([(0.4, 0.5, 0.1, 0.2, 0.8, 0.1, 0.6, 0.3, "D_B_C")], ", ".join([*[f"d_w{k} double" for k in (1, 2, 3)], "db_w1 double", "db_w2 double", *[f"tri_w{k} double" for k in (1, 2, 3)], "family string"]))
-    return select.apply_policy(_fx(spark, d, "components"), policy).withColumn("y_pred", _scaled6("y_pred"))
+    return select.apply_policy(_fx(spark, d, "components"), _policy(spark, d)).withColumn("y_pred", _scaled6("y_pred"))
 
 
 @query
 def blend_grid(spark, d):
-    return select.blend_grid(_fx(spark, d, "components"), "D_xgb", "B", 0.05).select("alpha", "SCC", "RMSE")
+    return select.blend_grid(_fx(spark, d, "components"), "D_xgb", "B", 0.01).select("alpha", "SCC", "RMSE")
+
+
+@query
+def pairwise_weights(spark, d):
+    """The best of 101 weights: highest SCC, then lowest RMSE."""
+    return select.best_blend(select.blend_grid(_fx(spark, d, "components"), "D_lightgbm", "C", 0.01).withColumns({"SCC": F.round("SCC", 11), "RMSE": F.round("RMSE", 11)})).select("alpha", "SCC", "RMSE")
 
 
 @query
@@ -599,6 +719,15 @@ def near_optimal(spark, d):
     return select.near_optimal(select.summarize(_grid_scores(spark, d), ["w1", "w2", "w3"], 4), ["w1", "w2", "w3"], 0.01)
 
 
+@query
+def selection_frequency(spark, d):
+    """How often each family wins when weights stay as they were and one inner fold decides."""
+    made = _fx(spark, d, "components").withColumn("D", 0.35 * F.col("D_xgb") + 0.59 * F.col("D_lightgbm") + 0.06 * F.col("D_mlp"))
+    scores = select.family_scores(made, select.DB_ORIGINAL, select.TRI_ORIGINAL)
+    best = scores.groupBy("inner_fold").agg(F.max_by("family", F.struct(F.round("SCC", 9), F.col("family"))).alias("family"))
+    return select.selection_frequency(best)
+
+
 @query
 def promotion_gate(spark, d):
     return select.promotion_gate(metrics.metrics_by_fold(_fx(spark, d, "predictions")), "M_MID", 0.001, 0.0, 4)
@@ -629,6 +758,12 @@ def swap_test(spark, d):
     return resample.swap_test(_two(spark, d), "M_STRONG", "M_MID", SWAPS, int(SEED))
 
 
+@query
+def comparison_table(spark, d):
+    """The strong model against three others: differences, intervals, swap p and Holm p in a family of sixteen."""
+    return resample.comparison_table(_fx(spark, d, "predictions"), "M_STRONG", ["M_MID", "M_WEAK", "M_CONST"], DRAWS, int(SEED), family_size=16)
+
+
 @query
 def holm(spark, d):
     m = metrics.metrics_by_fold(_fx(spark, d, "predictions"))

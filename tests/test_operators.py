@@ -70,7 +70,7 @@ def test_validation_finds_each_error(spark):
     assert [(r[1], r[2]) for r in sorted(rows(errors), key=lambda r: r[1])] == [(2, "record_id"), (3, "record_id"), (4, "record_id"), (5, "crRNA_sequence"), (6, "target_aligned_25"), (7, "target_aligned_25"), (8, "crRNA_sequence")]
     kept = quality.keep_invalid(df, errors)
     assert kept.count() == 7 and kept.where("status = 'valid'").count() == 0
-    assert {r["error"] for r in quality.check_header(df.drop("record_id").withColumn("cas12a_x", F.lit(1))).collect()} == {"Missing required column: record_id", "Input contains a reserved result column"}
+    assert {r["error"] for r in quality.check_header(df.drop("record_id").withColumn("result_x", F.lit(1))).collect()} == {"Missing required column: record_id", "Input contains a reserved result column"}
 
 
 def test_joins_that_must_be_one_to_one(spark):
