@@ -40,13 +40,17 @@ _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _LEAD = r"^[\"'(\[{<:;,.]*(?:[A-Za-z][A-Za-z_-]*[:=](?!//)[\"'(\[{<]*)?"
 #: Punctuation around a word of a context.
 _AROUND = r"^[\"'(\[{<:;,.=]+|[\"')\]}>:;,.!?=({\[<]+$"
-_TAIL = 96
+#: Words kept of either end of what lies between matches: two, and what may be glued to a match.
+_WORDS = 4
+#: Contexts of more letters are known by their digest.
+_LONG = 64
 SUPPORT, CONFIDENCE, SCORE, ROUNDS = 3, 0.6, 0.6, 3
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    """For each match: the length of what lies before it, both ends of that, and the match; last, what lies behind all, without a match."""
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.left(p, F.lit(_TAIL)).alias("head"), F.right(p, F.lit(_TAIL)).alias("tail")))
+    """For each match: the length of what lies before it, the words at both ends of that, and the match; last, what lies behind all, without a match."""
+    spaced = lambda p: F.regexp_replace(p, r"\s+", " ")
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.substring_index(spaced(p), " ", _WORDS).alias("head"), F.substring_index(spaced(p), " ", -_WORDS).alias("tail")))
     return F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p["gap"].alias("gap"), p["head"].alias("head"), p["tail"].alias("tail"), m.alias("match")))
 
 
@@ -79,7 +83,7 @@ def _contexts(left: Column, right: Column, match: Column) -> Column:
     bare = lambda side: F.filter(F.transform(F.split(F.lower(side), r"\s+"), lambda w: F.regexp_replace(w, _AROUND, "")), lambda w: w != "")
     before, after = bare(left), bare(right)
     n, m = F.size(before), F.size(after)
-    named = lambda family, text, ok: F.when(ok, F.concat(F.lit(f"{family}:"), text))
+    named = lambda family, text, ok: F.when(ok, F.concat(F.lit(f"{family}:"), F.when(F.length(text) > _LONG, F.md5(text.cast("binary"))).otherwise(text)))
     glued = F.regexp_extract(F.lower(left), r"(\S+)$", 1)
     shape = F.regexp_replace(F.regexp_replace(match, r"\p{L}+", "a"), "[0-9]", "9")
     return F.array_compact(F.array(
@@ -106,7 +110,7 @@ def occurrences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "key", "kind", "m", F.sum(F.col("m.gap") + F.length("m.match")).over(so_far).alias("end"),
         F.concat(at("match", -2), at("tail", -1), at("match", -1), "m.tail").alias("left"), F.concat(at("head", 1), at("match", 1), at("head", 2), at("match", 2)).alias("right"),
     ).where("m.match is not null")
-    spans = placed.select("key", "kind", (F.col("end") - F.length("m.match")).alias("start"), "end", F.col("m.match").alias("match"), F.right("left", F.lit(_TAIL)).alias("left"), F.left("right", F.lit(_TAIL)).alias("right")).where(_valid(F.col("kind"), F.col("match")))
+    spans = placed.select("key", "kind", (F.col("end") - F.length("m.match")).alias("start"), "end", F.col("m.match").alias("match"), "left", "right").where(_valid(F.col("kind"), F.col("match")))
     # tokens without the label before them and the punctuation around them, which is context
     lead = F.when(F.col("kind") == "token", F.length(F.regexp_extract("match", _LEAD, 0))).otherwise(0)
     trail = F.when(F.col("kind") == "token", F.length(F.regexp_extract("match", r"[\"')\]}>:;,.!?]*$", 0))).otherwise(0)
