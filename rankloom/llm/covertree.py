@@ -35,7 +35,7 @@ _LEAF = 64
 #: Node pairs of at most this many pairs of points are compared outright.
 _DIRECT = 1 << 16
 _HELD = 1 << 20
-BLOCK, FAN, CHUNK_ROWS = 2048, 64, 1 << 16
+BLOCK, FAN, CHUNK_ROWS = 2048, 64, 1 << 14
 
 
 def units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,31 +19,38 @@ def tokenizer_path() -> str:
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by five-word Jaccard similarity of 0.8 or more: class, links and copies of each document; without words or without an id of its class, see nearjoin."""
     return nearjoin.classes(table(spark, sf_dir, "documents"))
 
 
 def op2_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in whole texts; null and empty texts have no words and no labels."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_bootstrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by fixed patterns and by bootstrapped contexts; null and empty texts have no spans."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op4_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 39 by law `rows`; a null text has no bytes, a null id is a value like any other, repeated rows are rows of their own."""
     rows = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens; a null or empty text is its end token alone, repeated rows are packed each for itself."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine links of 0.98 and more within a label; vectors that are null, zero or not finite, and those without a label, link with nothing."""
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores; null and empty texts are scored too, a document without an id is not held out."""
     documents = table(spark, sf_dir, "documents")
     model = quality.train(documents, table(spark, sf_dir, "labels"))
     scored = quality.score(documents.select("doc_id", "text"), model, column="score")
@@ -50,32 +58,39 @@ def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in whole texts; null texts have no words, items without an id have windows but are not listed."""
     judged = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "overlap.*")
 
 
 def op9_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records written and read back; a null html is empty, repeated rows are records of their own."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that strings of 50 bytes of earlier documents cover; a null text is empty, a document without an id keeps everything."""
     return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+WORD_AT = re.compile(WORD)
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
-_NOTICES = [(label, licenses.tokens_of(t)) for label, texts in licenses.TEMPLATES.items() for t in texts]
-_NOTICE_ROWS = ", ".join(f"({k}, '{label}', {ts!r}, {math.ceil(licenses.THRESHOLD * len(ts) - 1e-9)})" for k, (label, ts) in enumerate(_NOTICES))
+_NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(WORD_AT.findall(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
+_NOTICE_ROWS = ", ".join(f"({k}, '{label}', {ts!r}, {math.ceil(licenses.THRESHOLD * len(ts) - 1e-9)}, {width})" for k, (label, ts, width) in enumerate(_NOTICES))
 _STARTS = {p: " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p in licenses.PHRASES}
 OP2_SQL = f"""
-with t(k, label, ts, need) as (values {_NOTICE_ROWS}),
+with t(k, label, ts, need, width) as (values {_NOTICE_ROWS}),
 d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from documents),
 w as (select r, doc_id, regexp_extract_all(low, '{WORD}') w from d),
 p as (select r, i - 1 i, case {" ".join(f"when {c} then '{licenses.PHRASES[x]}'" for x, c in _STARTS.items())} end label
       from (select r, w, unnest(range(1, len(w) + 1)) i from w) where {" or ".join(f"({c})" for c in _STARTS.values())}),
 b as (select r, count(*) n, min(i) a, max(i) z, list(distinct label) labels from p group by r),
 l as (select distinct r, list_distinct(regexp_extract_all(line, '{WORD}')) ts from (select r, unnest(string_split(low, chr(10))) line from d)),
-m as (select r, label, max(len(list_intersect(l.ts, t.ts)) / len(t.ts)) best from l, t where len(l.ts) >= need and len(list_intersect(l.ts, t.ts)) >= need group by r, label),
+h as (select r, w, k, label, ts, need, width from w, t where len(list_intersect(w, ts)) >= need),
+v as (select r, label, ts, need, list_intersect(list_distinct(w[i:i + width - 1]), ts) both from (select *, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) i from h)),
+m as (select r, label, max(part) best from (select r, label, len(list_intersect(l.ts, t.ts)) / len(t.ts) part from l, t where len(l.ts) >= need and len(list_intersect(l.ts, t.ts)) >= need
+      union all select r, label, len(both) / len(ts) from v where len(both) >= need) group by r, label),
 g as (select r, list(label) labels, max(best) best from m group by r)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_base, cast(a as bigint) first_word, cast(z as bigint) last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(g.labels, [])))), ',') labels,

@@ -194,6 +194,14 @@ def test_personal_data_bootstrap_uses_every_family_of_contexts(spark):
     assert cut == {50: [("email", "smith77(at)mail")], 51: [("phone", "851x555x9673")], 52: [("phone", "0851/5559673")], 53: [("email", "box77(at)post")], 60: []}
 
 
+def test_personal_data_contexts_after_other_identifiers_and_long_words(spark):
+    far = "y" * 300
+    rows = [(i, f"item 5 to: user{i}@mail.example") for i in range(8)] + [(50, "item 5 to: jones88(at)mail"), (51, f"{far} {far}: box99(at)post")]
+    rows += [(20 + i, f"{far} {far}: box{i}@post.example") for i in range(4)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(frame(spark, rows)).collect()}
+    assert got[50] == "email:11:26" and got[51] == "email:603:616"
+
+
 def test_sharding(spark):
     rows = [(i, "t" * (i % 50)) for i in range(1003)] + [(5, None)] * 7 + [(None, "x")]
     out = sharding.shard(frame(spark, rows), shards=40).collect()
@@ -276,6 +284,30 @@ def test_token_ids_with_few_known_stretches():
         assert got == want
 
 
+def test_ring_walk_against_plain_form():
+    """Rows one by one clockwise from their own arc, nearest shard with room first, in rounds."""
+    rng = np.random.default_rng(4)
+    for shards, virtual in ((3, 2), (5, 7), (11, 4)):
+        point, owner = sharding.ring(shards, virtual)
+        assert (np.diff(point) >= 0).all() and sorted(np.bincount(owner, minlength=shards)) == [virtual] * shards
+        counts = rng.integers(0, 40, len(point))
+        n = int(counts.sum())
+        capacity = np.array([n // shards + (i < n % shards) for i in range(shards)])
+        room, waiting, want = capacity.copy(), [(arc, r) for arc in range(len(point)) for r in range(counts[arc])], {}
+        for step in range(len(point)):
+            left = []
+            for arc, r in waiting:
+                to = owner[(arc + step) % len(owner)]
+                if room[to]:
+                    room[to] -= 1
+                    want[arc, r] = int(to)
+                else:
+                    left.append((arc, r))
+            waiting = left
+        got = {(arc, first + k): to for arc, first, many, to in sharding.walk(counts, owner, capacity) for k in range(many)}
+        assert not waiting and got == want
+
+
 @pytest.mark.parametrize("block", [10, 1000])
 def test_cover_tree(spark, block):
     rng = np.random.default_rng(3)
