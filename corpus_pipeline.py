@@ -10,26 +10,28 @@ from rankloom.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled documents of its own input, doesn't reject."""
+    """Documents that the classifier, fitted on labelled documents of its own input, doesn't reject. Null and empty texts are scored like others."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep_from=quality.THRESHOLD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by near similarity, the document with the smallest id."""
+    """Of each group of texts linked by near similarity, the document with the smallest id; of rows equal in id and text, one. Texts without words stay."""
     return nearjoin.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth; a text without words, null included, stays."""
     return decontaminate.judge(docs, table(spark, sf_dir, "benchmark"), keep=True)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind; null and empty texts stay as they are."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; a null or empty text is its end token alone."""
     return packing.pack(docs, tokenizer_path())
 
 
