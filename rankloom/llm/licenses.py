@@ -41,13 +41,14 @@ TEMPLATES = {
 THRESHOLD = 0.85
 
 
-def _spelt(text: str) -> list[str]:
+def spelt(text: str) -> list[str]:
+    """Words of a template, repeats included."""
     return "".join(c if c.isdigit() or c.isalpha() or ord(c) > 127 else " " for c in text).lower().split()
 
 
 def tokens_of(text: str) -> list[str]:
     """Distinct words of a template, in order."""
-    return list(dict.fromkeys(_spelt(text)))
+    return list(dict.fromkeys(spelt(text)))
 
 
 def _words(lowered):
@@ -57,7 +58,7 @@ def _words(lowered):
 def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 where a phrase occurs, else the best containment of a match, else 0)."""
     spark = documents.sparkSession
-    rows = [(label, tokens_of(t), math.ceil(len(_spelt(t)) / threshold - 1e-9)) for label, texts in templates.items() for t in texts]
+    rows = [(label, tokens_of(t), math.ceil(len(spelt(t)) / threshold - 1e-9)) for label, texts in templates.items() for t in texts]
     vocabulary = sorted({t for _, ts, _ in rows for t in ts})
     lowered = documents.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("low"))
 
@@ -90,6 +91,7 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD, templates: dict[str
     at = F.filter(F.transform(words, lambda t, i: F.when(F.array_contains(rare, t), i)), lambda i: i.isNotNull())
     near = F.filter(F.transform(at, around), lambda b: F.size(F.array_distinct(F.filter(b, lambda p: p > 0))) >= least)
     places = []
+
     def stands(parts):
         def here(i):
             ok = F.get(words, i) == parts[0]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +72,9 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
-WORD_AT = re.compile(WORD)
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
-_NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(WORD_AT.findall(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
+_NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(licenses.spelt(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
 _NOTICE_ROWS = ", ".join(f"({k}, '{label}', {ts!r}, {math.ceil(licenses.THRESHOLD * len(ts) - 1e-9)}, {width})" for k, (label, ts, width) in enumerate(_NOTICES))
 _STARTS = {p: " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p in licenses.PHRASES}
 OP2_SQL = f"""
@@ -88,9 +86,9 @@ p as (select r, i - 1 i, case {" ".join(f"when {c} then '{licenses.PHRASES[x]}'"
 b as (select r, count(*) n, min(i) a, max(i) z, list(distinct label) labels from p group by r),
 l as (select distinct r, list_distinct(regexp_extract_all(line, '{WORD}')) ts from (select r, unnest(string_split(low, chr(10))) line from d)),
 h as (select r, w, k, label, ts, need, width from w, t where len(list_intersect(w, ts)) >= need),
-v as (select r, label, ts, need, list_intersect(list_distinct(w[i:i + width - 1]), ts) both from (select *, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) i from h)),
+v as (select r, label, ts, need, list_intersect(list_distinct(w[i:i + width - 1]), ts) met from (select *, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) i from h)),
 m as (select r, label, max(part) best from (select r, label, len(list_intersect(l.ts, t.ts)) / len(t.ts) part from l, t where len(l.ts) >= need and len(list_intersect(l.ts, t.ts)) >= need
-      union all select r, label, len(both) / len(ts) from v where len(both) >= need) group by r, label),
+      union all select r, label, len(met) / len(ts) from v where len(met) >= need) group by r, label),
 g as (select r, list(label) labels, max(best) best from m group by r)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n, 0) as bigint) n_base, cast(a as bigint) first_word, cast(z as bigint) last_word,
        array_to_string(list_sort(coalesce(b.labels, [])), ',') base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(g.labels, [])))), ',') labels,

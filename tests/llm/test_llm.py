@@ -150,6 +150,15 @@ def test_licenses_wrapped_over_lines(spark):
     assert got == {1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("mpl", 1.0), 4: ("cc-by,cc-by-nc", 1.0), 5: ("mit", (n - 1) / n), 6: ("", 0.0), 7: ("mit", got[7][1])}
     assert got[7][1] >= licenses.THRESHOLD
 
+    import duckdb
+
+    from rankloom.llm.queries import OP2_SQL
+
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert {d: (x, pytest.approx(s)) for d, x, s in con.execute(f"select doc_id, labels, score from ({OP2_SQL})").fetchall()} == got
+
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
