@@ -1,4 +1,4 @@
-"""Cutting lineage in the shared folder that the cluster names."""
+"""Cutting lineage in the shared folder that the cluster names; dealing out small scans."""
 
 from __future__ import annotations
 
@@ -16,3 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt out over these, for what is costly by row; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -32,13 +32,17 @@ def position_flags() -> dict[str, Column]:
     return {f"{name}_pos_{i:02d}": test(x).cast("int") for name, test in (("difference", lambda x: x != "M"), ("substitution", lambda x: x == "S"), ("target_gap", lambda x: x == "T")) for i, x in enumerate(at, 1)}
 
 
-def substitution_counts() -> dict[str, Column]:
-    pairs = F.zip_with(F.split("guide", ""), F.split("target", ""), lambda g, t: F.concat(g, t))
-    return {f"sub_{a}_to_{b}_count": F.size(F.filter(pairs, _is(a + b))) for a in BASES for b in BASES if a != b}
+def _pieces(sequence: Column, k: int) -> Column:
+    """All overlapping runs of k letters, each before a bar: so a run is counted by what replacing it, bar included, takes away."""
+    return F.regexp_replace(sequence, f"(.)(?=({'.' * (k - 1)}))", "$1$2|")
+
+
+def _times(pieces: str, run: str) -> Column:
+    return ((F.length(pieces) - F.length(F.replace(F.col(pieces), F.lit(f"{run}|"), F.lit("")))) / (len(run) + 1)).cast("int")
 
 
-def _is(value: str):
-    return lambda x: x == value
+def substitution_counts() -> dict[str, Column]:
+    return {f"sub_{a}_to_{b}_count": _times("pairs", a + b) for a in BASES for b in BASES if a != b}
 
 
 def alignment_summary() -> dict[str, Column]:
@@ -77,7 +81,7 @@ def context(prefix: str, sequence: Column) -> dict[str, Column]:
     for name, kmers in (("dinuc", DINUCLEOTIDES), ("trinuc", TRINUCLEOTIDES)):
         for k in kmers:
             places = n - len(k) + 1
-            out[f"{prefix}_context_{name}_{k}_frequency"] = F.when(places > 0, F.regexp_count(sequence, F.lit(f"(?={k})")) / places.cast("double")).otherwise(0.0)
+            out[f"{prefix}_context_{name}_{k}_frequency"] = F.when(places > 0, _times(f"{prefix}_{name}", k) / places.cast("double")).otherwise(0.0)
     return out
 
 
@@ -87,6 +91,13 @@ def aligned(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"guide": g, "target": t}).withColumns({"target_ungapped": ungap("target"), "events": alignment(F.col("guide"), F.col("target"))})
 
 
+def in_pieces(made: DataFrame) -> DataFrame:
+    """An aligned frame with its letter pairs and runs of two and three letters spelt out, once for all counts."""
+    pairs = F.array_join(F.zip_with(F.split("guide", ""), F.split("target", ""), lambda g, t: F.concat(g, t, F.lit("|"))), "")
+    runs = {f"{p}_{name}": _pieces(F.col(c), k) for p, c in (("guide", "guide"), ("target", "target_ungapped")) for name, k in (("dinuc", 2), ("trinuc", 3))}
+    return made.withColumns({"pairs": pairs} | runs)
+
+
 def features() -> dict[str, Column]:
     """All 188 features, by name, of an aligned frame."""
     spacer = F.substr("guide", F.lit(PAM + 1))
@@ -100,7 +111,7 @@ def feature_table(pairs: DataFrame, manifest: list[str] | None = None) -> DataFr
     made = features()
     if missing := sorted(set(manifest or ()) - set(made)):
         raise ValueError(f"features that can't be built: {missing}")
-    return aligned(pairs).select("record_id", *[made[n].alias(n) for n in manifest or made])
+    return in_pieces(aligned(pairs)).select("record_id", *[made[n].alias(n) for n in manifest or made])
 
 
 def events_long(pairs: DataFrame) -> DataFrame:

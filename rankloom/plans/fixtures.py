@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.checkpoints import spread
+
 SPARK_HEX = lambda s: f"cast(conv({s}, 16, 10) as bigint)"
 DUCK_HEX = lambda s: f"cast(('0x' || {s}) as bigint)"
 
@@ -103,8 +105,8 @@ def duck_ctes(*names: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame; column pruning and filters reach the scans below."""
-    for t in ("part", "events"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
+    spread(spark.read.parquet(f"{sf_dir}/events.parquet")).createOrReplaceTempView("events")
     spark.sql(TEMPLATES).createOrReplaceTempView("templates")
     if name == "templates":
         return spark.table("templates")
