@@ -15,7 +15,7 @@ from . import fixtures
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Parameters that oracles share.
-DRAWS, SWAPS, SEED, STEP = 200, 200, "20261012", 0.05
+DRAWS, SWAPS, SEED, STEP = 2000, 2000, "20261012", 0.05
 
 
 def query(f: Query) -> Query:

@@ -192,3 +192,46 @@ def test_stream_scoring_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(static.schema).parquet(str(tmp_path / "in"))
     write_stream(encode_stream(stream, hist, mean), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("record_id", "te_guide_all")) == rows(encode_stream(static, hist, mean).select("record_id", "te_guide_all"))
+
+
+def test_draws_by_arrays_and_by_windows_agree(spark):
+    rng = random.Random(3)
+    rows = [(f"r{i}", f"g{i % 17}", m, float(rng.randint(0, 9)), round(rng.gauss(0, 1), 1)) for i in range(120) for m in ("a", "b", "flat")]
+    rows = [(r, g, m, float(int(r[1:]) % 7), 1.0 if m == "flat" else p) for r, g, m, _, p in rows]
+    df = spark.createDataFrame(rows, "record_id string, group_id string, model_id string, y_true double, y_pred double")
+    one = {(r["draw"], r["model_id"]): r for r in resample.bootstrap_metrics(df, 60, 5).collect()}
+    two = {(r["draw"], r["model_id"]): r for r in resample.bootstrap_metrics(df, 60, 5, most=10).collect()}
+    assert set(one) == set(two) and len(one) == 180
+    for k in one:
+        for m in metrics.METRICS:
+            assert (one[k][m] is None) == (two[k][m] is None) and (one[k][m] is None or one[k][m] == pytest.approx(two[k][m], abs=1e-9)), (k, m)
+    assert all(one[d, "flat"]["SCC"] is None for d in range(60))
+    a, b = resample.swap_test(df, "a", "b", 70, 5).first(), resample.swap_test(df, "a", "b", 70, 5, most=10).first()
+    assert a["observed_delta"] == pytest.approx(b["observed_delta"]) and a["p_value"] == b["p_value"] and a["valid_draws"] == b["valid_draws"] == 70
+    assert resample.swap_test(df, "a", "flat", 5, 5).first()["status"] == "undefined_observed_scc"
+
+
+def test_ranks_in_cells_and_quantiles_are_exact(spark):
+    rng = random.Random(9)
+    rows = [("a", rng.choice([rng.gauss(0, 1), 5.0, 1e9])) for _ in range(500)] + [("b", float(i)) for i in range(7)] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["q"] for r in metrics.quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.93, 1.0], cells=8).collect()}
+    import numpy as np
+
+    for k in "ab":
+        assert got[k] == pytest.approx(np.quantile([v for n, v in rows if n == k and v is not None], [0.0, 0.1, 0.5, 0.93, 1.0]).tolist())
+    with pytest.raises(Exception, match="not finite"):
+        metrics.five_metrics(spark.createDataFrame([("a", 1.0, None)], "m string, y_true double, y_pred double"), ["m"]).collect()
+
+
+def test_contracts_reject(spark):
+    bad = spark.createDataFrame([("r", "A" * 44, "G" * 25), ("s", "A" * 44 + "!", "G" * 25)], "record_id string, target_context_45 string, guide string")
+    for i in (0, 1):
+        with pytest.raises(Exception, match="45 letters|unsupported"):
+            features.iupac_tensor(bad.where(F.col("record_id") == "rs"[i])).collect()
+    from rankloom.functions.sequences import template_atoms
+
+    one = spark.createDataFrame([("1; 22 ;",), ("missing",), (None,)], "t string")
+    assert [r[0] for r in one.select(template_atoms("t")).collect()] == [[1, 22], [], []]
+    with pytest.raises(Exception, match="invalid template number"):
+        spark.createDataFrame([("1;x",)], "t string").select(template_atoms("t")).collect()
