@@ -58,7 +58,7 @@ def bins(src: str, by: str) -> str:
     return f"select model_id, bin::bigint bin, count(*) n, {r(f'min({by})', 'lo')}, {r(f'max({by})', 'hi')}, {r('avg(y_true)', 'mean_true')}, {r('avg(y_pred)', 'mean_pred')}, {r(f'avg({e})', 'signed_error')}, {r(f'sqrt(avg({e} * {e}))', 'RMSE')}, {r(f'avg(abs({e}))', 'MAE')} from {src} group by model_id, bin"
 
 
-add("calibration", bins("(select *, ntile(10) over (partition by model_id order by y_pred, record_id) bin from predictions where model_id <> 'M_CONST')", "y_pred"), *P)
+add("calibration", bins("(select *, ntile(10) over (partition by model_id order by y_pred, record_id) bin from predictions)", "y_pred"), *P)
 add("observed_bins", bins("predictions join (select record_id, ntile(10) over (order by y, record_id) bin from (select record_id, min(y_true) y from predictions group by record_id)) using (record_id)", "y_true"), *P)
 add("quantile_bins", bins("(select p.*, 1 + (y_pred > e1)::int + (y_pred > e2)::int + (y_pred > e3)::int + (y_pred > e4)::int bin from predictions p join (select model_id, " + ", ".join(f"quantile_cont(y_pred, 0.{2 * i}) e{i}" for i in range(1, 5)) + " from predictions group by model_id) using (model_id) where model_id <> 'M_CONST')", "y_pred"), *P)
 _ROUTED = "(select *, case when outer_fold < 2 then 'fallback' else 'fusion' end prediction_route from predictions)"
@@ -273,7 +273,7 @@ _PR = "pr as (" + " union all ".join(f"select record_id, y_true, '{n}' profile,
 add("primary_scores", f"select 'full' primary_model, record_id, {r(f'case when mapped then {_tri} else d end', 'activity_score')}, case when mapped then 'mapping_dbc_v2' else 'sequence_d_fallback_v2' end model_route, case when mapped then 'success' else 'fallback_success' end prediction_status, '2.0.0' model_version from co union all select 'd', record_id, {r('d')}, 'sequence_d_v1_5', 'success', '1.5.0' from co union all select 'legacy', record_id, {r('d_xgb')}, 'sequence_xgboost_v1_0_legacy', 'success', '1.0.0' from co", "components", ctes=_CO)
 add("blend_profiles", f"select record_id, profile, route, {r('y_pred', 'y_pred')} from pr", "components", ctes=f"{_CO}, {_PR}")
 add("profile_metrics", five("(select profile, y_true, round(y_pred, 6) y_pred from pr)", "profile"), "components", ctes=f"{_CO}, {_PR}")
-add("seed_means", f"select record_id, {r('avg(y_pred)', 'y_pred')}, count(*) members from predictions where model_id <> 'M_CONST' group by record_id", *P)
+add("seed_means", f"select record_id, {r('avg(y_pred)', 'y_pred')}, count(*) members from predictions group by record_id", *P)
 
 # --- groups
 _edge = lambda both: "ed as (select distinct 't:' || target a, 'm:' || unnest(string_split(mapping_candidate_template_nos, ';')) b from tr where mapping_candidate_template_nos <> ''" + (" union select 't:' || target, 'g:' || guide from tr" if both else "") + "), nd as (select 't:' || target n from tr union select b from ed), rc as (select n, n c from nd union select e.y, rc.c from rc join (select a x, b y from ed union select b, a from ed) e on e.x = rc.n where rc.c <= e.y or true)"
@@ -300,7 +300,7 @@ add("overlap_audit", "select fold::bigint fold, identity, count(*) filter (where
 add("assignment_audit", "select fold::bigint fold, count(*) records, count(distinct target) groups, count(distinct target) filter (where nf > 1) crossing_groups from tr join (select target, count(distinct fold) nf from tr group by target) using (target) group by fold", ctes=_ROWS)
 add("stop_roles", "select record_id, outer_fold::bigint fold, o \"outer\", case when outer_fold = o then 'outer_query' when outer_fold = (o + 1) % 5 then 'internal_stop' else 'inner_fit' end role from predictions, range(5) x(o) where model_id = 'M_MID'", *P)
 add("cohort_common", "select p.record_id, crRNA_sequence, target_context_45, label_normalized from pairs p join contexts c using (record_id) where baseline_split = 'baseline_train' and label_normalized is not null and context_status = 'ok'", "contexts")
-add("context_audit", "select context_status, count(*) n, count(p.record_id) in_cohort, count(*) filter (where p.record_id is not null and guide is distinct from crRNA_sequence) guide_differs, count(*) filter (where p.record_id is not null and y_true is distinct from label_normalized) label_differs from contexts c left join (select * from pairs where baseline_split = 'baseline_train' and label_normalized > -3) p using (record_id) group by context_status", "contexts")
+add("context_audit", "select context_status, count(*) n, count(p.record_id) in_cohort, count(*) filter (where p.record_id is not null and guide is distinct from crRNA_sequence) guide_differs, count(*) filter (where p.record_id is not null and y_true is distinct from label_normalized) label_differs from contexts c left join (select * from pairs where baseline_split = 'baseline_train' and label_normalized is not null) p using (record_id) group by context_status", "contexts")
 add("data_audit", f"select baseline_split, count(*) n, count(distinct target_aligned_25) targets, count(distinct crRNA_sequence) guides, {r('min(label_normalized)', 'label_min')}, {r('max(label_normalized)', 'label_max')}, (select count(*) from (select target_aligned_25 from pairs q where q.baseline_split = p.baseline_split group by target_aligned_25 having count(distinct crRNA_sequence) > 1)) targets_with_several_guides from pairs p group by baseline_split")
 _pa = DUCK_HEX("substr(md5(concat(group_id, '|p')), 1, 6)")
 add("protocol_audit", f"select protocol_id, coalesce(context_status, 'no_context') context_status, count(*) records, count(distinct group_id) groups, count(distinct {_pa} % 5) folds from (select record_id, 'target' protocol_id, target group_id from tr union all select record_id, 'guide', guide from tr union all select record_id, 'atomic_template', c from tr join cm_y on n = 't:' || target union all select record_id, 'dual_atomic', c from tr join cm_x on n = 't:' || target) a join (select record_id from pairs where baseline_split = 'baseline_train' and label_normalized is not null) using (record_id) left join contexts using (record_id) group by all", "contexts", ctes=f"{_MROWS}, {_comp(True, 'x')}, {_comp(False, 'y')}")
@@ -376,12 +376,12 @@ sw as (select draw, y_true, a, b, draw >= 0 and {_hash(repr(SEED), "'swap'", 'dr
 cs as {raw("(select draw, 'a' side, y_true, case when f then b else a end y_pred from sw union all select draw, 'b', y_true, case when f then a else b end from sw)", 'draw, side')},
 dl as (select draw, max(case when side = 'a' then SCC end) - max(case when side = 'b' then SCC end) d from cs group by draw)"""
 add("swap_test", f"select {r('any_value(o)', 'observed_delta')}, count(d) valid_draws, count(*) total_draws, {r(f'(count(*) filter (where abs(d) >= abs(o) - 1e-12) + 1) / ({SWAPS} + 1)', 'p_value')}, 'available' status from dl, (select d o from dl where draw = -1) where draw >= 0", *P, ctes=_SW)
-_others = ("M_MID", "M_WEAK", "M_CONST")
+_others = ("M_MID", "M_CONST")
 _ct = []
 for _o in _others:
     _swo = _SW.replace("model_id = 'M_MID'", f"model_id = '{_o}'")
     _ct.append(f"select '{_o}' o, o_ ob, vd, td, hits from (select any_value(o) o_, count(d) vd, count(*) td, count(*) filter (where abs(d) >= abs(o) - 1e-12) hits from (with {_swo} select dl.d, x.o from dl, (select d o from dl where draw = -1) x where draw >= 0))")
-_CT = _boot("'M_STRONG', 'M_MID', 'M_WEAK', 'M_CONST'") + f", ob as materialized {raw('predictions', 'model_id')}, cf as (select model_id, avg(c) c from (select model_id, outer_fold, (min(y_pred) = max(y_pred))::int c from predictions group by all) group by model_id), sq as materialized ({' union all '.join(_ct)})"
+_CT = _boot("'M_STRONG', 'M_MID', 'M_CONST'") + f", ob as materialized {raw('predictions', 'model_id')}, cf as (select model_id, avg(c) c from (select model_id, outer_fold, (min(y_pred) = max(y_pred))::int c from predictions group by all) group by model_id), sq as materialized ({' union all '.join(_ct)})"
 _iv = "case when count(v) < 0.95 * count(*) then 'insufficient_valid_draws' when count(v) < 2 then 'fewer_than_two_valid_draws' else 'available' end"
 _dv = " union all ".join(f"select y.model_id o, '{m}' metric, x.{m} - y.{m} v from bm x join bm y using (draw) where x.model_id = 'M_STRONG' and y.model_id <> 'M_STRONG'" for m in M5)
 _CT += f", dv as (select o, metric, count(v) vd, {_iv} st, case when {_iv} = 'available' then quantile_cont(v, 0.025) end lo, case when {_iv} = 'available' then quantile_cont(v, 0.975) end hi from ({_dv}) group by o, metric)"
