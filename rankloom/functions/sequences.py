@@ -17,13 +17,8 @@ def col(c: str | Column) -> Column:
 
 
 def r6(c: str | Column) -> Column:
-    """Rounded to 6 places, as every double is that is compared."""
-    return F.round(col(c).cast("double"), 6)
-
-
-def steady6(c: str | Column) -> Column:
-    """Rounded to 6 places so that what summing in another order changes, far beyond them, doesn't break ties."""
-    return F.round(F.round(col(c).cast("double"), 11), 6)
+    """Rounded to 6 places, as every double is that is compared: first to 11, so that summing in another order doesn't break ties, which then go away from 0."""
+    return F.round(F.round(col(c).cast("double"), 11) * 1e6) / 1e6
 
 
 def normalize_sequence(c: str | Column) -> Column:

@@ -21,7 +21,7 @@ def add(name: str, body: str, *fixtures: str, ctes: str = "") -> None:
 
 
 def r(e: str, name: str = "") -> str:
-    return f"round(({e})::double, 6){' ' + name if name else ''}"
+    return f"round(round(({e})::double, 11), 6){' ' + name if name else ''}"
 
 
 def corr(a: str, b: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
-from ..functions.sequences import normalize_key, normalize_sequence, steady6, template_atoms, ungap
+from ..functions.sequences import normalize_key, normalize_sequence, r6, template_atoms, ungap
 from ..operators import features, groups, history, mapping, metrics, models, quality, resample, score, select
 from . import fixtures
 
@@ -30,11 +30,6 @@ def query(f: Query) -> Query:
     return run
 
 
-def _scaled6(c: str) -> Column:
-    """Rounded to 6 places after scaling, so that half a millionth is a tie of the double, not of its decimal form."""
-    return F.round(F.col(c) * 1e6) / 1e6
-
-
 def _fx(spark: SparkSession, d: str, name: str) -> DataFrame:
     return fixtures.load(spark, d, name)
 
@@ -361,7 +356,7 @@ def smoothed_lookup(spark, d):
     rows = _rows(spark, d)
     h = history.mapping_history(_train(rows)).where("field = 'mapping_candidate_template_nos'").select("key", "sum", "count")
     q = rows.where("baseline_split <> 'baseline_train'").select("record_id", normalize_key("mapping_candidate_template_nos").alias("key"))
-    return history.smoothed_lookup(q, h, ["key"], -2.7, history.MAPPING_K, "te").withColumn("te", steady6("te"))
+    return history.smoothed_lookup(q, h, ["key"], -2.7, history.MAPPING_K, "te").withColumn("te", r6("te"))
 
 
 @query
@@ -425,7 +420,7 @@ def mean_baselines(spark, d):
     h = history.mapping_history(train).where("field = 'mapping_candidate_template_nos'").select(F.col("key").alias("tkey"), "sum", "count")
     q = history.smoothed_lookup(q.withColumn("tkey", normalize_key("mapping_candidate_template_nos")), h, ["tkey"], -2.7, history.MAPPING_K, "te_template")
     out = history.anchors(q).crossJoin(F.broadcast(mean))
-    return out.select("record_id", F.col("mean").alias("global_mean"), "guide_anchor", steady6("template_anchor").alias("template_anchor"), steady6("mixed_anchor").alias("mixed_anchor"))
+    return out.select("record_id", F.col("mean").alias("global_mean"), "guide_anchor", r6("template_anchor").alias("template_anchor"), r6("mixed_anchor").alias("mixed_anchor"))
 
 
 @query
@@ -544,7 +539,7 @@ def _components(spark, d):
 
 @query
 def blend_profiles(spark, d):
-    return score.fusion_profiles(_components(spark, d)).withColumn("y_pred", _scaled6("y_pred"))
+    return score.fusion_profiles(_components(spark, d)).withColumn("y_pred", r6("y_pred"))
 
 
 @query
@@ -558,7 +553,7 @@ def profile_metrics(spark, d):
 def primary_scores(spark, d):
     """Scores, routes, status and versions under each model that may be primary."""
     c = _components(spark, d)
-    made = [score.primary_score(c, p).select(F.lit(p).alias("primary_model"), "record_id", F.round("activity_score", 6).alias("activity_score"), "model_route", "prediction_status", "model_version") for p in ("full", "d", "legacy")]
+    made = [score.primary_score(c, p).select(F.lit(p).alias("primary_model"), "record_id", "activity_score", "model_route", "prediction_status", "model_version") for p in ("full", "d", "legacy")]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
@@ -695,7 +690,7 @@ def chosen_family(spark, d):
 
 @query
 def policy_predictions(spark, d):
-    return select.apply_policy(_fx(spark, d, "components"), _policy(spark, d)).withColumn("y_pred", _scaled6("y_pred"))
+    return select.apply_policy(_fx(spark, d, "components"), _policy(spark, d)).withColumn("y_pred", r6("y_pred"))
 
 
 @query
