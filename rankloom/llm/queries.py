@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, licenses, nearjoin, packing, pii, quality, repeats, sharding, warc
+from . import covertree, decontaminate, licenses, nearjoin, packing, periodic, pii, quality, repeats, sharding, warc
 from .common import WORD, table
 
 
@@ -72,6 +72,18 @@ def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of at least 24 words and three periods; null and empty texts have none, a document without an id gets no periodic tail."""
+    documents = table(spark, sf_dir, "documents")
+    text = periodic.with_periodic_tail(F.col("text"), F.col("doc_id"))
+    found = periodic.find(documents.select("doc_id", text.alias("text"))).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
 _NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(licenses.spelt(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
@@ -132,9 +144,35 @@ select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(c, 0) as bi
 from d left join q using (r)"""
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII string, bit by bit."""
+    byte = f"case when k % 8 = 0 then xor(c, ascii({text}[k // 8 + 1])) else c end"
+    return f"xor(list_reduce(list_prepend(4294967295, range(8 * length({text}))), lambda c, k: xor(({byte}) >> 1, 3988292384 * (({byte}) & 1))), 4294967295)"
+
+
+OP11_SQL = "".join(("""
+with h as (select row_number() over () r, doc_id, coalesce(text, '') t, """, crc32_sql("cast(doc_id as varchar)"), """ h from documents),
+v as (select r, doc_id, h, list_filter(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') v from h),
+a as (select r, doc_id, v, len(v) n, case when h % 10 = 0 and len(v) > 0 then (h // 10) % len(v) end a, h // 10 g from v),
+p as (select *, 1 + (n - a) // (3 + g % 8) p from a),
+w as (select r, doc_id, case when a is null then v else list_concat(v[1:a], list_transform(range(n - a), lambda i: v[a + i % p + 1])) end w from p),
+grams as (select r, i, hash(w[i:i + 15]) x from (select r, w, unnest(range(1, len(w) - 14)) i from w where len(w) >= 24)),
+pairs as (select x.r, x.i, y.i - x.i q from grams x join grams y on x.r = y.r and x.x = y.x and x.i < y.i),
+cut as (select r, q, i, i - row_number() over (partition by r, q order by i) c from pairs),
+runs as (select r, min(i) - 1 s, count(*) + 15 + q n, q from cut group by r, q, c having count(*) + 15 + q >= greatest(24, 3 * q)),
+own as (select * from runs x where not exists (select 1 from runs y where y.r = x.r and y.q < x.q and x.q % y.q = 0 and y.s <= x.s and y.s + y.n >= x.s + x.n)),
+best as (select r, s, n, q from own qualify row_number() over (partition by r order by n::double / q desc, s, q) = 1),
+text as (select r, count(*) n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) t from own group by r),
+gone as (select distinct r, unnest(range(s + q + 1, s + n + 1)) i from own),
+kept as (select r, string_agg(w, ' ' order by i) t from (select r, unnest(w) w, unnest(range(1, len(w) + 1)) i from w) x where not exists (select 1 from gone g where g.r = x.r and g.i = x.i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint n_runs, s::bigint start, n::bigint length, q::bigint period, (1000 * n // q)::bigint exponent_milli,
+       sha256(coalesce(text.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from w left join best using (r) left join text using (r) left join kept using (r)"""))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping)}
+    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping, op11_kruskal_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL, "op10_linear_grouping": OP10_SQL}
+    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL, "op10_linear_grouping": OP10_SQL, "op11_kruskal_runs": OP11_SQL}
