@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, licenses, nearjoin, packing, periodic, pii, quality, repeats, sharding, warc
-from .common import WORD, table
+from . import covertree, decontaminate, licenses, nearjoin, packing, periodic, pii, quality, repeats, sharding, warc, wavelet
+from .common import WORD, new_path, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op11_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written and read back; a null or empty text is its end id alone, null ids come first, rows of one id are documents of their own."""
+    wavelet.write(table(spark, sf_dir, "documents"), path := new_path(spark, "tokens"), tokenizer_path("byte_bpe_50k.json"))
+    return wavelet.read(spark, path)
+
+
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
 _NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(licenses.spelt(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
@@ -171,7 +177,7 @@ from w left join best using (r) left join text using (r) left join kept using (r
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping, op11_kruskal_runs)}
+    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping, op11_kruskal_runs, op12_wavelet_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
