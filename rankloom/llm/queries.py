@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, licenses, nearjoin, packing, periodic, pii, quality, repeats, sharding, warc, wavelet
-from .common import WORD, new_path, table
+from . import covertree, decontaminate, licenses, merkle, nearjoin, packing, periodic, pii, quality, repeats, sharding, warc, wavelet
+from .common import LOWER, UPPER, WORD, new_path, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -90,6 +90,17 @@ def op12_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, path)
 
 
+def op13_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, proofs and their check after texts of some documents were lower-cased; null fields, texts and languages are leaves and groups like others."""
+
+    def tampered(documents: DataFrame):
+        text = F.translate("text", UPPER, LOWER)
+        return F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.digest(*(F.col(x) for x in ("doc_id", "source", "lang", "n_chars")), text))
+
+    documents = table(spark, sf_dir, "documents")
+    return merkle.manifest(documents, ["doc_id", "source", "lang", "n_chars", "text"], changed=tampered)
+
+
 WORDS_SQL = f"""list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> '')"""
 
 _NOTICES = [(label, licenses.tokens_of(t), math.ceil(len(licenses.spelt(t)) / licenses.THRESHOLD - 1e-9)) for label, texts in licenses.TEMPLATES.items() for t in texts]
@@ -176,9 +187,43 @@ select doc_id, coalesce(n_runs, 0)::bigint n_runs, s::bigint start, n::bigint le
 from w left join best using (r) left join text using (r) left join kept using (r)"""))
 
 
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({x})::varchar)) || ':' || ({x})::varchar, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """CTEs n0, n1, ... of (tree, i, node) by level, and p0, p1, ... of every document's proof and folded digest so far; first within languages, then above them."""
+    out = [
+        f"""d as (select row_number() over () r, doc_id, lang, {_leaf_sql("text")} leaf,
+         case when {crc32_sql("cast(doc_id as varchar)")} % 3 = 0 then {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} end other from documents)""",
+        "g as (select lang, row_number() over (order by encode(lang) nulls first) - 1 t from (select distinct lang from d))",
+        "a0 as (select r, t tree, row_number() over (partition by t order by doc_id nulls first, leaf) - 1 i, leaf node from d join g on d.lang is not distinct from g.lang)",
+        "p0 as (select a0.r, tree, i, '' proof, coalesce(other, leaf) node from a0 join d using (r))",
+        "n0 as (select tree, i, node from a0)",
+    ]
+    for k in range(2 * levels):
+        if k == levels:  # from languages' trees to the tree of languages
+            out += [f"s as (select tree, node subroot from n{k})", f"m{k} as (select 0 tree, tree i, node from n{k})", f"q{k} as (select r, 0 tree, tree i, proof, node from p{k})"]
+        n, p = (f"m{k}", f"q{k}") if k == levels else (f"n{k}", f"p{k}")
+        out += [
+            f"c{k} as (select tree, count(*) c from {n} group by tree)",
+            f"n{k + 1} as (select tree, i // 8 i, case when max(c) > 1 then sha256(string_agg(node, '' order by i)) else any_value(node) end node from {n} join c{k} using (tree) group by tree, i // 8)",
+            f"""b{k} as (select x.tree, x.i, coalesce(string_agg(y.node, '' order by y.i) filter (y.i < x.i), '') l, coalesce(string_agg(y.node, '' order by y.i) filter (y.i > x.i), '') h
+                 from {n} x join {n} y on x.tree = y.tree and x.i // 8 = y.i // 8 group by x.tree, x.i)""",
+            f"p{k + 1} as (select r, tree, i // 8 i, proof || l || h proof, case when c > 1 then sha256(l || node || h) else node end node from {p} join b{k} using (tree, i) join c{k} using (tree))",
+        ]
+    return ", ".join(out)
+
+
+OP13_SQL = f"""
+with {_merkle_sql()}
+select doc_id, leaf, subroot, n16.node root, sha256(p16.proof) proof_sha256, p16.node folded_root, p16.node = n16.node verified
+from d join g on d.lang is not distinct from g.lang join s on s.tree = g.t join p16 using (r) cross join n16"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping, op11_kruskal_runs, op12_wavelet_matrix)}
+    return {f.__name__: f for f in (op1_lsh_forest, op2_set_join, op3_bootstrapped, op4_hash_ring, op5_differencing, op6_cover_tree, op7_boosted_trees, op8_wu_manber, op9_chunked_warc, op10_linear_grouping, op11_kruskal_runs, op12_wavelet_matrix, op13_butterfly)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL, "op10_linear_grouping": OP10_SQL, "op11_kruskal_runs": OP11_SQL}
+    return {"op2_set_join": OP2_SQL, "op8_wu_manber": OP8_SQL, "op9_chunked_warc": OP9_SQL, "op10_linear_grouping": OP10_SQL, "op11_kruskal_runs": OP11_SQL, "op13_butterfly": OP13_SQL}
