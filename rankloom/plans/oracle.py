@@ -180,11 +180,15 @@ _HF = ["mapping_status", "mapping_confidence", "mapping_candidate_template_nos",
 _key = lambda c: f"coalesce(nullif({c}::varchar, ''), 'missing')"
 _MH = "mh as (" + " union all ".join(f"select '{f}' field, {_key(f)} k, sum(\"label\") s, count(*) c from tr group by all" for f in _HF) + ")"
 add("mapping_history", f"select field, k \"key\", {r('s', 'sum')}, c \"count\" from mh", ctes=f"{_MROWS}, {_MH}")
-_look = lambda a, t, cat: f"left join gh {a} on {a}.reference_type = '{t}' and {a}.guide = q.guide and {a}.category = {cat}"
-_TEQ = f"""te as (select q.*, (coalesce(a.s, 0) + 0.5 * m) / (coalesce(a.c, 0) + 0.5) ga, coalesce(a.c, 0) an, coalesce(e.s, 0) es, coalesce(e.c, 0) en, coalesce(n.s, 0) ns, coalesce(n.c, 0) nn, coalesce(d.s, 0) ds, coalesce(d.c, 0) dn, coalesce(p.s, 0) ps, coalesce(p.c, 0) pn
-  from qu q cross join (select avg("label") m from tr) {_look('a', 'all', "''")} {_look('e', 'exact', "''")} {_look('n', 'nonexact', "''")} {_look('d', 'diffcat', 'q.diffcat')} {_look('p', 'gapcat', 'q.gapcat')})"""
+_sums = lambda n, c: f'coalesce(sum("label") filter ({c}), 0) s_{n}, count(*) filter ({c}) n_{n}'
+_GW = "gw as materialized (select guide, " + ", ".join(_sums(n, c) for n, c in [("all", "true"), *((v, f"exactness = '{v}'") for v in ("exact", "nonexact")), *((f"d_{v}", f"diffcat = '{v}'") for v in ("exact", "one", "two_plus")), *((f"p_{v}", f"gapcat = '{v}'") for v in ("gap", "no_gap"))]) + " from tr group by guide)"
+_of = lambda c, p, t, vs: f"coalesce(case q.{t} " + " ".join(f"when '{v}' then {c}_{p}_{v}" for v in vs) + " end, 0)"
+_D3, _P2 = ("exact", "one", "two_plus"), ("gap", "no_gap")
+_TEQ = f"""{_GW}, te as (select q.*, (coalesce(s_all, 0) + 0.5 * m) / (coalesce(n_all, 0) + 0.5) ga, coalesce(n_all, 0) an, coalesce(s_exact, 0) es, coalesce(n_exact, 0) en, coalesce(s_nonexact, 0) ns, coalesce(n_nonexact, 0) nn,
+  {_of('s', 'd', 'diffcat', _D3)} ds, {_of('n', 'd', 'diffcat', _D3)} dn, {_of('s', 'p', 'gapcat', _P2)} ps, {_of('n', 'p', 'gapcat', _P2)} pn
+  from qu q cross join (select avg("label") m from tr) left join gw on gw.guide = q.guide)"""
 _te = lambda: ", ".join([r("ga", "te_guide_all"), r("ln(1 + an)", "te_guide_all_log_count"), r("(an > 0)::int", "te_guide_seen")] + [x for t, s, n, suffix in (("exact", "es", "en", "_ref"), ("nonexact", "ns", "nn", "_ref"), ("diffcat", "ds", "dn", ""), ("gapcat", "ps", "pn", "")) for x in (r(f"({s} + 0.5 * ga) / ({n} + 0.5)", f"te_guide_{t}{suffix}"), r(f"ln(1 + {n})", f"te_guide_{t}_log_count"))])
-add("guide_encoding_query", f"select record_id, {_te()} from te", ctes=f"{_ROWS}, {_GH}, {_TEQ}")
+add("guide_encoding_query", f"select record_id, {_te()} from te", ctes=f"{_ROWS}, {_TEQ}")
 _LOO = """te as (select *, (gs_ - y + 0.5 * (ts_ - y) / (tn_ - 1) ) / (an + 0.5) ga from (select record_id, "label" y, sum("label") over () ts_, count(*) over () tn_, sum("label") over (partition by guide) gs_, count(*) over (partition by guide) - 1 an,
   coalesce(sum("label") filter (where exactness = 'exact') over (partition by guide), 0) - case when exactness = 'exact' then "label" else 0 end es, count(*) filter (where exactness = 'exact') over (partition by guide) - (exactness = 'exact')::int en,
   coalesce(sum("label") filter (where exactness = 'nonexact') over (partition by guide), 0) - case when exactness = 'nonexact' then "label" else 0 end ns, count(*) filter (where exactness = 'nonexact') over (partition by guide) - (exactness = 'nonexact')::int nn,
@@ -240,11 +244,26 @@ def _matrix(with_history: bool) -> None:
     name = "context_matrix" if with_history else "seq_mapping_matrix"
     ctes = f"{_MROWS}, {_GH}, {_MH}, {loo}, {query}, {_F}, {_num}, {xf}, {lg}"
     add(name, "select c::bigint \"column\", feature, count(*) n, round(sum(v), 4) total from lg join cn using (feature) where v <> 0 group by c, feature", ctes=ctes)
+    if with_history:
+        add("design_vectors", "select record_id, count(*) n, string_agg(c::varchar, ',' order by c) columns, round(sum(v), 4) total, round(sum(v * (c + 1)), 2) weighted from lg join cn using (feature) where v <> 0 group by record_id", ctes=ctes)
 
 
 _matrix(True)
 _matrix(False)
 
+_by = lambda alias, c: f'coalesce(sum(o."label") filter ({c}), 0) {alias}s, count(o."label") filter ({c}) {alias}n'
+_out = "o.fold <> held and o.record_id <> r.record_id"
+_HISTORY = f"""hd as (select unnest(range(5)) held), rk as materialized (select *, {_key('mapping_candidate_group_ids')} k from tr),
+hg as (select r.record_id, held, {_by('z', _out)}, {_by('e', _out + " and o.exactness = 'exact'")}, {_by('n', _out + " and o.exactness = 'nonexact'")}, {_by('d', _out + " and o.diffcat = r.diffcat")}, {_by('p', _out + " and o.gapcat = r.gapcat")}
+  from rk r cross join hd join rk o on o.guide = r.guide group by r.record_id, held),
+hk as (select r.record_id, held, {_by('k', 'o.fold <> held and o.fold <> r.fold')} from rk r cross join hd join rk o on o.k = r.k group by r.record_id, held),
+ft_ as materialized (select fold, sum("label") s, count("label") c from rk group by fold),
+pr as (select x.held, y.fold, sum(s) filter (f.fold <> x.held) gs, sum(c) filter (f.fold <> x.held) gc, sum(s) filter (f.fold <> x.held and f.fold <> y.fold) / sum(c) filter (f.fold <> x.held and f.fold <> y.fold) km
+  from hd x, (select distinct fold from rk) y, ft_ f group by x.held, y.fold),
+al as (select (gs - case when r.fold <> held then r."label" else 0 end) / (gc - (r.fold <> held)::int) gm, km, hg.*, hk.ks, hk.kn from rk r cross join hd join pr using (held, fold) join hg using (record_id, held) join hk using (record_id, held)),
+te as (select *, (zs + 0.5 * gm) / (zn + 0.5) ga, zn an from al)"""
+add("history_by_fold", f"select record_id, held::bigint held, {_te()}, {r('(ks + 20 * km) / (kn + 20)', 'key_te')}, {r('ln(1 + kn)', 'key_log_count')} from te", ctes=f"{_MROWS}, {_HISTORY}")
+
 # --- scores
 _SC = _SCORE + ", sc as (select *, round(ga, 6) b, round(0.5 * ga + 0.5 * tt, 6) c, round(-2.5 - 0.1 * d, 6) dd from dg), ro as (select *, mapping_hit_count > 0 mapped, case when mapping_hit_count > 0 then 0.2 * dd + 0.47 * b + 0.33 * c end full_, case when mapping_hit_count > 0 then round(0.2 * dd + 0.47 * b + 0.33 * c, 6) else dd end score, case when mapping_hit_count > 0 then 'mapping_dbc_v2' else 'sequence_d_fallback_v2' end route from sc)"
 add("routed_scores", f"select record_id, {r('full_', 'prediction_full')}, {r('score', 'activity_score')}, route model_route, case when mapped then 'success' else 'fallback_success' end prediction_status from ro", ctes=_SC)

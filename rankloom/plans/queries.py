@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
 from ..functions.sequences import normalize_key, normalize_sequence, r6, template_atoms, ungap
-from ..operators import features, groups, history, mapping, metrics, models, quality, resample, score, select
+from ..operators import boosting, design, features, groups, history, mapping, metrics, models, quality, resample, score, select
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -796,47 +796,118 @@ def bootstrap_histogram(spark, d):
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
-_SEQ = ["aligned_difference_count", "gap_count"]
-_MAP = ["mapping_hit_count", "mapping_template_count", "mapping_group_count", "mapping_orientation_count"]
+#: Seeds and depth of the residual fits; rounds of all fits. Rounds are fewer than a single machine would take, for the time they take; all are parameters.
+_SEEDS, _SHAPE = (42, 52, 62, 72, 82), boosting.Shape(rounds=6, depth=7)
+_FOLDS = 5
 
 
-def _table(spark, d):
-    return cut(history.leave_one_out(_train(_rows(spark, d))))
+@query
+def design_vectors(spark, d):
+    """Sparse vectors of the ordered design matrix: their columns, and sums that tell their values and places."""
+    matrix, fit = _matrix_blocks(spark, d, True)
+    matrix = cut(matrix)
+    columns = cut(features.matrix_columns(matrix.join(fit, "record_id", "left_semi")))
+    v = design.assemble(features.numbered_matrix(matrix, columns))
+    total = lambda of: F.aggregate(F.zip_with("indices", "values", of), F.lit(0.0), lambda a, x: a + x)
+    return v.select("record_id", F.size("indices").alias("n"), F.array_join("indices", ",").alias("columns"), F.round(total(lambda i, x: x), 4).alias("total"), F.round(total(lambda i, x: x * (i + 1)), 2).alias("weighted"))
+
+
+def _keyed_train(spark, d):
+    return _train(_rows(spark, d)).withColumn("key", normalize_key("mapping_candidate_group_ids"))
+
+
+@query
+def history_by_fold(spark, d):
+    """Label-history columns of each training record under each held-out fold."""
+    made = design.history_by_fold(_keyed_train(spark, d), "key")
+    long = made.select("record_id", F.posexplode("history").alias("at", "value"))
+    wide = long.groupBy("record_id", F.floor(F.col("at") / len(design.HISTORY_COLUMNS)).alias("held"))
+    return wide.agg(*[F.max(F.when(F.col("at") % len(design.HISTORY_COLUMNS) == k, F.col("value"))).alias(c) for k, c in enumerate(design.HISTORY_COLUMNS)])
+
+
+def _design(spark, d):
+    """Training records with sparse static columns, the columns of each held-out fold, and the names of the static ones by number.
+
+    All 188 pair features, pairs of letters by position, mapping counts and mapping fields; features that may be missing are filled with medians of each fold's fit rows,
+    so they stand with the label history, which differs by fold.
+    """
+    rows = _keyed_train(spark, d)
+    table = cut(features.feature_table(_train(_fx(spark, d, "pairs"))).join(rows.select("record_id", "fold"), "record_id"))
+    names = [c for c in table.columns if c not in ("record_id", "fold")]
+    seen = table.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in names]).first()
+    gaps = [c for c in names if seen[c] < seen["n"]]
+    whole = [c for c in names if c not in gaps]
+    doubles = lambda df, cs: df.select("record_id", *[F.col(c).cast("double").alias(c) for c in cs]).unpivot(["record_id"], cs, "feature", "value").where("value <> 0")
+    fields = ["mapping_status", "mapping_confidence", "mapping_match_modes"]
+    onehot = history.apply_onehot(rows, history.fit_onehot(rows, fields), fields).select("record_id", F.concat_ws("=", "field", "key").alias("feature"), F.lit(1.0).alias("value"))
+    pair = features.pair_onehot(_train(_fx(spark, d, "pairs"))).select("record_id", F.format_string("%02d_%s", F.col("position"), F.col("pair")).alias("feature"), F.lit(1.0).alias("value"))
+    long = cut(features.context_matrix([("numeric", doubles(table, whole)), ("pair", pair), ("mapping", doubles(history.numeric_mapping(rows), history.MAPPING_COUNTS)), ("onehot", onehot)]))
+    columns = cut(features.matrix_columns(long))
+    static = [r["feature"] for r in columns.orderBy("column").collect()]  # as many as the model has columns
+    vectors = design.assemble(features.numbered_matrix(long, columns))
+    by_fold = design.history_by_fold(rows, "key")
+    if gaps:
+        held = table.select("fold", *[F.col(c).cast("double").alias(c) for c in gaps]).unpivot(["fold"], gaps, "column", "v").select("column", "v", "fold", F.explode(F.array(*map(F.lit, range(_FOLDS)))).alias("held"))
+        middle = {(r["column"], r["held"]): r["q"][0] for r in metrics.quantiles(held.where("fold <> held"), ["column", "held"], "v", [0.5]).collect()}  # a number for each such column and fold
+        fill = lambda f: [F.coalesce(F.col(c).cast("double"), F.lit(float(middle.get((c, f), 0.0)))) for c in gaps]
+        by_fold = by_fold.join(table.select("record_id", *gaps), "record_id")
+        n = len(design.HISTORY_COLUMNS)
+        by_fold = by_fold.withColumn("history", F.concat(*[x for f in range(_FOLDS) for x in (F.slice("history", f * n + 1, n), F.array(*fill(f)))])).drop(*gaps)
+    width = len(design.HISTORY_COLUMNS) + len(gaps)
+    anchor = F.array(*[F.col("history")[f * width] for f in range(_FOLDS)])
+    out = by_fold.join(vectors, "record_id", "left").select("record_id", "fold", (F.col("exactness") == "exact").cast("int").alias("part"), F.col("label").alias("y"), anchor.alias("anchor"), F.coalesce("indices", F.array().cast("array<int>")).alias("indices"), F.coalesce("values", F.array().cast("array<double>")).alias("values"), "history")
+    return cut(out), static, width
+
+
+def _fitted(spark, d, fits):
+    """Predictions by record of a function of (static names, width) that gives named fits; several of one name and record are averaged."""
+    rows, static, width = _design(spark, d)
+    made = fits(static, frozenset(range(width)), frozenset(range(len(design.HISTORY_COLUMNS), width)))
+    got = boosting.fit_predict(rows, made, len(static), width, _FOLDS, _SHAPE)
+    names = F.array(*[F.lit(f.name) for f in made])
+    got = got.groupBy(F.get(names, F.col("fit")).alias("arm"), "record_id").agg(F.avg("y_pred").alias("y_pred"))
+    return got.join(rows.select("record_id", "fold"), "record_id")
 
 
 @query
 def oof_gbt(spark, d):
-    return models.oof_predict(_table(spark, d), models.gbt(_SEQ + _MAP, iterations=5)).select("record_id", "fold", "y_pred")
+    return _fitted(spark, d, lambda static, every, filled: [boosting.Fit(f, history=every) for f in range(_FOLDS)]).select("record_id", "fold", "y_pred")
 
 
 @query
 def residual_boost(spark, d):
-    return models.oof_predict(_table(spark, d), models.gbt(_SEQ + _MAP, seeds=(1, 2), anchor="te_guide_all", iterations=4)).select("record_id", "fold", "y_pred")
+    """Five seeds on what the guide's history leaves, averaged."""
+    return _fitted(spark, d, lambda static, every, filled: [boosting.Fit(f, s, history=every, center="anchor") for f in range(_FOLDS) for s in _SEEDS]).select("record_id", "fold", "y_pred")
 
 
 @query
 def centered_baseline(spark, d):
-    return models.oof_predict(_table(spark, d), models.centered(_SEQ + _MAP)).select("record_id", "fold", "y_pred")
+    """Sequence and mapping alone, no label history."""
+    return _fitted(spark, d, lambda static, every, filled: [boosting.Fit(f, history=filled) for f in range(_FOLDS)]).select("record_id", "fold", "y_pred")
 
 
 @query
 def ridge_oof(spark, d):
-    return models.oof_predict(_table(spark, d), models.ridge(_SEQ + _MAP + ["te_guide_all"])).select("record_id", "fold", "y_pred")
+    rows, static, _ = _design(spark, d)
+    return design.ridge_by_fold(rows, len(static), _FOLDS)
 
 
 @query
 def block_arms(spark, d):
-    t, out = _table(spark, d), None
-    for name, fit in models.block_arms(_SEQ, _MAP, ["te_guide_all"]).items():
-        part = models.oof_predict(t, fit).select(F.lit(name).alias("arm"), "record_id", "y_pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Sequence, mapping, history and all, with the same capacity; all arms and folds grow together."""
+
+    def fits(static, every, filled):
+        sequence = frozenset(i for i, x in enumerate(static) if x.startswith(("numeric:", "pair:")))
+        arms = {"sequence": (sequence, filled), "sequence_mapping": (None, filled), "sequence_history": (sequence, every), "all": (None, every)}
+        return [boosting.Fit(f, columns=c, history=h, name=n) for n, (c, h) in arms.items() for f in range(_FOLDS)]
+
+    return _fitted(spark, d, fits).select("arm", "record_id", "y_pred")
 
 
 @query
 def two_expert(spark, d):
-    t = _table(spark, d).withColumn("is_exact", F.col("exactness") == "exact")
-    return models.oof_predict(t, models.two_expert(_MAP + ["te_guide_all"], "is_exact")).select("record_id", "fold", "y_pred")
+    """One fit for exact pairs, one for the rest, in each fold."""
+    return _fitted(spark, d, lambda static, every, filled: [boosting.Fit(f, history=every, part=p) for f in range(_FOLDS) for p in (0, 1)]).select("record_id", "fold", "y_pred")
 
 
 @query
