@@ -14,13 +14,12 @@ ROLES = ("outer_fit", "outer_query")
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable.
 
-    Alternating stars over an edge table that never grows; a count and a checksum tell when nothing changes. Minima
+    Alternating stars over an edge table that never grows, until every node is linked to one node that is linked to none. Minima
     are taken before the shuffle, so a hub is no task of its own.
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    e, state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
-    while (now := e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()) != state and now[0]:
-        state = now
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while unsettled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,28 +28,51 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
+def unsettled(e: DataFrame) -> int:
+    """How many nodes of edges (u, v), u > v, are linked to several smaller ones, or to one that is itself linked to a smaller one."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
+def _grouped(df: DataFrame, protocols: dict[str, bool], target: str, guide: str, templates: str) -> DataFrame:
+    """(protocol_id, t, group_id) of targets (t: their node's name): components of all protocols in one run; protocols: whether guides count.
+
+    Nodes are numbered once, and edges are pairs of numbers that stand apart by protocol, so no text is in the loop. A component is named by its smallest name.
+    """
+    t = F.concat(F.lit("t:"), F.col(target))
+    by_template = df.select(t.alias("a"), F.explode_outer(template_atoms(templates)).alias("n")).select("a", F.coalesce(F.concat(F.lit("m:"), F.col("n").cast("string")), "a").alias("b"), F.lit(False).alias("by_guide"))
+    named = cut(by_template.unionByName(df.select(t.alias("a"), F.concat(F.lit("g:"), F.col(guide)).alias("b"), F.lit(True).alias("by_guide"))).where("a is not null").select("a", F.coalesce("b", "a").alias("b"), "by_guide").distinct())
+    names = named.select(F.col("a").alias("name")).unionByName(named.select(F.col("b").alias("name"))).distinct()
+    numbers = cut(names.select("name", F.monotonically_increasing_id().alias("node")))
+    ends = named.join(numbers.select(F.col("name").alias("a"), F.col("node").alias("x")), "a").join(numbers.select(F.col("name").alias("b"), F.col("node").alias("y")), "b").select("x", "y", "by_guide")
+    k = len(protocols)
+    tagged = None
+    for i, both in enumerate(protocols.values()):
+        part = (ends if both else ends.where("not by_guide")).select((F.col("x") * k + i).alias("a"), (F.col("y") * k + i).alias("b"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    of = components(tagged.distinct()).select(F.expr(f"node div {k}").alias("node"), (F.col("node") % k).cast("int").alias("i"), "component")
+    of = cut(of.join(numbers, "node").select("i", "component", "name"))
+    first = of.groupBy("component").agg(F.min("name").alias("group_id"))
+    protocol = F.array(*map(F.lit, protocols))
+    return of.where(F.col("name").startswith("t:")).join(first, "component").select(F.get(protocol, F.col("i")).alias("protocol_id"), F.col("name").alias("t"), "group_id")
+
+
 def component_groups(df: DataFrame, include_guide: bool, target: str = "target", guide: str = "guide", templates: str = "mapping_candidate_template_nos") -> DataFrame:
     """df with group_id: rows that share a target, a candidate template or, if asked, a guide are in one group.
 
     Groups are named by the smallest node of their component, so a name doesn't depend on other groups.
     """
-    t = F.concat(F.lit("t:"), F.col(target))
-    edges = df.select(t.alias("a"), F.explode_outer(template_atoms(templates)).alias("n")).select("a", F.coalesce(F.concat(F.lit("m:"), F.col("n").cast("string")), "a").alias("b"))
-    if include_guide:
-        edges = edges.unionByName(df.select(t.alias("a"), F.concat(F.lit("g:"), F.col(guide)).alias("b")))
-    of = components(edges.distinct())
-    return df.join(of.select(F.col("node").alias("__n"), F.col("component").alias("group_id")), t == F.col("__n")).drop("__n")
-
-
-def protocol_groups(df: DataFrame, target: str = "target", guide: str = "guide") -> DataFrame:
-    """(record_id, protocol_id, group_id) for the four protocols."""
-    rows = [("target", df.select("record_id", F.col(target).alias("group_id"))), ("guide", df.select("record_id", F.col(guide).alias("group_id")))]
-    rows += [(name, component_groups(df, both, target, guide).select("record_id", "group_id")) for name, both in (("atomic_template", False), ("dual_atomic", True))]
-    out = None
-    for name, part in rows:
-        part = part.select("record_id", F.lit(name).alias("protocol_id"), "group_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    of = _grouped(df, {"all": include_guide}, target, guide, templates).select(F.col("t").alias("__n"), "group_id")
+    return df.join(of, F.concat(F.lit("t:"), F.col(target)) == F.col("__n")).drop("__n")
+
+
+def protocol_groups(df: DataFrame, target: str = "target", guide: str = "guide", templates: str = "mapping_candidate_template_nos") -> DataFrame:
+    """(record_id, protocol_id, group_id) for the four protocols; components of both atomic ones come from one run."""
+    rows = df.select("record_id", F.explode(F.array(*[F.struct(F.lit(n).alias("protocol_id"), F.col(c).alias("group_id")) for n, c in (("target", target), ("guide", guide))])).alias("x")).select("record_id", "x.*")
+    of = _grouped(df, {"atomic_template": False, "dual_atomic": True}, target, guide, templates)
+    atomic = df.select("record_id", F.concat(F.lit("t:"), F.col(target)).alias("t")).join(of, "t")
+    return rows.unionByName(atomic.select("record_id", "protocol_id", "group_id"))
 
 
 def _fold_cycles(counts: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:

@@ -2,8 +2,8 @@
 
 Targets are mapped once, however many pairs have them. Exact hits are an equi join of target text and window text.
 For the rest, windows and targets with ambiguity codes are spelt out to plain k-mers, so that compatible ones share
-one, and joined on that; where spelling out would take more than `most` k-mers, the codes are compared position by
-position instead.
+one, and joined on that. Where spelling out would take more than `most` k-mers, a stretch of such a sequence is the join key: of its
+four, the one with the fewest spellings, against the same stretch of all others; codes are then compared position by position.
 """
 
 from __future__ import annotations
@@ -53,21 +53,69 @@ def spell(c: Column) -> Column:
     return F.aggregate(F.split(c, ""), F.array(F.lit("")), lambda all_, x: F.flatten(F.transform(all_, lambda a: F.transform(_choices(x), lambda b: F.concat(a, b)))))
 
 
+_STRETCHES, _SPELT = 4, 64
+
+
+def _stretches(text: Column, pairs: bool) -> Column:
+    """Stretches of a sequence, four or (pairs) of two letters each, with their numbers and of how many spellings."""
+    n = F.length(text)
+    many = F.ceil(n / 2).cast("int") if pairs else F.lit(_STRETCHES)
+
+    def one(i: Column) -> Column:
+        lo, hi = F.floor(n * i / many), F.floor(n * (i + 1) / many)
+        part = F.substr(text, (lo + 1).cast("int"), (hi - lo).cast("int"))
+        return F.struct(spellings(part).alias("ways"), i.alias("i"), part.alias("text"))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), many - 1), one), lambda x: x["text"] != "")
+
+
+def _seeds(df: DataFrame, text: str, best: bool, pairs: bool = False) -> DataFrame:
+    """df with key: the spellings of its stretches (with best: of that with the fewest), by length and number. A stretch of too many spellings has the key `*`; with best, every row has that too, for them."""
+    made = _stretches(F.col(text), pairs)
+    chosen = df.select("*", F.array_min(made).alias("__s")) if best else df.select("*", F.explode(made).alias("__s"))
+    none = F.array().cast("array<string>")
+    texts = F.when(F.col("__s.ways") <= _SPELT, spell(F.col("__s.text"))).otherwise(none)
+    key = F.explode(F.concat(texts, F.when(F.lit(True) if best else F.col("__s.ways") > _SPELT, F.array(F.lit("*"))).otherwise(none)))
+    return chosen.select("*", key.alias("__t")).select(*df.columns, F.concat_ws("|", F.length(text), "__s.i", "__t").alias("key"))
+
+
+def _met_by_stretch(wide: DataFrame, wide_text: str, others: DataFrame, text: str) -> DataFrame:
+    """Pairs of compatible rows; a pair meets at the spelt stretch that the wide side chose, or at its `*` where the other side can't be spelt.
+
+    Wide rows none of whose four stretches can be spelt meet by stretches of two letters, which always can.
+    """
+    fewest = F.array_min(_stretches(F.col(wide_text), False))["ways"]
+    sides = [(wide.where(fewest <= _SPELT), False)]
+    if (wide.agg(F.max(fewest)).first()[0] or 0) > _SPELT:
+        sides.append((wide.where(fewest > _SPELT), True))
+    met = [_seeds(w, wide_text, True, pairs).join(_seeds(others, text, False, pairs), "key").drop("key").where(iupac_compatible("query", "window")) for w, pairs in sides]
+    return met[0] if len(met) == 1 else met[0].unionByName(met[1])
+
+
 def iupac_hits(queries: DataFrame, windows: DataFrame, exact: DataFrame, most: int = MOST) -> DataFrame:
-    """Compatible windows other than the query itself, of targets without any exact hit."""
-    left = queries.join(exact.select("target").distinct(), "target", "left_anti").withColumn("ways", spellings(F.col("query"))).where("ways > 0")
-    right = windows.where("not plain").unionByName(windows.where("plain")).withColumn("w_ways", F.when(F.col("plain"), 1.0).otherwise(spellings(F.col("window"))))
-    few_q, few_w = left.where(F.col("ways") <= most), right.where(F.col("w_ways") <= most)
+    """Compatible windows other than the query itself, of targets without any exact hit. Kinds of sequences that don't occur cost nothing."""
+    left = cut(queries.join(exact.select("target").distinct(), "target", "left_anti").withColumn("ways", spellings(F.col("query"))).where("ways > 0"))
+    with_codes = cut(windows.where("not plain").withColumn("w_ways", spellings(F.col("window"))).where("w_ways > 0"))
     columns = ["target", "template_no", "template_group_id", "start_0based", "orientation"]
+    of_window = ["template_no", "template_group_id", "start_0based", "window"]
+    most_q, most_w = (df.agg(F.max(c)).first()[0] or 0 for df, c in ((left, "ways"), (with_codes, "w_ways")))
+    few_q, coded = left.where(F.col("ways") <= most), with_codes.where(F.col("w_ways") <= most)
     # two plain texts can't be compatible and different, so one side has codes
-    coded = few_w.where("not plain").select("template_no", "template_group_id", "start_0based", "window", F.explode(spell(F.col("window"))).alias("kmer"))
-    plain = few_w.where("plain").select("template_no", "template_group_id", "start_0based", "window", F.col("window").alias("kmer"))
-    q_coded = few_q.where("ways > 1").select("target", "orientation", "query", F.explode(spell(F.col("query"))).alias("kmer"))
-    q_plain = few_q.where("ways = 1").select("target", "orientation", "query", F.col("query").alias("kmer"))
-    met = q_plain.join(coded, "kmer").unionByName(q_coded.join(coded.unionByName(plain), "kmer")).where("window <> query").select(*columns).distinct()
-    wide = left.join(right.where(F.col("w_ways") > most), F.length("query") == F.length("window")).unionByName(left.where(F.col("ways") > most).join(few_w, F.length("query") == F.length("window")))
-    wide = wide.where((F.col("window") != F.col("query")) & iupac_compatible("query", "window")).select(*columns)
-    return met.unionByName(wide).withColumn("match_mode", F.lit("iupac_compatible"))
+    spelt = coded.select(*of_window, F.explode(spell(F.col("window"))).alias("kmer"))
+    met = [few_q.where("ways = 1").select("target", "orientation", "query", F.col("query").alias("kmer")).join(spelt, "kmer")]
+    if most_q > 1:
+        every = spelt.unionByName(windows.where("plain").select(*of_window, F.col("window").alias("kmer")))
+        met.append(few_q.where("ways > 1").select("target", "orientation", "query", F.explode(spell(F.col("query"))).alias("kmer")).join(every, "kmer"))
+    if most_w > most:
+        met.append(_met_by_stretch(with_codes.where(F.col("w_ways") > most).select(*of_window), "window", left.select("target", "orientation", "query"), "query"))
+    if most_q > most:
+        few_w = windows.where("plain").select(*of_window).unionByName(coded.select(*of_window))
+        met.append(_met_by_stretch(left.where(F.col("ways") > most).select("target", "orientation", "query"), "query", few_w, "window"))
+    found = [m.where("window <> query").select(*columns) for m in met]
+    out = found[0]
+    for m in found[1:]:
+        out = out.unionByName(m)
+    return out.distinct().withColumn("match_mode", F.lit("iupac_compatible"))
 
 
 def rollup_hits(hits: DataFrame) -> DataFrame:
@@ -93,8 +141,11 @@ def decide(rolled: DataFrame) -> DataFrame:
 
 
 def all_hits(targets: DataFrame, templates: DataFrame, most: int = MOST) -> DataFrame:
-    windows = template_windows(templates, targets.select(F.length("target").alias("k")).where("k > 0").distinct())
-    queries = orientations(targets.where("target <> ''"))
+    """Both tables are derived once, whatever is made of them."""
+    targets = cut(targets.where("target <> ''"))
+    templates = cut(templates.select("template_no", "template_group_id", "template_sequence_clean"))
+    windows = template_windows(templates, cut(targets.select(F.length("target").alias("k")).distinct()))
+    queries = orientations(targets)
     exact = cut(exact_hits(queries, windows))
     return exact.unionByName(iupac_hits(queries, windows, exact, most))
 
