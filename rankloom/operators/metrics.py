@@ -1,8 +1,9 @@
 """Five metrics with average ranks, and descriptive evaluation tables.
 
 SCC is the Pearson correlation of average ranks. Keys of at most CELL_ROWS rows are ranked by a plain window. Where a key has
-more, values are dealt into cells between approximate quantiles of the key's values, ranks are taken within a cell, and cells
-continue from each other's totals, so that many tasks rank a single key; results are the same. Quantiles of tables are read off such row numbers too.
+more, its values are counted first: ranks are taken over different values with their weights, in cells between approximate quantiles that
+continue from each other's totals, and joined back, so many tasks rank a single key, and a value that all rows share is one row; results are the
+same. Row numbers of such keys come from ranges of the whole order, which continue from each other too. Quantiles of tables are read off them.
 """
 
 from __future__ import annotations
@@ -38,22 +39,42 @@ def _cells(df: DataFrame, keys: list[str], value: str, weight: Column, cells: in
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str, weight: str | None = None, cells: int = 1) -> DataFrame:
     """df with the average rank of value within keys; with a weight, each row stands for so many.
 
-    With several cells, df is read more than once: give a written or checkpointed table.
+    With several cells, df is read twice, for its values and for its rows: give a written or checkpointed table.
     """
     w = F.col(weight) if weight else F.lit(1)
-    placed = _cells(df, keys, value, w, cells)
-    order = Window.partitionBy(*keys, "__cell").orderBy(value)
-    upto, ties = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, 0)
-    rank = F.col("__start") + F.sum(w).over(upto) - (F.sum(w).over(ties) - 1) / 2.0
-    return placed.withColumn(out, rank).drop("__cell", "__start")
+    if cells == 1:
+        order = Window.partitionBy(*keys).orderBy(value)
+        upto, ties = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, 0)
+        return df.withColumn(out, F.sum(w).over(upto) - (F.sum(w).over(ties) - 1) / 2.0)
+    counted = cut(df.groupBy(*keys, value).agg(F.sum(w).alias("__c")))
+    upto = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _cells(counted, keys, value, F.col("__c"), cells)
+    ranks = placed.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), (F.col("__start") + F.sum("__c").over(upto) - (F.col("__c") - 1) / 2.0).alias(out))
+    same = F.col(value).eqNullSafe(F.col("__v"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, same).drop(*[f"__k{i}" for i in range(len(keys))], "__v")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, cells: int | None = None) -> DataFrame:
-    """df with row numbers from 0 within keys; df is read more than once: give a written or checkpointed table."""
+    """df with row numbers from 0 within keys; df is read more than once: give a written or checkpointed table.
+
+    Beyond one cell, rows are dealt out by ranges of keys and the whole order, however many are equal in its first column.
+    """
     cells = cells or cells_for(df, keys)
-    placed = _cells(df, keys, order[0], F.lit(1), cells)
-    inside = Window.partitionBy(*keys, "__cell").orderBy(*order)
-    return placed.withColumn(out, F.col("__start") + F.row_number().over(inside) - 1).drop("__cell", "__start")
+    if cells == 1:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    by = [*keys, *order]
+    # ids rise by one within a sorted partition, whose number is above bit 33
+    own = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    here = own.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p")).agg(F.min("__id").alias("__lo"), F.count("*").alias("__n"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    here = here.select(*names, "__p", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__lo")).alias("__shift"))
+    same = F.col("__part") == F.col("__p")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return own.join(here, same).select(*df.columns, (F.col("__id") + F.col("__shift")).alias(out))
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "q", cells: int | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,9 +36,15 @@ def _sequence_error(name: str, gaps: bool) -> Column:
 
 
 def validate_pairs(df: DataFrame, row: str = "source_row") -> DataFrame:
-    """One row for each error: (record_id, source_row, field, error). Of the two sequences, the first that is wrong is told."""
+    """One row for each error: (record_id, source_row, field, error). Of the two sequences, the first that is wrong is told.
+
+    Repeated ids are counted before rows are shuffled, and only ids that repeat are joined back; blank ids need no count where they are
+    alone, so however many rows have one id, they are no window.
+    """
     rid = F.trim(F.coalesce("record_id", F.lit("")))
-    counted = df.select("*", rid.alias("__id")).withColumn("__n", F.count("*").over(Window.partitionBy("__id")))
+    named = df.select("*", rid.alias("__id"))
+    repeated = named.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1")
+    counted = named.join(repeated, "__id", "left")
     guide, target = _sequence_error("crRNA_sequence", False), _sequence_error("target_aligned_25", True)
     found = F.array(
         F.struct(F.lit("record_id").alias("field"), F.when(F.col("__id") == "", "record_id must be nonempty").alias("error")),
@@ -148,5 +158,33 @@ def identity_agreement(source: DataFrame, assigned: DataFrame, key: str, columns
 
 
 def id_set_hash(df: DataFrame, keys: list[str], id_col: str = "record_id") -> DataFrame:
-    """SHA-256 of each group's sorted ids, joined by line feeds; for groups that fit a task, as folds do."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(id_col)), "\n"), 256).alias("ids_sha256"))
+    """keys, n and ids_sha256: SHA-256 of each group's sorted ids, joined by line feeds; null ids don't count in it.
+
+    A group's ids are sorted by Spark and hashed as they stream by, so a group of any size takes the memory of one batch; by its
+    definition the digest of a group is one task's work.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in keys}
+    rows = df.select(*keys, F.col(id_col).cast("string").alias("__id")).repartition(*keys).sortWithinPartitions(*keys, "__id")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, sha, schema = None, 0, None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(now, schema, strict=False)), pa.array([n], pa.int64()), pa.array([sha[0].hexdigest()])], names=[*kinds, "n", "ids_sha256"])
+
+        for batch in batches:
+            schema = batch.schema
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, i in zip(*columns, strict=True):
+                if key != now:
+                    if n:
+                        yield told()
+                    now, n, sha = key, 0, [hashlib.sha256(), b""]
+                n += 1
+                if i is not None:
+                    sha[0].update(sha[1] + i.encode())
+                    sha[1] = b"\n"
+        if n:
+            yield told()
+
+    return rows.mapInArrow(digests, ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), "n long, ids_sha256 string"]))

@@ -1,18 +1,22 @@
 """Weight grids, candidate scores and nested selection.
 
 A candidate's prediction is linear in its components, so PCC, RMSE and MAE of candidates are cheap; SCC needs ranks of
-each candidate's predictions and is the work: rows times candidates, dealt out by candidate and fold. The grid is a
-parameter of fixed size and broadcast.
+each candidate's predictions and is the work: a fold's rows go to tasks as arrays, each task takes a share of the candidates.
+The grid is a parameter of fixed size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, ship
+from .arrays import ARRAY_ROWS, correlation_of, ranks, ties
 from .metrics import average_rank, cells_for, correlation, error_metrics, five_metrics
 from .quality import max_abs_diff
 
@@ -35,10 +39,50 @@ def simplex_grid(spark: SparkSession, n: int, step: float, extras: tuple[tuple[f
     return grid.groupBy(*[F.round(x, 12).alias(f"__{x}") for x in names]).agg(*[F.min(x).alias(x) for x in names]).select(*names)
 
 
-def score_grid(rows: DataFrame, grid: DataFrame, components: list[str], fold: str = "inner_fold", y: str = "y_true") -> DataFrame:
-    """Metrics of every candidate on every fold. Labels are ranked once a fold; a candidate is a number in what is shuffled and sorted."""
+def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """Metrics of a block of candidates on one fold; labels are ranked once, predictions by one sorting each."""
+
+    def scored(part: pa.Table) -> pa.Table:
+        y, c = part["__y"].to_numpy(), [part[f"__c{k}"].to_numpy() for k in range(grid.shape[1])]
+        one, block = np.ones(len(y)), part["__block"][0].as_py()
+        ry, flat, spread = ranks(ties(y), one), y.min() == y.max(), ((y - y.mean()) ** 2).mean()
+        out = []
+        for i in range(block, len(grid), blocks):
+            p = np.round(reduce(lambda a, b: a + b, (w * x for w, x in zip(grid[i], c, strict=True))), 9)
+            e = p - y
+            out.append((i, len(y), correlation_of(ry, ranks(ties(p), one), one), correlation_of(y, p, one), float(np.sqrt((e * e).mean())), float(np.abs(e).mean()), None if flat else float(1 - (e * e).mean() / spread)))
+        names = ["__w", "n", "SCC", "PCC", "RMSE", "MAE", "R2"]
+        columns = {n: pa.array([r[k] for r in out], pa.int64() if k < 2 else pa.float64()) for k, n in enumerate(names)}
+        return pa.table({"__fold": pa.array([part["__fold"][0].as_py()] * len(out), kind)} | columns)
+
+    return scored
+
+
+def score_grid(rows: DataFrame, grid: DataFrame, components: list[str], fold: str = "inner_fold", y: str = "y_true", most: int = ARRAY_ROWS) -> DataFrame:
+    """Metrics of every candidate on every fold; labels and components must be numbers.
+
+    A fold of at most `most` rows goes to tasks as arrays, each with its own share of the candidates, so rows are shuffled once a task and not once a candidate. A larger
+    fold is ranked by windows over rows and candidates, in cells. The grid is a parameter: its candidates are sent with the tasks.
+    """
+    spark = rows.sparkSession
+    ship(spark)
     names = [f"w{k + 1}" for k in range(len(components))]
     base = cut(rows.select(fold, y, *components))
+    sizes = base.groupBy(fold).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("folds")).first()
+    if (sizes["most"] or 0) > most:
+        return _scores_by_windows(base, grid, components, fold, y)
+    candidates = np.array(sorted(tuple(r) for r in grid.select(*names).collect()), float).reshape(-1, len(components))
+    blocks = max(1, min(-(-len(candidates) // 8), -(-2 * spark.sparkContext.defaultParallelism // max(sizes["folds"], 1))))
+    kind = base.schema[fold].dataType
+    made = base.select(F.col(fold).alias("__fold"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"), F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__c{k}") for k, c in enumerate(components)])
+    arrow = base.select(fold).limit(0).toArrow().schema.field(0).type
+    got = made.groupBy("__fold", "__block").applyInArrow(_block_scores(candidates, blocks, arrow), f"__fold {kind.simpleString()}, __w long, n long, SCC double, PCC double, RMSE double, MAE double, R2 double")
+    known = spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(candidates)], ", ".join(["__w long", *(f"{x} double" for x in names)]))
+    return got.join(F.broadcast(known), "__w").select(*names, F.col("__fold").alias(fold), "n", "SCC", "PCC", "RMSE", "MAE", "R2")
+
+
+def _scores_by_windows(base: DataFrame, grid: DataFrame, components: list[str], fold: str, y: str) -> DataFrame:
+    names = [f"w{k + 1}" for k in range(len(components))]
     cells = cells_for(base, [fold])
     ranked = average_rank(base, [fold], y, "__ry", cells=cells)
     numbered_grid = cut(grid.select(*names, F.monotonically_increasing_id().alias("__w")))
@@ -146,12 +190,12 @@ def apply_policy(rows: DataFrame, policy: DataFrame) -> DataFrame:
     return p.select("record_id", "y_true", F.explode(F.array(*[row(n, v, r) for n, (v, r) in made.items()])).alias("x")).select("record_id", "y_true", "x.*")
 
 
-def blend_grid(wide: DataFrame, a: str, b: str, step: float = 0.01, y: str = "y_true") -> DataFrame:
+def blend_grid(wide: DataFrame, a: str, b: str, step: float = 0.01, y: str = "y_true", most: int = ARRAY_ROWS) -> DataFrame:
     """Metrics of (1 - alpha) a + alpha b over a grid of alpha."""
     units = round(1 / step)
-    alphas = wide.sparkSession.range(units + 1).select((F.col("id") / units).alias("alpha"))
-    made = wide.select(y, a, b).crossJoin(F.broadcast(alphas)).select("alpha", y, F.round((1 - F.col("alpha")) * F.col(a) + F.col("alpha") * F.col(b), 9).alias("y_pred"))
-    return five_metrics(made, ["alpha"], y, "y_pred")
+    alphas = wide.sparkSession.createDataFrame([(1 - i / units, i / units) for i in range(units + 1)], "w1 double, w2 double")
+    scores = score_grid(wide.select(F.lit(0).alias("__all"), y, a, b), alphas, [a, b], "__all", y, most)
+    return scores.select(F.col("w2").alias("alpha"), "n", "SCC", "PCC", "RMSE", "MAE", "R2")
 
 
 def best_blend(scores: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import COMPONENTS, DUCK_HEX, duck_ctes
+from .fixtures import MODELS, COMPONENTS, DUCK_HEX, duck_ctes
 from .queries import DRAWS, SEED, STEP, SWAPS, _NUMERIC
 
 # Fixed values, stated here again so that an error in the operators' own shows.
@@ -60,7 +60,7 @@ def bins(src: str, by: str) -> str:
 
 add("calibration", bins("(select *, ntile(10) over (partition by model_id order by y_pred, record_id) bin from predictions)", "y_pred"), *P)
 add("observed_bins", bins("predictions join (select record_id, ntile(10) over (order by y, record_id) bin from (select record_id, min(y_true) y from predictions group by record_id)) using (record_id)", "y_true"), *P)
-add("quantile_bins", bins("(select p.*, 1 + (y_pred > e1)::int + (y_pred > e2)::int + (y_pred > e3)::int + (y_pred > e4)::int bin from predictions p join (select model_id, " + ", ".join(f"quantile_cont(y_pred, 0.{2 * i}) e{i}" for i in range(1, 5)) + " from predictions group by model_id) using (model_id) where model_id <> 'M_CONST')", "y_pred"), *P)
+add("quantile_bins", bins("(select p.*, 1 + (y_pred > e1)::int + (y_pred > e2)::int + (y_pred > e3)::int + (y_pred > e4)::int bin from predictions p join (select model_id, " + ", ".join(f"quantile_cont(y_pred, 0.{2 * i}) e{i}" for i in range(1, 5)) + " from predictions group by model_id) using (model_id))", "y_pred"), *P)
 _ROUTED = "(select *, case when outer_fold < 2 then 'fallback' else 'fusion' end prediction_route from predictions)"
 add("route_counts", f"select model_id, prediction_route, n, {r('n / sum(n) over (partition by model_id)', 'share')} from (select model_id, prediction_route, count(*) n from {_ROUTED} group by all)", *P)
 add("win_rate", f"select {r('avg(case when abs(B - y_true) < abs(D_xgb - y_true) then 1.0 else 0.0 end)', 'win_rate')} from components", "components")
@@ -96,6 +96,10 @@ add("id_set_hash", "select model_id, outer_fold::bigint outer_fold, count(*) n,
 add("normalized_keys", "select record_id, crRNA_sequence guide, replace(target_aligned_25, '-', '') target, case when record_id[1] = '7' then 'missing' else record_id[1] end \"key\", 2::bigint atoms from pairs")
 add("pivoted_predictions", "select record_id, y_true, " + ", ".join(f"max(case when model_id = '{m}' then y_pred end) {m}" for m in ("M_STRONG", "M_MID", "M_WEAK")) + " from predictions group by record_id, y_true", *P)
 add("melted_predictions", " union all ".join(f"select record_id, inner_fold::bigint inner_fold, '{m}' model_id, {m} y_pred from components" for m in COMPONENTS), "components")
+add("runs_from_folder", "select model_id, outer_fold::bigint outer_fold, record_id, y_true, y_pred from predictions where not (model_id = 'M_MID' and outer_fold >= 3)", *P)
+add("feature_scan", "select event_id, value::double \"value\" from events")
+add("split_rows", "select record_id, crRNA_sequence from pairs where baseline_split = 'baseline_validation'", "pairs")
+add("label_free", "select record_id, crRNA_sequence, target_aligned_25, baseline_split from pairs", "pairs")
 add("completed_runs", "select model_id, outer_fold::bigint outer_fold, record_id, y_true, y_pred from predictions where not (model_id = 'M_MID' and outer_fold >= 3)", *P)
 add("clean_templates", f"select (template_no + 1)::bigint template_no, 'grp_' || printf('%03d', (template_no // 9 + 1)::int) template_group_id, regexp_replace(upper(lower(template_sequence_clean) || ' x-5'), '[^{CODES}]', '', 'g') template_sequence_clean, length(template_sequence_clean)::bigint template_length from templates")
 
@@ -377,7 +381,7 @@ def _boot(models: str) -> str:
 
 
 _two = "'M_STRONG', 'M_MID'"
-add("bootstrap_metrics", f"select draw, model_id, {', '.join(r(m, m) for m in M5)} from bm", *P, ctes=_boot(_two))
+add("bootstrap_metrics", f"select draw, model_id, {', '.join(r(m, m) for m in M5)} from bm", *P, ctes=_boot(", ".join(f"'{m}'" for m in (*MODELS, "M_CONST"))))
 
 
 def _delta(a: str, b: str, extra: bool) -> str:

@@ -77,7 +77,7 @@ def observed_bins(spark, d):
 
 @query
 def quantile_bins(spark, d):
-    return metrics.quantile_bins(_fx(spark, d, "predictions").where("model_id <> 'M_CONST'"))
+    return metrics.quantile_bins(_fx(spark, d, "predictions"))
 
 
 @query
@@ -200,6 +200,41 @@ def completed_runs(spark, d):
     return collect_runs(p, status, ["model_id", "outer_fold"], ["model_id", "outer_fold", "record_id", "y_true", "y_pred"])
 
 
+@query
+def runs_from_folder(spark, d):
+    """Predictions written as a folder of runs, and read back for completed runs alone."""
+    from ..functions.checkpoints import new_path
+    from ..sources.tables import read_runs
+
+    p = _fx(spark, d, "predictions")
+    root = new_path(spark, "runs")
+    p.repartition("model_id", "outer_fold").write.partitionBy("model_id", "outer_fold").parquet(f"{root}/rows")
+    p.select("model_id", "outer_fold").distinct().withColumn("status", F.when((F.col("model_id") == "M_MID") & (F.col("outer_fold") >= 3), "failed").otherwise("complete")).write.parquet(f"{root}/status")
+    return read_runs(spark, f"{root}/rows", spark.read.parquet(f"{root}/status"), ["model_id", "outer_fold"], ["model_id", "outer_fold", "record_id", "y_true", "y_pred"])
+
+
+@query
+def feature_scan(spark, d):
+    """A typed scan of two of the events' columns."""
+    from ..sources.tables import read_features
+
+    return read_features(spark, f"{d}/events.parquet", ["event_id", "value"], "event_id bigint, value double")
+
+
+@query
+def split_rows(spark, d):
+    from ..sources.tables import split_filter
+
+    return split_filter(_fx(spark, d, "pairs"), "baseline_validation").select("record_id", "crRNA_sequence")
+
+
+@query
+def label_free(spark, d):
+    """Pairs without labels and without columns of an earlier result."""
+    p = _fx(spark, d, "pairs").withColumns({"label_other": F.lit(1.0), "result_score": F.lit(2.0)})
+    return quality.label_leak_guard(quality.drop_reserved(quality.drop_labels(p)))
+
+
 @query
 def clean_templates(spark, d):
     from ..sources.tables import clean_templates as clean
@@ -740,7 +775,7 @@ def _two(spark, d):
 
 @query
 def bootstrap_metrics(spark, d):
-    return resample.bootstrap_metrics(_two(spark, d), DRAWS, int(SEED))
+    return resample.bootstrap_metrics(cut(_fx(spark, d, "predictions")), DRAWS, int(SEED))
 
 
 @query

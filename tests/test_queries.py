@@ -8,7 +8,7 @@ from rankloom.plans.oracle import ORACLES
 from rankloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["metrics_by_fold", "calibration", "validation_errors", "kept_invalid", "pair_features", "pair_identity_long", "iupac_tensor", "map_pairs", "guide_history", "guide_encoding_loo", "mapping_encoding_crossfit", "ranked_pairs", "component_groups", "group_folds", "overlap_audit", "crossfit_weights", "bootstrap_metrics", "swap_test", "holm", "block_permutation"]
+QUICK = ["metrics_by_fold", "calibration", "validation_errors", "kept_invalid", "pair_features", "pair_identity_long", "iupac_tensor", "map_pairs", "guide_history", "guide_encoding_loo", "mapping_encoding_crossfit", "ranked_pairs", "component_groups", "group_folds", "overlap_audit", "crossfit_weights", "swap_test", "holm", "block_permutation"]
 
 
 def canon(df):
