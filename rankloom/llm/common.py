@@ -49,6 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, in whatever case: `name`, with as many underscores before it as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text):
     """A-Z to a-z, nothing else; a null text is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

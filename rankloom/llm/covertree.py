@@ -35,6 +35,8 @@ _LEAF = 64
 #: Node pairs of at most this many pairs of points are compared outright.
 _DIRECT = 1 << 16
 _HELD = 1 << 20
+#: A child of more than this share of its cell's points isn't divided further.
+_DIVIDES = 7 / 8
 BLOCK, FAN, CHUNK_ROWS = 2048, 64, 1 << 14
 
 
@@ -252,12 +254,14 @@ def grow(points: DataFrame, cosine: float, block: int, fan: int) -> tuple[DataFr
     """Points in their final cells; all cells (node, parent, centre, radius, n, final); and the number of levels."""
     far = float(np.sqrt(2 - 2 * cosine))
     kind = points.schema["vector"].dataType.elementType.simpleString()
-    placed = points.withColumns({"node": F.xxhash64("label", "dim"), "far": F.lit(4.0), "visits": F.array().cast("array<long>")}).select(*[x.split()[0] for x in _POINT.split(", ")])
+    placed = points.withColumns({"label": F.xxhash64("label"), "node": F.xxhash64("label", "dim"), "far": F.lit(4.0), "visits": F.array().cast("array<long>")}).select(*[x.split()[0] for x in _POINT.split(", ")])
     of = placed.groupBy("node").agg(F.count("*").alias("n")).select("node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("array<double>").alias("centre"), F.lit(4.0).alias("radius"), "n")
     cells, level = cut(of), 0
-    last = cells
+    last = cells.withColumn("before", F.lit(None).cast("long"))
     while True:
-        large = cut(last.where((F.col("n") > block) & (F.col("radius") > far / 2)).select("node", "n", F.least(F.ceil(2 * F.col("n") / block), F.lit(fan)).cast("int").alias("k")))
+        # a cell that its centres hardly divide, as where most of its points lie in one direction, stays whole and is cut by a hash
+        divided = F.col("before").isNull() | (F.col("n") <= F.col("before") * _DIVIDES)
+        large = cut(last.where((F.col("n") > block) & (F.col("radius") > far / 2) & divided).select("node", "n", F.least(F.ceil(2 * F.col("n") / block), F.lit(fan)).cast("int").alias("k")))
         if large.isEmpty():
             final = cells.join(cells.select(F.col("parent").alias("node")).distinct().withColumn("divided", F.lit(True)), "node", "left")
             return placed, cut(final.select("node", "parent", "centre", "radius", "n", F.col("divided").isNull().alias("final"))), level
@@ -271,8 +275,8 @@ def grow(points: DataFrame, cosine: float, block: int, fan: int) -> tuple[DataFr
         moved = mine.groupBy("node", "salt").cogroup(spread.groupBy("cell", "part")).applyInArrow(_to_nearest, _POINT.format(t=kind))
         placed = cut(placed.join(large.select("node"), "node", "left_anti").select(*moved.columns).unionByName(moved))
         sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-        last = cut(centres.select(F.col("node").alias("parent"), F.col("child").alias("node"), "centre").join(sizes, "node").select(*cells.columns))
-        cells = cells.unionByName(last)
+        last = cut(centres.select(F.col("node").alias("parent"), F.col("child").alias("node"), "centre", F.col("n").alias("before")).join(sizes, "node").select(*cells.columns, "before"))
+        cells = cells.unionByName(last.drop("before"))
 
 
 def meeting(cells: DataFrame, levels: int, cosine: float) -> DataFrame:
@@ -305,7 +309,7 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, block: int = BLOCK, f
     """One row for each vector: vec_id, n_links, component_id, kept."""
     ship(rows.sparkSession)
     single = rows.schema[vector_col].dataType.simpleString() == "array<float>"  # exact in half the bytes
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
+    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     finite = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     fit = F.col("label").isNotNull() & finite
     base = base.select("vec_id", "label", fit.alias("fit"), F.size("vector").alias("dim"), F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2"), "vector")

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, free, ship
 from .components import components, local_roots
 from .textcodes import Texts, mix, runs_of_words, slices, words
 
@@ -386,5 +386,6 @@ def deduplicate(documents: DataFrame, n: int = NGRAM, similarity: float = SIMILA
     """
     sketch, named = _classified(documents, n, similarity, trees, recall, block, small, id_col, text_col)
     kept = named.select("keeper").distinct().unionByName(sketch.where("size = 0").select(F.col("row").alias("keeper")).distinct()).withColumnRenamed("keeper", "__kept")
-    keyed = documents.withColumn("__row", _row(F.col(id_col).cast("long"), F.col(text_col)))
-    return keyed.join(kept, keyed["__row"] == kept["__kept"], "left_semi").dropDuplicates(["__row"]).drop("__row")
+    row = free(documents, "__row")
+    keyed = documents.withColumn(row, _row(F.col(id_col).cast("long"), F.col(text_col)))
+    return keyed.join(kept, keyed[row] == kept["__kept"], "left_semi").dropDuplicates([row]).select(*documents.columns)

@@ -17,8 +17,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -35,6 +33,7 @@ from .textcodes import Texts, codes_of_stretches, slices
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _MOST_KNOWN = 1_000_000
+_kept: dict[str, TokenIds] = {}
 #: Kinds of bytes: between stretches, of letters (ASCII and Latin ones up to U+024F), digits, apostrophe, other ASCII, of other characters.
 _SPACE, _LETTER, _DIGIT, _QUOTE, _OTHER, _BEYOND = range(6)
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -175,10 +174,9 @@ def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def token_ids(path: str) -> TokenIds:
     """One for each Python worker: workers are used again, and what they know stays."""
-    kept = sys.modules.setdefault("_rankloom_token_ids", types.ModuleType("_rankloom_token_ids"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = TokenIds(path)
-    return kept.__dict__[path]
+    if path not in _kept:
+        _kept[path] = TokenIds(path)
+    return _kept[path]
 
 
 def differencing(lengths: np.ndarray, k: int) -> np.ndarray:

@@ -6,8 +6,9 @@ a document's matches turn them into code point offsets. The expressions are writ
 repetition, so that texts of any length match in linear time and constant stack.
 
 Bootstrapping: an entity has contexts of several families: the last word and the last two words before it, the first and
-the first two after it, the label or punctuation that it is glued to (email:, tel=, a bracket), and its own shape. Words
-are taken without the punctuation around them. Contexts that occur with at least `support` different
+the first two after it, the label or punctuation that it is glued to (email:, tel=, a bracket), and its own shape together with the word
+before or after it (a shape alone would make any number of sixteen digits a card). Words are taken without the punctuation around them, and punctuation that stands
+alone is none. Contexts that occur with at least `support` different
 known entities of a kind are patterns; every other identifier-like token (one with a digit or an at sign) in such a
 context is an instance. Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the mean
 score of its instances, an instance's score the noisy-or of its patterns' confidences; instances that score enough count
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal in what they match to the plain forms; look-behinds and \G only skip starts at which no match can begin.
@@ -49,8 +50,16 @@ SUPPORT, CONFIDENCE, SCORE, ROUNDS = 3, 0.6, 0.6, 3
 
 def _pieces(text: Column, pattern: str) -> Column:
     """For each match: the length of what lies before it, the words at both ends of that, and the match; last, what lies behind all, without a match."""
-    spaced = lambda p: F.regexp_replace(p, r"\s+", " ")
-    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.substring_index(spaced(p), " ", _WORDS).alias("head"), F.substring_index(spaced(p), " ", -_WORDS).alias("tail")))
+    # punctuation that stands alone is no word; what is glued to a match stays
+    spaced = lambda p: F.regexp_replace(p, r"\s+(?:[^\p{L}\p{N}\s]++\s+)*+", " ")
+
+    def ends(p: Column) -> Column:
+        words = F.transform(F.array(spaced(p)), lambda w: F.struct(F.length(p).alias("gap"), apart(w, F.substring_index(w, " ", _WORDS), False).alias("head"), apart(w, F.substring_index(w, " ", -_WORDS), True).alias("tail")))
+        return words[0]
+
+    # an end that isn't the whole piece isn't glued to the match beyond it
+    apart = lambda whole, end, left: F.when(F.length(end) < F.length(whole), F.concat(F.lit(" "), end) if left else F.concat(end, F.lit(" "))).otherwise(end)
+    between = F.transform(F.split(text, pattern, -1), ends)
     return F.zip_with(between, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p["gap"].alias("gap"), p["head"].alias("head"), p["tail"].alias("tail"), m.alias("match")))
 
 
@@ -89,7 +98,7 @@ def _contexts(left: Column, right: Column, match: Column) -> Column:
     return F.array_compact(F.array(
         named("l1", F.get(before, n - 1), n > 0), named("l2", F.concat_ws(" ", F.get(before, n - 2), F.get(before, n - 1)), n > 1),
         named("r1", F.get(after, F.lit(0)), m > 0), named("r2", F.concat_ws(" ", F.get(after, F.lit(0)), F.get(after, F.lit(1))), m > 1),
-        named("glued", glued, glued != ""), named("shape", shape, F.lit(True)),
+        named("glued", glued, glued != ""), named("sl", F.concat_ws(" ", F.get(before, n - 1), shape), n > 0), named("sr", F.concat_ws(" ", shape, F.get(after, F.lit(0))), m > 0),
     ))
 
 
@@ -179,9 +188,10 @@ def report(documents: DataFrame, **parameters) -> DataFrame:
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """documents with every span of the text replaced by its kind in brackets; n_chars, where there is such a column, counts anew."""
     _, spans = find(documents, id_col, text_col, **parameters)
-    hidden = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans")).withColumnRenamed("key", "__key")
+    key, found = free(documents, "__key"), free(documents, "__spans")
+    hidden = spans.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(found))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = documents.withColumn("__key", _key(F.col(id_col), text)).join(hidden, "__key", "left")
+    keyed = documents.withColumn(key, _key(F.col(id_col), text)).join(hidden, key, "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(a, s):
@@ -189,9 +199,9 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mark = F.concat(gap, F.when(s["end"] > a["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["parts"], F.array(mark)).alias("parts"))
 
-    hide = F.aggregate("__spans", start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(F.col(text_col), (a["at"] + 1).cast("int"))))
-    new = {text_col: F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(hide)}
+    hide = F.aggregate(found, start, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(F.col(text_col), (a["at"] + 1).cast("int"))))
+    new = {text_col: F.when(F.col(found).isNull(), F.col(text_col)).otherwise(hide)}
     out = keyed.withColumns(new)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)

@@ -62,9 +62,13 @@ def decide(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.encode("html", "UTF-8"))})
-    firsts = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"))
-    met = rows.join(firsts, ["payload_digest", "payload_bytes"], "left")
-    return met.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).when(F.col("page_id").isNull(), F.col("first")).alias("refers_to"))
+    # what is decided by digest goes without html, however common a payload is; html meets the decision by page
+    slim = rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_bytes", "payload_digest")
+    firsts = slim.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = slim.join(firsts, ["payload_digest", "payload_bytes"]).where("first < page_id or (page_id is null and first is not null)")
+    later = later.select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), F.col("first").alias("refers_to")).distinct()
+    met = rows.join(later, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    return met.select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
 
 
 def _segments(page_id: int | None, url: str | None, html: str, size: int, digest: str, refers: int | None, most: int) -> Iterator[str]:
@@ -180,5 +184,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Pages decided, written as archives below path (a new one unless given) and read back: page_id, payload_bytes, payload_digest, record_type, refers_to. A null html is empty, repeated rows are records of their own."""
     spark = pages.sparkSession
     return read(spark, write(decide(pages, least_bytes), path or new_path(spark, "warc"), chunk))
