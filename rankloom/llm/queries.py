@@ -174,7 +174,9 @@ a as (select r, doc_id, v, len(v) n, case when h % 10 = 0 and len(v) > 0 then (h
 p as (select *, 1 + (n - a) // (3 + g % 8) p from a),
 w as (select r, doc_id, case when a is null then v else list_concat(v[1:a], list_transform(range(n - a), lambda i: v[a + i % p + 1])) end w from p),
 grams as (select r, i, hash(w[i:i + 15]) x from (select r, w, unnest(range(1, len(w) - 14)) i from w where len(w) >= 24)),
-pairs as (select x.r, x.i, y.i - x.i q from grams x join grams y on x.r = y.r and x.x = y.x and x.i < y.i),
+lists as materialized (select r, x, list(i order by i) l from grams group by r, x having count(*) > 1),
+firsts as (select r, l, unnest(range(1, len(l))) k from lists),
+pairs as (select r, l[k] i, unnest(l[k + 1:]) - l[k] q from firsts),
 cut as (select r, q, i, i - row_number() over (partition by r, q order by i) c from pairs),
 runs as (select r, min(i) - 1 s, count(*) + 15 + q n, q from cut group by r, q, c having count(*) + 15 + q >= greatest(24, 3 * q)),
 own as (select * from runs x where not exists (select 1 from runs y where y.r = x.r and y.q < x.q and x.q % y.q = 0 and y.s <= x.s and y.s + y.n >= x.s + x.n)),
