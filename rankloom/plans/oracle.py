@@ -417,4 +417,23 @@ _perm = lambda src, cols: f"select a.record_id, a.outer_fold::bigint outer_fold,
 add("label_shuffle", _perm("(select * from predictions where model_id = 'M_MID')", "b.y_true"), *P)
 add("block_permutation", _perm("components", "b.B, b.C, a.y_true"), *C)
 add("multiset_unchanged", "select 0::bigint only_a, 0::bigint only_b from (select count(*) from components)", *C)
+# the published coefficients of the inverse of the normal distribution, as in the query's own expression
+_NA, _NB = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_NC, _ND = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+
+
+def _horner(ks: tuple[float, ...], x: str) -> str:
+    out = f"{ks[0]!r}::double"
+    for k in ks[1:]:
+        out = f"({out} * {x} + {k!r}::double)"
+    return out
+
+
+_tail, _mid = f"({_horner(_NC, 'tq')} / {_horner(_ND, 'tq')})", f"({_horner(_NA, 'ms')} * (pp - 0.5) / {_horner(_NB, 'ms')})"
+_RANKED = f"""rk as (select record_id, y_true, ((rank() over (order by y_true) + (count(*) over (partition by y_true) - 1) / 2.0 - 0.5) / count(*) over ())::double pp from predictions where model_id = 'M_MID'),
+zq as (select *, sqrt(-2 * ln(least(pp, 1 - pp))) tq, (pp - 0.5) * (pp - 0.5) ms from rk),
+zz as (select record_id, y_true, case when pp < 0.02425 then {_tail} when pp > 1 - 0.02425 then -{_tail} else {_mid} end z from zq),
+sp as (select z, y, lead(z) over (order by z) z2, lead(y) over (order by z) y2 from (select z, min(y_true) y from zz group by z)), q as (select record_id, round(z * 0.9, 9) z from zz),
+en as (select min(z) lo, max(z) hi, arg_min(y, z) ylo, arg_max(y, z) yhi from sp)"""
+add("rank_target", f"select q.record_id, {r('q.z', 'z')}, {r('case when q.z <= lo then ylo when q.z >= hi then yhi else sp.y + (sp.y2 - sp.y) * (q.z - sp.z) / (sp.z2 - sp.z) end', 'y_pred')} from q asof left join sp on q.z >= sp.z cross join en", *P, ctes=_RANKED)
 add("affine_calibration", f"select model_id, {r('s', 'slope')}, {r('my - s * mp', 'intercept')} from (select model_id, avg(y_true) my, avg(y_pred) mp, case when min(y_pred) <> max(y_pred) then covar_pop(y_true, y_pred) / var_pop(y_pred) end s from predictions group by model_id)", *P)

@@ -16,7 +16,7 @@ def canon(df):
 
 
 def test_every_query_but_fits_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"oof_gbt", "residual_boost", "centered_baseline", "ridge_oof", "block_arms", "two_expert", "rank_target"}
+    assert set(QUERIES) - set(ORACLES) == {"oof_gbt", "residual_boost", "centered_baseline", "ridge_oof", "block_arms", "two_expert"}
 
 
 @pytest.mark.parametrize("name", QUICK)
