@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import MODELS, COMPONENTS, DUCK_HEX, duck_ctes
+from .fixtures import COMPONENTS, DUCK_HEX, duck_ctes
 from .queries import DRAWS, SEED, STEP, SWAPS, _NUMERIC
 
 # Fixed values, stated here again so that an error in the operators' own shows.
@@ -96,6 +96,9 @@ add("id_set_hash", "select model_id, outer_fold::bigint outer_fold, count(*) n,
 add("normalized_keys", "select record_id, crRNA_sequence guide, replace(target_aligned_25, '-', '') target, case when record_id[1] = '7' then 'missing' else record_id[1] end \"key\", 2::bigint atoms from pairs")
 add("pivoted_predictions", "select record_id, y_true, " + ", ".join(f"max(case when model_id = '{m}' then y_pred end) {m}" for m in ("M_STRONG", "M_MID", "M_WEAK")) + " from predictions group by record_id, y_true", *P)
 add("melted_predictions", " union all ".join(f"select record_id, inner_fold::bigint inner_fold, '{m}' model_id, {m} y_pred from components" for m in COMPONENTS), "components")
+add("pairs_round_trip", "select record_id, crRNA_sequence, target_aligned_25 from pairs", "pairs")
+add("scored_table", f"select source_row, record_id, {r('label_normalized', 'activity_score')} from damaged", "damaged")
+add("first_unmapped", "select record_id from pairs where baseline_split <> 'baseline_train' order by record_id limit 10", "pairs")
 add("runs_from_folder", "select model_id, outer_fold::bigint outer_fold, record_id, y_true, y_pred from predictions where not (model_id = 'M_MID' and outer_fold >= 3)", *P)
 add("feature_scan", "select event_id, value::double \"value\" from events")
 add("split_rows", "select record_id, crRNA_sequence from pairs where baseline_split = 'baseline_validation'", "pairs")
@@ -172,6 +175,7 @@ for _n, _m in (("exact_hits", "exact_acgt"), ("iupac_hits", "iupac_compatible"))
     add(_n, f"select target, template_no::bigint template_no, template_group_id, start_0based::bigint start_0based, orientation, match_mode from hits where match_mode = '{_m}'", ctes=_MAP)
 add("mapping_rollup", "select * from rolled", ctes=_MAP)
 add("map_pairs", f"select record_id, {', '.join(_FIELDS)} from mp", ctes=_MAPPED)
+add("supplied_mapping", f"select record_id, {', '.join(_FIELDS)} from mp", ctes=_MAPPED)
 add("mapping_parity", "select c \"column\", (select count(*) from mp) n, case when c = 'mapping_status' then (select count(*) from mp where mapping_hit_count > 1) else 0 end differing from (values " + ", ".join(f"('{c}')" for c in _FIELDS) + ") v(c)", ctes=_MAPPED)
 
 # --- history
@@ -212,6 +216,7 @@ add("support_counts", f"select record_id, guide_support_n, template_support_n fr
 add("support_summary", f"select baseline_split, count(*) n, count(*) filter (where guide_support_n = 0) zero, {r('avg((guide_support_n = 0)::int)', 'zero_fraction')}, {r('quantile_cont(guide_support_n, 0.25)', 'q25')}, {r('quantile_cont(guide_support_n, 0.5)', 'median')}, {r('quantile_cont(guide_support_n, 0.75)', 'q75')}, max(guide_support_n) max from {_SUP} group by baseline_split", ctes=_MROWS)
 _DIAG = f"dg as (select te.*, an > 0 guide_seen, coalesce(mh.c, 0) tc, coalesce(mh.c, 0) > 0 template_key_seen, (coalesce(mh.s, 0) + 20 * -2.7) / (coalesce(mh.c, 0) + 20) tt from te left join mh on field = '{_T}' and k = {_key(_T)})"
 _SCORE = f"{_MROWS}, {_GH}, {_MH}, {_TEQ}, {_DIAG}"
+add("applied_state", f"""select record_id, {_te()}, {r('(coalesce(mh.s, 0) + 20 * (select avg("label") from tr)) / (coalesce(mh.c, 0) + 20)', 'template_te')} from te left join mh on field = '{_T}' and k = {_key(_T)}""", ctes=f"{_MROWS}, {_MH}, {_TEQ}")
 add("reference_diagnostics", "select record_id, guide_seen, an guide_reference_count, template_key_seen, tc template_reference_count from dg", ctes=_SCORE)
 
 _SD = f"(select q.guide group_id, \"label\" y_true, round((-2.5 - 0.1 * d)::double, 6) y_pred, mapping_hit_count > 0 mapped, (select count(*) from tr where tr.guide = q.guide) guide_support_n from qu q)"
@@ -380,8 +385,8 @@ def _boot(models: str) -> str:
     return _DRAW + f", bm as {raw(f'(select draw, model_id, y_true, y_pred, unnest(range(mult)) from predictions join ng using (group_id) join dr using (g) where model_id in ({models}))', 'draw, model_id')}"
 
 
-_two = "'M_STRONG', 'M_MID'"
-add("bootstrap_metrics", f"select draw, model_id, {', '.join(r(m, m) for m in M5)} from bm", *P, ctes=_boot(", ".join(f"'{m}'" for m in (*MODELS, "M_CONST"))))
+_two, _four = "'M_STRONG', 'M_MID'", "'M_STRONG', 'M_MID', 'M_WEAK', 'M_CONST'"
+add("bootstrap_metrics", f"select draw, model_id, {', '.join(r(m, m) for m in M5)} from bm", *P, ctes=_boot(_four))
 
 
 def _delta(a: str, b: str, extra: bool) -> str:
@@ -393,7 +398,7 @@ def _delta(a: str, b: str, extra: bool) -> str:
 
 add("bootstrap_delta", _delta("M_STRONG", "M_MID", True), *P, ctes=_boot(_two) + f", ob as {raw('predictions', 'model_id')}")
 add("perturbation_effect", _delta("M_WEAK", "M_STRONG", False), *P, ctes=_boot("'M_WEAK', 'M_STRONG'") + f", ob as {raw('predictions', 'model_id')}")
-add("bootstrap_histogram", "select least(floor((v - lo) / (hi - lo) * 10), 9)::bigint + 1 bin, count(*) n from (select round(RMSE, 6) v, min(round(RMSE, 6)) over () lo, max(round(RMSE, 6)) over () hi from bm where model_id = 'M_MID') group by all", *P, ctes=_boot(_two))
+add("bootstrap_histogram", "select model_id, metric, least(floor(case when hi > lo then (v - lo) / (hi - lo) else 0 end * 10), 9)::bigint + 1 bin, count(*) n from (select *, min(v) over (partition by model_id, metric) lo, max(v) over (partition by model_id, metric) hi from (" + " union all ".join(f"select model_id, '{m}' metric, {r(m, 'v')} from bm" for m in M5) + ") where v is not null) group by all", *P, ctes=_boot(_four))
 _SW = f"""wd as (select record_id, group_id, y_true, max(case when model_id = 'M_STRONG' then y_pred end) a, max(case when model_id = 'M_MID' then y_pred end) b from predictions group by all),
 sw as (select draw, y_true, a, b, draw >= 0 and {_hash(repr(SEED), "'swap'", 'draw::varchar', 'group_id')} % 2 = 1 f from wd, range(-1, {SWAPS}) t(draw)),
 cs as {raw("(select draw, 'a' side, y_true, case when f then b else a end y_pred from sw union all select draw, 'b', y_true, case when f then a else b end from sw)", 'draw, side')},

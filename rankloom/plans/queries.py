@@ -235,6 +235,47 @@ def label_free(spark, d):
     return quality.label_leak_guard(quality.drop_reserved(quality.drop_labels(p)))
 
 
+@query
+def pairs_round_trip(spark, d):
+    """Pairs written as a delimited table and read again, as text."""
+    from ..functions.checkpoints import new_path
+    from ..sources.tables import read_pairs, write_scores
+
+    write_scores(_fx(spark, d, "pairs").select("record_id", "crRNA_sequence", "target_aligned_25"), path := new_path(spark, "pairs"), "tsv")
+    return read_pairs(spark, path, "tsv").select("record_id", "crRNA_sequence", "target_aligned_25")
+
+
+@query
+def applied_state(spark, d):
+    """Rows without labels, encoded by a state that was saved from the training rows."""
+    from ..functions.checkpoints import new_path
+
+    rows = _rows(spark, d)
+    history.save_state(path := new_path(spark, "state"), _train(rows), ["aligned_difference_count"])
+    out = history.apply_state(path, quality.drop_labels(rows.where("baseline_split <> 'baseline_train'")).drop("label"), ["aligned_difference_count"])
+    return out.select("record_id", *_TE, F.col("mapping_te_mapping_candidate_template_nos").alias("template_te"))
+
+
+@query
+def supplied_mapping(spark, d):
+    """Mapping fields that pairs bring along stay as they are."""
+    return mapping.map_pairs(_mapped(spark, d), _fx(spark, d, "templates")).select("record_id", *mapping.FIELDS)
+
+
+@query
+def scored_table(spark, d):
+    """Input columns first, then results, of pairs that must all be mapped."""
+    p = _fx(spark, d, "damaged").withColumns({"mapping_hit_count": F.lit(1), "activity_score": F.col("label_normalized")})
+    return score.score_table(score.require_mapped(p), ["source_row", "record_id"], ["record_id", "activity_score"])
+
+
+@query
+def first_unmapped(spark, d):
+    """The first ten ids that a policy of refusing names."""
+    p = _fx(spark, d, "pairs").withColumn("mapping_hit_count", F.when(F.col("baseline_split") == "baseline_train", 1).otherwise(0))
+    return spark.createDataFrame([(x,) for x in score.unmapped_ids(p)], "record_id string")
+
+
 @query
 def clean_templates(spark, d):
     from ..sources.tables import clean_templates as clean
@@ -826,8 +867,9 @@ def perturbation_effect(spark, d):
 
 @query
 def bootstrap_histogram(spark, d):
-    drawn = resample.bootstrap_metrics(_two(spark, d), DRAWS, int(SEED)).where("model_id = 'M_MID'").select(F.round("RMSE", 6).alias("v"))
-    return resample.histogram(drawn, "v", 10)
+    """All metrics of all models."""
+    drawn = resample.bootstrap_metrics(cut(_fx(spark, d, "predictions")), DRAWS, int(SEED)).unpivot(["draw", "model_id"], list(metrics.METRICS), "metric", "value")
+    return resample.histogram(cut(drawn.select("model_id", "metric", r6("value").alias("v"))), "v", 10, ("model_id", "metric"))
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
