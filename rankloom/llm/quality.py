@@ -69,7 +69,7 @@ def statistics(texts: Texts) -> np.ndarray:
     begins = np.unique(np.concatenate([np.flatnonzero(texts.data == 10), texts.offsets[:-1][size > 0]]))
     line_of = of[begins]
     lines = np.bincount(line_of, minlength=n)
-    sums = np.concatenate([[0], np.cumsum(mix(w.codes), dtype=np.uint64)]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.codes), dtype=np.uint64)])
     at = np.searchsorted(w.start, np.append(begins, len(texts.data)))
     different, _ = _distinct(sums[at[1:]] - sums[at[:-1]], line_of, n)
     widest = np.zeros(n, np.int64)
