@@ -126,3 +126,17 @@ def test_unmapped_pairs_and_order_of_results(spark):
     assert score.require_mapped(df.where("mapping_hit_count = 1")).count() == 15
     table = score.score_table(spark.createDataFrame([(2, "b", 1.0), (1, "a", 2.0)], "source_row int, record_id string, score double"), ["record_id"], ["record_id", "score"])
     assert table.columns == ["record_id", "score"] and [r[0] for r in table.collect()] == ["a", "b"]
+
+
+def test_draws_in_tasks_of_all_models_of_one_and_by_windows(spark):
+    rng = random.Random(8)
+    rows = [(m, f"r{i}", f"g{i % 9}", float(i % 5), float(rng.randrange(6)) if m != "flat" else 1.0) for m in ("a", "b", "flat") for i in range(40)]
+    df = spark.createDataFrame(rows, "model_id string, record_id string, group_id string, y_true double, y_pred double").cache()
+    forms = [{(r["draw"], r["model_id"]): r for r in resample.bootstrap_metrics(df, 30, 5, most=m).collect()} for m in (1000, 50, 10)]
+    assert len(forms[0]) == 90 and all(f.keys() == forms[0].keys() for f in forms)
+    for k, r in forms[0].items():
+        for f in forms[1:]:
+            assert all((r[c] is None and f[k][c] is None) or abs(r[c] - f[k][c]) < 1e-9 for c in metrics.METRICS)
+        assert k[1] != "flat" or (r["SCC"] is None and r["RMSE"] is not None)
+    empty = df.where("false")
+    assert resample.bootstrap_metrics(empty, 5, 1).count() == 0
