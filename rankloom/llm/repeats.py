@@ -129,8 +129,28 @@ def _text_keys(texts: Texts) -> np.ndarray:
 _MARK, _SAME = b"mark", b"same"
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as a count, then all their first bytes, all their second ones and so on, each compressed for itself: high bytes, mostly equal, take next to nothing."""
+    out = [(x.size).to_bytes(8, "little")]
+    for plane in np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T:
+        same = len(plane) > 0 and bool((plane == plane[0]).all())
+        held = plane[:1].tobytes() if same else pa.compress(plane.tobytes(), codec="zstd", asbytes=True)  # no compressed form is a single byte
+        out += [len(held).to_bytes(4, "little"), held]
+    return b"".join(out)
+
+
+def _unsqueeze(x: bytes, kind: type) -> np.ndarray:
+    many, at = int.from_bytes(x[:8], "little"), 8
+    out = np.empty((many, np.dtype(kind).itemsize), np.uint8)
+    for j in range(out.shape[1]):
+        held = x[at + 4 : at + 4 + int.from_bytes(x[at : at + 4], "little")]
+        out[:, j] = held[0] if len(held) == 1 else np.frombuffer(pa.decompress(held, many, "zstd", asbytes=True), np.uint8)
+        at += 4 + len(held)
+    return out.view(kind).ravel()
+
+
 def _row(bucket: int, *parts: np.ndarray, mark: bytes = b"") -> tuple:
-    return (bucket, *(p.tobytes() for p in parts), *([b""] * (4 - len(parts))), *([mark] if len(parts) < 5 else []))
+    return (bucket, *(_squeeze(p) for p in parts), *([b""] * (4 - len(parts))), *([mark] if len(parts) < 5 else []))
 
 
 def _marks(t: pa.Table) -> tuple[list[tuple], pa.Table]:
@@ -159,6 +179,11 @@ def _buckets(codes: np.ndarray, n: int) -> np.ndarray:
     return ((codes >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
 
 
+def _home(number: np.ndarray) -> np.ndarray:
+    """The bucket of a text, which the upper half of its number tells."""
+    return (number >> np.uint64(32)).astype(np.int32)
+
+
 def _row_keys(part: Texts, doc: np.ndarray, running: np.ndarray) -> np.ndarray:
     return mix(_hashes(running, part.offsets[:-1], part.offsets[1:]) ^ mix(doc.view(np.uint64)))
 
@@ -210,17 +235,17 @@ def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
 
 
-def _places(keys: np.ndarray, row_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(keys: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places, in sorted keys, of what belongs to each text, and those texts."""
-    lo, hi = np.searchsorted(keys, row_key, "left"), np.searchsorted(keys, row_key, "right")
-    return _ranges(lo, hi - lo), np.repeat(np.arange(len(row_key)), hi - lo)
+    lo, hi = np.searchsorted(keys, number, "left"), np.searchsorted(keys, number, "right")
+    return _ranges(lo, hi - lo), np.repeat(np.arange(len(number)), hi - lo)
 
 
 def _find_anchors(buckets: int):
     """Of a bucket of texts, with their dead chunks: anchors of live windows, packed by gram, and what dead chunks cover."""
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
-        dead = [s["key"].to_numpy().view(np.uint64), s["start"].to_numpy().astype(np.int64), s["stop"].to_numpy().astype(np.int64)]
+        dead = [_numbers(t, s["key"].to_numpy().view(np.uint64)), s["start"].to_numpy().astype(np.int64), s["stop"].to_numpy().astype(np.int64)]
         order = np.lexsort((dead[1], dead[0]))
         dead_key, first, stop = (x[order] for x in dead)
         new = np.ones(len(dead_key), bool)  # of a repeated row's chunks, one
@@ -231,22 +256,22 @@ def _find_anchors(buckets: int):
         at = np.flatnonzero(begins)
         last = np.append(at[1:], len(dead_key))[: len(at)] - 1
         dead_key, first, stop = dead_key[at], first[at], stop[last]
-        rows = list(_split(_buckets(dead_key, buckets), dead_key, first.astype(np.uint32), (stop + LENGTH - 1).astype(np.uint32), mark=_MARK))
+        rows = list(_split(_home(dead_key), dead_key, first.astype(np.uint32), (stop + LENGTH - 1).astype(np.uint32), mark=_MARK))
         held, done = [], set()
-        for part, row_key, _, known in _texts_of(t):
+        for part, number, _, known in _texts_of(t):
             running, live = _running(part.data), window_starts(part)
-            at, text = _places(dead_key, row_key)
+            at, text = _places(dead_key, number)
             change = np.zeros(len(part.data) + 1, np.int8)
             np.add.at(change, first[at] + part.offsets[text], 1)
             np.add.at(change, stop[at] + part.offsets[text], -1)
             live &= np.cumsum(change[:-1], dtype=np.int8) == 0
-            for i, k in enumerate(row_key.tolist()):  # repeated rows send their anchors once
+            for i, k in enumerate(number.tolist()):  # repeated rows send their anchors once
                 if k in done or not known[i]:
                     live[part.offsets[i] : part.offsets[i + 1]] = False
                 done.add(k)
             p, h = anchors(part, running, live)
             text = np.searchsorted(part.offsets, p, "right") - 1
-            held.append((h, row_key[text], (p - part.offsets[text]).astype(np.uint32)))
+            held.append((h, number[text], (p - part.offsets[text]).astype(np.uint32)))
         if not held:
             return pa.Table.from_batches([_batch(rows)])
         h, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -259,11 +284,11 @@ def _find_anchors(buckets: int):
 def _columns(t: pa.Table, *kinds: type) -> list[np.ndarray]:
     out = []
     for name, kind in zip("abcde", kinds, strict=False):
-        out.append(np.frombuffer(b"".join(t[name].to_pylist()), kind))
+        out.append(np.concatenate([np.zeros(0, kind), *(_unsqueeze(x, kind) for x in t[name].to_pylist())]))
     return out
 
 
-def _shared(buckets: int, many: int):
+def _shared(many: int):
     """Of a bucket of anchors: those of grams that two texts have, with a bit where many have them, packed by the text's bucket."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -282,7 +307,7 @@ def _shared(buckets: int, many: int):
         hot = np.bincount(group[order][other], minlength=len(mixed)) > many
         pos = pos | np.where(hot[group], _HOT, np.uint32(0))
         keep = mixed[group]
-        rows += _split(_buckets(key[keep], buckets), key[keep], pos[keep])
+        rows += _split(_home(key[keep]), key[keep], pos[keep])
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -300,21 +325,29 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(ok), order[at[ok]]
 
 
+def _numbers(t: pa.Table, wanted: np.ndarray) -> np.ndarray:
+    """Numbers of texts of a bucket, from their row keys: the bucket above, below it a key's place among the bucket's different ones, which is the same in every stage."""
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d.as_py(), np.uint64) for d in t["d"])]))
+    return np.searchsorted(keys, wanted).astype(np.uint64) | np.uint64((t["bucket"][0].as_py() if len(t) else 0) << 32)
+
+
 def _texts_of(t: pa.Table) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a bucket of packed documents, with row keys, ids and which ids aren't null."""
-    for a, b, c, d, e in zip(*(t[x] for x in "abcde"), strict=True):
+    """Slices of a bucket of packed documents, with numbers of texts, equal in repeated rows, ids and which ids aren't null."""
+    keys = [np.frombuffer(d.as_py(), np.uint64) for d in t["d"]]
+    numbers = np.split(_numbers(t, np.concatenate([np.zeros(0, np.uint64), *keys])), np.cumsum([len(k) for k in keys])[:-1])
+    for a, b, c, number, e in zip(*(t[x] for x in "abc"), numbers if keys else [], t["e"], strict=True):
         size = np.frombuffer(c.as_py(), np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
         data = np.frombuffer(pa.decompress(e.as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
         whole = Texts(0, len(size), data, offsets)
-        doc, known, key = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), bool), np.frombuffer(d.as_py(), np.uint64)
+        doc, known = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), bool)
         for part in whole.pieces():
             mine = slice(part.lo, part.hi)
-            yield part, key[mine], doc[mine], known[mine]
+            yield part, number[mine], doc[mine], known[mine]
 
 
 def _entries(buckets: int):
-    """Cores and surroundings of shared anchors, packed by core; a: cores, b: row keys, c: ids, d: anchors and halves, e: surroundings.
+    """Cores and surroundings of shared anchors, packed by core; a: cores, b: numbers of texts, c: ids, d: anchors and halves, e: surroundings.
 
     Where a task has the same core and surroundings again, in a later document, it sends what that covers instead; in the same document, that the windows are equal.
     """
@@ -327,15 +360,15 @@ def _entries(buckets: int):
         key, pos = key[order], pos[order]
         made: list[tuple[np.ndarray, ...]] = []
         done: set[int] = set()
-        for part, row_key, doc, known in _texts_of(t):
+        for part, number, doc, known in _texts_of(t):
             data = part.data
             running = _running(data)
-            fresh = np.array([k not in done for k in row_key.tolist()], bool) & known
-            first = np.zeros(len(row_key), bool)
-            first[np.unique(row_key, return_index=True)[1]] = True
+            fresh = np.array([k not in done for k in number.tolist()], bool) & known
+            first = np.zeros(len(number), bool)
+            first[np.unique(number, return_index=True)[1]] = True
             fresh &= first  # repeated rows are entered once
-            done.update(row_key[fresh].tolist())
-            at, text = _places(key, row_key)
+            done.update(number[fresh].tolist())
+            at, text = _places(key, number)
             at, text = at[fresh[text]], text[fresh[text]]
             hot = (pos[at] & int(_HOT)) > 0
             if hot.any():
@@ -344,7 +377,7 @@ def _entries(buckets: int):
                 w = np.flatnonzero(is_hot[anchors_of_windows(running)] & window_starts(part)[: len(data) - LENGTH + 1])
                 tx = np.searchsorted(part.offsets, w, "right") - 1
                 w, tx = w[fresh[tx]], tx[fresh[tx]]
-                made.append((_hashes(running, w, w + LENGTH) ^ np.uint64(2), row_key[tx], doc[tx], ((w - part.offsets[tx]) * 2).astype(np.uint32), np.zeros((len(w), 32), np.uint8)))
+                made.append((_hashes(running, w, w + LENGTH) ^ np.uint64(2), number[tx], doc[tx], ((w - part.offsets[tx]) * 2).astype(np.uint32), np.zeros((len(w), 32), np.uint8)))
                 at, text = at[~hot], text[~hot]
             begin, end = part.offsets[text], part.offsets[text + 1]
             a = begin + pos[at]
@@ -366,7 +399,7 @@ def _entries(buckets: int):
                     around[inside, 15 + j] = data[r[inside]]
                 around[:, 30], around[:, 31] = least[ok], most[ok]
                 place = ((x - part.offsets[tx]) * 2 + half).astype(np.uint32)
-                made.append((core, row_key[tx], doc[tx], place, around))
+                made.append((core, number[tx], doc[tx], place, around))
         if not made:
             return pa.Table.from_batches([_batch(rows)])
         core, key, doc, place, around = (np.concatenate(x) for x in zip(*made, strict=True))
@@ -380,27 +413,27 @@ def _entries(buckets: int):
         later = np.zeros(len(code), bool)
         later[order] = doc[order] > doc[first]
         low, high = around[:, 30].astype(np.int64), around[:, 31].astype(np.int64)
-        rows += list(_covers(key[later], place[later], low[later], high[later], buckets))
+        rows += list(_covers(key[later], place[later], low[later], high[later]))
         own = np.ones(len(code), bool)  # the first place of each text
         own[1:] = head[1:] | (key[order][1:] != key[order][:-1])
         leader = order[np.flatnonzero(own)][np.cumsum(own) - 1]
         again = ~own & ~later[order]
         f, l = order[again], leader[again]
         start = lambda i: ((place[i] // 2).astype(np.int64) - np.where(place[i] % 2 == 0, _HALVES[0][0], _HALVES[1][0]) - high[i]).astype(np.uint32)
-        rows += _split(_buckets(key[f], buckets), key[f], start(f), start(l), (high[f] - low[f] + 1).astype(np.uint8), mark=_SAME)
+        rows += _split(_home(key[f]), key[f], start(f), start(l), (high[f] - low[f] + 1).astype(np.uint8), mark=_SAME)
         send = ~later
         send[f] = False
-        rows += [(*r[:5], pa.compress(r[5], codec="zstd", asbytes=True)) for r in _split(_buckets(core[send], buckets), core[send], key[send], doc[send], place[send], around[send])]
+        rows += _split(_buckets(core[send], buckets), core[send], key[send], doc[send], place[send], around[send])
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _covers(key: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _covers(key: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
     """Packed rows of the stretches that the windows of offsets low to high at anchors cover, by text."""
     o1 = np.where(place % 2 == 0, _HALVES[0][0], _HALVES[1][0])
     a = (place // 2).astype(np.int64) - o1
-    return _split(_buckets(key, buckets), key, (a - high).astype(np.uint32), (a - low + LENGTH).astype(np.uint32), mark=_MARK)
+    return _split(_home(key), key, (a - high).astype(np.uint32), (a - low + LENGTH).astype(np.uint32), mark=_MARK)
 
 
 def first_windows(core: np.ndarray, left: np.ndarray, right: np.ndarray, w: int, least: np.ndarray, most: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -512,23 +545,17 @@ def _sorted_windows(core, left, right, w, least, most, doc, tops, lane, low, hig
         np.maximum.at(high, tops[e[hit]], o[hit])
 
 
-def _covered(buckets: int):
+def _covered(t: pa.Table) -> pa.Table:
     """Of a bucket of cores: stretches of texts that earlier documents have, packed by the text's bucket."""
-
-    def run(t: pa.Table) -> pa.Table:
-        rows, t = _marks(t)
-        core, key, doc, place = _columns(t, np.uint64, np.uint64, np.int64, np.uint32)
-        sizes = [4 * len(x) for x in t["a"].to_pylist()]  # 32 bytes for each core of 8
-        around = [pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(t["e"].to_pylist(), sizes, strict=True)]
-        around = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 32)
-        for half, (o1, o2) in enumerate(_HALVES):
-            r = np.flatnonzero(place % 2 == half)
-            low, high = first_windows(core[r], around[r, :15], around[r, 15:30], o2 - o1, around[r, 30].astype(np.int64), around[r, 31].astype(np.int64), doc[r])
-            hit = high >= 0
-            rows += _covers(key[r][hit], place[r][hit], low[hit], high[hit], buckets)
-        return pa.Table.from_batches([_batch(rows)])
-
-    return run
+    rows, t = _marks(t)
+    core, key, doc, place, around = _columns(t, np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+    around = around.reshape(-1, 32)
+    for half, (o1, o2) in enumerate(_HALVES):
+        r = np.flatnonzero(place % 2 == half)
+        low, high = first_windows(core[r], around[r, :15], around[r, 15:30], o2 - o1, around[r, 30].astype(np.int64), around[r, 31].astype(np.int64), doc[r])
+        hit = high >= 0
+        rows += _covers(key[r][hit], place[r][hit], low[hit], high[hit])
+    return pa.Table.from_batches([_batch(rows)])
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"
@@ -544,9 +571,9 @@ def _results(t: pa.Table, s: pa.Table) -> pa.Table:
     order = np.argsort(twin_key, kind="stable")
     twin_key, (there, here, run) = twin_key[order], (x[order].astype(np.int64) for x in twin)
     rows = []
-    for part, row_key, doc, known in _texts_of(t):
-        twin_lo, twin_hi = np.searchsorted(twin_key, row_key, "left"), np.searchsorted(twin_key, row_key, "right")
-        lo, hi = np.searchsorted(key, row_key, "left"), np.searchsorted(key, row_key, "right")
+    for part, number, doc, known in _texts_of(t):
+        twin_lo, twin_hi = np.searchsorted(twin_key, number, "left"), np.searchsorted(twin_key, number, "right")
+        lo, hi = np.searchsorted(key, number, "left"), np.searchsorted(key, number, "right")
         for i in range(part.hi - part.lo):
             data = part.data[part.offsets[i] : part.offsets[i + 1]]
             a, b = start[lo[i] : hi[i]], end[lo[i] : hi[i]]
@@ -598,7 +625,7 @@ def removed_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     dead = dead_chunks(docs).withColumn("bucket", (F.shiftrightunsigned("key", 33) % buckets).cast("int"))
     texts = group(docs.mapInArrow(_pack_texts(buckets), _PACKED))
     found = texts.cogroup(group(dead)).applyInArrow(_find_anchors(buckets), _PACKED)
-    shared = group(found).applyInArrow(_shared(buckets, hot), _PACKED)
+    shared = group(found).applyInArrow(_shared(hot), _PACKED)
     entries = texts.cogroup(group(shared)).applyInArrow(_entries(buckets), _PACKED)
-    spans = group(entries).applyInArrow(_covered(buckets), _PACKED)
+    spans = group(entries).applyInArrow(_covered, _PACKED)
     return texts.cogroup(group(spans)).applyInArrow(_results, _RESULT)
