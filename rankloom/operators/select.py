@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut, ship
-from .arrays import ARRAY_ROWS, correlation_of, ranks, ties
+from .arrays import ARRAY_ROWS, counted, packed, places, unpacked, value_ranks
 from .metrics import average_rank, cells_for, correlation, error_metrics, five_metrics
 from .quality import max_abs_diff
 
@@ -39,21 +39,40 @@ def simplex_grid(spark: SparkSession, n: int, step: float, extras: tuple[tuple[f
     return grid.groupBy(*[F.round(x, 12).alias(f"__{x}") for x in names]).agg(*[F.min(x).alias(x) for x in names]).select(*names)
 
 
-def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
-    """Metrics of a block of candidates on one fold; labels are ranked once, predictions by one sorting each."""
-
-    def scored(part: pa.Table) -> pa.Table:
-        y, c = part["__y"].to_numpy(), [part[f"__c{k}"].to_numpy() for k in range(grid.shape[1])]
-        one, block = np.ones(len(y)), part["__block"][0].as_py()
-        ry, flat, spread = ranks(ties(y), one), y.min() == y.max(), ((y - y.mean()) ** 2).mean()
-        out = []
+def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    """Metrics of a block of candidates on one fold of packed columns; labels are ranked once, predictions by one sorting each."""
+
+    def scored(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        y, *c = (unpacked(part[n], np.float64) for n in ("__y", *(f"__c{k}" for k in range(grid.shape[1]))))
+        n, block = len(y), key[1].as_py()
+        del part
+        (iy,), many = places(y)
+        held = counted(iy, many)
+        ry = value_ranks(held) - (n + 1) / 2.0  # about their mean, whatever the ties
+        spread_y, ry = float((held * ry * ry).sum()), ry[iy]
+        del iy, held
+        flat, dy = many < 2, y - y.mean()
+        yy, out = float(dy @ dy), []
         for i in range(block, len(grid), blocks):
-            p = np.round(reduce(lambda a, b: a + b, (w * x for w, x in zip(grid[i], c, strict=True))), 9)
-            e = p - y
-            out.append((i, len(y), correlation_of(ry, ranks(ties(p), one), one), correlation_of(y, p, one), float(np.sqrt((e * e).mean())), float(np.abs(e).mean()), None if flat else float(1 - (e * e).mean() / spread)))
+            p = grid[i][0] * c[0]
+            for w, x in zip(grid[i][1:], c[1:], strict=True):
+                p += w * x
+            np.round(p, 9, out=p)
+            order = np.argsort(p)
+            p = p[order]
+            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            both = np.add.reduceat(ry[order], first)
+            times = np.diff(np.append(first, n)).astype(float)
+            rp = value_ranks(times) - (n + 1) / 2.0
+            e, dp = p - y[order], p - p.mean()
+            none = flat or len(first) < 2
+            scc = None if none else float(both @ rp) / float(np.sqrt(spread_y * (times * rp * rp).sum()))
+            pcc = None if none else float(dp @ dy[order]) / float(np.sqrt((dp @ dp) * yy))
+            ee = float(e @ e) / n
+            out.append((i, n, scc, pcc, ee**0.5, float(np.abs(e).mean()), None if flat else 1 - ee / (yy / n)))
         names = ["__w", "n", "SCC", "PCC", "RMSE", "MAE", "R2"]
         columns = {n: pa.array([r[k] for r in out], pa.int64() if k < 2 else pa.float64()) for k, n in enumerate(names)}
-        return pa.table({"__fold": pa.array([part["__fold"][0].as_py()] * len(out), kind)} | columns)
+        return pa.table({"__fold": pa.array([key[0].as_py()] * len(out), kind)} | columns)
 
     return scored
 
@@ -61,7 +80,7 @@ def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[
 def score_grid(rows: DataFrame, grid: DataFrame, components: list[str], fold: str = "inner_fold", y: str = "y_true", most: int = ARRAY_ROWS) -> DataFrame:
     """Metrics of every candidate on every fold; labels and components must be numbers.
 
-    A fold of at most `most` rows goes to tasks as arrays, each with its own share of the candidates, so rows are shuffled once a task and not once a candidate. A larger
+    A fold of at most `most` rows goes to tasks as arrays, each with its own share of the candidates, so rows are shuffled once a task, as packed columns, and not once a candidate. A larger
     fold is ranked by windows over rows and candidates, in cells. The grid is a parameter: its candidates are sent with the tasks.
     """
     spark = rows.sparkSession
@@ -74,7 +93,9 @@ def score_grid(rows: DataFrame, grid: DataFrame, components: list[str], fold: st
     candidates = np.array(sorted(tuple(r) for r in grid.select(*names).collect()), float).reshape(-1, len(components))
     blocks = max(1, min(-(-len(candidates) // 8), -(-2 * spark.sparkContext.defaultParallelism // max(sizes["folds"], 1))))
     kind = base.schema[fold].dataType
-    made = base.select(F.col(fold).alias("__fold"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"), F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__c{k}") for k, c in enumerate(components)])
+    made = base.select(F.col(fold).alias("__fold"), F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__c{k}") for k, c in enumerate(components)])
+    made = made.mapInArrow(packed, ", ".join([f"__fold {kind.simpleString()}", *(f"{c} binary" for c in made.columns[1:])]))
+    made = made.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")).repartition(4 * blocks * max(sizes["folds"], 1), "__fold", "__block")
     arrow = base.select(fold).limit(0).toArrow().schema.field(0).type
     got = made.groupBy("__fold", "__block").applyInArrow(_block_scores(candidates, blocks, arrow), f"__fold {kind.simpleString()}, __w long, n long, SCC double, PCC double, RMSE double, MAE double, R2 double")
     known = spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(candidates)], ", ".join(["__w long", *(f"{x} double" for x in names)]))
