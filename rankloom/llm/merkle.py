@@ -62,11 +62,11 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     dealt = rows.select(*columns).repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     own = cut(dealt.mapInArrow(_number, f"{fields}, part int, nth long"))
-    counts = own.groupBy(F.col(group).alias("g"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
-    by = Window.partitionBy("g")
-    counts = counts.select("g", "p", (F.sum("n").over(by.orderBy("p")) - F.col("n")).alias("before"), F.sum("n").over(by).alias("total"))
-    met = own.join(counts, F.col("g").eqNullSafe(F.col(group)) & (F.col("p") == F.col("part")))
-    return met.withColumn("place", F.col("before") + F.col("nth")).drop("g", "p", "part", "nth", "before")
+    counts = own.groupBy(F.col(group).alias("__g"), F.col("part").alias("__p")).agg(F.count("*").alias("n"))
+    by = Window.partitionBy("__g")
+    counts = counts.select("__g", "__p", (F.sum("n").over(by.orderBy("__p")) - F.col("n")).alias("before"), F.sum("n").over(by).alias("total"))
+    met = own.join(counts, F.col("__g").eqNullSafe(F.col(group)) & (F.col("__p") == F.col("part")))
+    return met.withColumn("place", F.col("before") + F.col("nth")).drop("__g", "__p", "part", "nth", "before")
 
 
 def parent(nodes: list[str]) -> str:
