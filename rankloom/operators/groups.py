@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, stored
 from ..functions.sequences import template_atoms
 
 ROLES = ("outer_fit", "outer_query")
@@ -41,10 +41,10 @@ def _grouped(df: DataFrame, protocols: dict[str, bool], target: str, guide: str,
     Nodes are numbered once, and edges are pairs of numbers that stand apart by protocol, so no text is in the loop. A component is named by its smallest name.
     """
     t = F.concat(F.lit("t:"), F.col(target))
-    by_template = df.select(t.alias("a"), F.explode_outer(template_atoms(templates)).alias("n")).select("a", F.coalesce(F.concat(F.lit("m:"), F.col("n").cast("string")), "a").alias("b"), F.lit(False).alias("by_guide"))
-    named = cut(by_template.unionByName(df.select(t.alias("a"), F.concat(F.lit("g:"), F.col(guide)).alias("b"), F.lit(True).alias("by_guide"))).where("a is not null").select("a", F.coalesce("b", "a").alias("b"), "by_guide").distinct())
+    by_template = df.select(target, templates).distinct().select(t.alias("a"), F.explode_outer(template_atoms(templates)).alias("n")).select("a", F.coalesce(F.concat(F.lit("m:"), F.col("n").cast("string")), "a").alias("b"), F.lit(False).alias("by_guide"))
+    named = stored(by_template.unionByName(df.select(t.alias("a"), F.concat(F.lit("g:"), F.col(guide)).alias("b"), F.lit(True).alias("by_guide"))).where("a is not null").select("a", F.coalesce("b", "a").alias("b"), "by_guide").distinct())
     names = named.select(F.col("a").alias("name")).unionByName(named.select(F.col("b").alias("name"))).distinct()
-    numbers = cut(names.select("name", F.monotonically_increasing_id().alias("node")))
+    numbers = stored(names.select("name", F.monotonically_increasing_id().alias("node")))
     ends = named.join(numbers.select(F.col("name").alias("a"), F.col("node").alias("x")), "a").join(numbers.select(F.col("name").alias("b"), F.col("node").alias("y")), "b").select("x", "y", "by_guide")
     k = len(protocols)
     tagged = None
@@ -52,7 +52,7 @@ def _grouped(df: DataFrame, protocols: dict[str, bool], target: str, guide: str,
         part = (ends if both else ends.where("not by_guide")).select((F.col("x") * k + i).alias("a"), (F.col("y") * k + i).alias("b"))
         tagged = part if tagged is None else tagged.unionByName(part)
     of = components(tagged.distinct()).select(F.expr(f"node div {k}").alias("node"), (F.col("node") % k).cast("int").alias("i"), "component")
-    of = cut(of.join(numbers, "node").select("i", "component", "name"))
+    of = stored(of.join(numbers, "node").select("i", "component", "name"))
     first = of.groupBy("component").agg(F.min("name").alias("group_id"))
     protocol = F.array(*map(F.lit, protocols))
     return of.where(F.col("name").startswith("t:")).join(first, "component").select(F.get(protocol, F.col("i")).alias("protocol_id"), F.col("name").alias("t"), "group_id")
