@@ -209,8 +209,9 @@ def context_audit(cohort: DataFrame, contexts: DataFrame) -> DataFrame:
 def protocol_audit(cohort: DataFrame, contexts: DataFrame, assignments: DataFrame) -> DataFrame:
     """Per protocol and context status: records of the cohort, their groups and folds. assignments: record_id, protocol_id, group_id, fold."""
     status = cohort.select("record_id").join(contexts.select("record_id", "context_status"), "record_id", "left")
-    j = assignments.join(status, "record_id")
-    return j.groupBy("protocol_id", F.coalesce("context_status", F.lit("no_context")).alias("context_status")).agg(F.count("*").alias("records"), F.count_distinct("group_id").alias("groups"), F.count_distinct("fold").alias("folds"))
+    j = assignments.join(status, "record_id").withColumn("context_status", F.coalesce("context_status", F.lit("no_context")))
+    each = j.groupBy("protocol_id", "context_status", "group_id", "fold").agg(F.count("*").alias("n"))  # what is counted apart are groups, not their records
+    return each.groupBy("protocol_id", "context_status").agg(F.sum("n").alias("records"), F.count_distinct("group_id").alias("groups"), F.count_distinct("fold").alias("folds"))
 
 
 def data_audit(df: DataFrame, target: str = "target", guide: str = "guide", label: str = "label_normalized") -> DataFrame:

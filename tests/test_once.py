@@ -5,7 +5,7 @@ import random
 from conftest import SF
 from pyspark.sql import functions as F
 
-from rankloom.operators import features, mapping
+from rankloom.operators import features, groups, mapping
 from rankloom.plans import queries
 
 
@@ -51,3 +51,18 @@ def test_alignment(spark):
 
     for r in pairs.select("g", "t", features.alignment(F.col("g"), F.col("t")).alias("e")).collect():
         assert r["e"] == "".join(event(r["g"], r["t"], i) for i in range(25)), r
+
+
+def test_audit_counts_groups_not_records(spark):
+    rng = random.Random(10)
+    made = [(i, p, f"{p}{rng.randrange(9)}" if i % 11 else None, rng.randrange(3)) for i in range(80) for p in "ab"]
+    contexts = spark.createDataFrame([(i, rng.choice(["ok", "missing_context"])) for i in range(60)], "record_id int, context_status string")
+    assigned = spark.createDataFrame(made, "record_id int, protocol_id string, group_id string, fold int")
+    out = groups.protocol_audit(spark.range(70).select(F.col("id").cast("int").alias("record_id")), contexts, assigned)
+    text = plan(out)
+    assert "Aggregate" in text[text.index("Expand") : text.index("Join")]
+    status, want = {r[0]: r[1] for r in contexts.collect()}, {}
+    for i, p, g, f in made:
+        if i < 70:
+            want.setdefault((p, status.get(i, "no_context")), []).append((g, f))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in out.collect()} == {k: (len(v), len({g for g, _ in v} - {None}), len({f for _, f in v})) for k, v in want.items()}
