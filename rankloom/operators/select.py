@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut, ship
-from .arrays import ARRAY_ROWS, counted, packed, places, unpacked, value_ranks
-from .metrics import average_rank, cells_for, correlation, error_metrics, five_metrics
+from .arrays import _CHUNK, ARRAY_ROWS, counted, packed, places, unpacked, value_ranks
+from .metrics import average_rank, cells_for, correlation, error_metrics, finite
 from .quality import max_abs_diff
 
 TOLERANCE = 1e-12
@@ -39,8 +39,24 @@ def simplex_grid(spark: SparkSession, n: int, step: float, extras: tuple[tuple[f
     return grid.groupBy(*[F.round(x, 12).alias(f"__{x}") for x in names]).agg(*[F.min(x).alias(x) for x in names]).select(*names)
 
 
+def _rank_sums(key: np.ndarray, bits: int, ry: np.ndarray) -> tuple[float, float, int]:
+    """Of a sorted array of (value, label's place) pairs, the place in the lowest bits: sum of products of the values' ranks with ry, sum of their squares, and how many values there are."""
+    n, lo, cross, spread, values = len(key), 0, 0.0, 0.0, 0
+    while lo < n:
+        hi = min(lo + _CHUNK, n)
+        hi = int(np.searchsorted(key, ((key[hi - 1] >> bits) + 1) << bits))  # a value's rows stay together
+        part = key[lo:hi] >> bits
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        times = np.diff(np.append(first, hi - lo)).astype(float)
+        rp = lo + first + (times + 1) / 2.0 - (n + 1) / 2.0  # about their mean, whatever the ties
+        cross += float(np.add.reduceat(ry[key[lo:hi] & ((1 << bits) - 1)], first) @ rp)
+        spread += float((times * rp * rp).sum())
+        values, lo = values + len(first), hi
+    return cross, spread, values
+
+
 def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
-    """Metrics of a block of candidates on one fold of packed columns; labels are ranked once, predictions by one sorting each."""
+    """Metrics of a block of candidates on one fold of packed columns; labels are ranked once, predictions by one sorting each, in place, of whole numbers that hold the label's place too."""
 
     def scored(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         y, *c = (unpacked(part[n], np.float64) for n in ("__y", *(f"__c{k}" for k in range(grid.shape[1]))))
@@ -49,27 +65,44 @@ def _block_scores(grid: np.ndarray, blocks: int, kind: pa.DataType) -> Callable[
         (iy,), many = places(y)
         held = counted(iy, many)
         ry = value_ranks(held) - (n + 1) / 2.0  # about their mean, whatever the ties
-        spread_y, ry = float((held * ry * ry).sum()), ry[iy]
-        del iy, held
-        flat, dy = many < 2, y - y.mean()
-        yy, out = float(dy @ dy), []
+        spread_y, flat, my = float((held * ry * ry).sum()), many < 2, y.mean()
+        values = np.empty(many)
+        values[iy] = y
+        yy, bits, means = float((held * (values - my) ** 2).sum()), max(many - 1, 1).bit_length(), [x.mean() for x in c]
+        del y, held
+        at, out = np.empty(n, np.int64), []
+
+        def predicted(weights: np.ndarray, lo: int) -> np.ndarray:
+            p = weights[0] * c[0][lo : lo + _CHUNK]
+            for w, x in zip(weights[1:], c[1:], strict=True):
+                p += w * x[lo : lo + _CHUNK]
+            return np.round(p, 9, out=p)
+
         for i in range(block, len(grid), blocks):
-            p = grid[i][0] * c[0]
-            for w, x in zip(grid[i][1:], c[1:], strict=True):
-                p += w * x
-            np.round(p, 9, out=p)
-            order = np.argsort(p)
-            p = p[order]
-            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            both = np.add.reduceat(ry[order], first)
-            times = np.diff(np.append(first, n)).astype(float)
-            rp = value_ranks(times) - (n + 1) / 2.0
-            e, dp = p - y[order], p - p.mean()
-            none = flat or len(first) < 2
-            scc = None if none else float(both @ rp) / float(np.sqrt(spread_y * (times * rp * rp).sum()))
-            pcc = None if none else float(dp @ dy[order]) / float(np.sqrt((dp @ dp) * yy))
-            ee = float(e @ e) / n
-            out.append((i, n, scc, pcc, ee**0.5, float(np.abs(e).mean()), None if flat else 1 - ee / (yy / n)))
+            middle, sums, wide = float(grid[i] @ means), np.zeros(5), 0.0
+            for lo in range(0, n, _CHUNK):
+                p, own = predicted(grid[i], lo), values[iy[lo : lo + _CHUNK]]
+                e, dp = p - own, p - middle
+                sums += [dp.sum(), dp @ dp, dp @ (own - my), e @ e, np.abs(e).sum()]
+                p *= 1e9
+                wide = max(wide, np.abs(p).max())
+                with np.errstate(invalid="ignore"):
+                    at[lo : lo + _CHUNK] = np.rint(p, out=p)
+            low, high = int(at.min()), int(at.max())
+            if not wide < 1 << 53 or (high - low).bit_length() + bits > 63:  # whole numbers don't hold them: places do
+                (ip,), _ = places(np.concatenate([predicted(grid[i], lo) for lo in range(0, n, _CHUNK)]))
+                at[:], low = ip, 0
+                del ip
+            at -= low
+            at <<= bits
+            at |= iy
+            at.sort()
+            cross, spread, different = _rank_sums(at, bits, ry)
+            none = flat or different < 2
+            s, ss, sy, ee, ae = map(float, sums)
+            scc = None if none else cross / float(np.sqrt(spread_y * spread))
+            pcc = None if none else sy / float(np.sqrt((ss - s * s / n) * yy))
+            out.append((i, n, scc, pcc, (ee / n) ** 0.5, ae / n, None if flat else 1 - ee / yy))
         names = ["__w", "n", "SCC", "PCC", "RMSE", "MAE", "R2"]
         columns = {n: pa.array([r[k] for r in out], pa.int64() if k < 2 else pa.float64()) for k, n in enumerate(names)}
         return pa.table({"__fold": pa.array([key[0].as_py()] * len(out), kind)} | columns)
@@ -162,9 +195,14 @@ def _chosen(df: DataFrame) -> DataFrame:
 
 def select_policy(rows: DataFrame, step: float, folds: int = 4) -> DataFrame:
     """One row: D weights; D/B and D/B/C weights given D; the family that wins. rows: components of the inner folds."""
+    return policy_and_family(rows, step, folds)[0]
+
+
+def policy_and_family(rows: DataFrame, step: float, folds: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The policy, and the row of the family that wins with its means."""
     spark = rows.sparkSession
-    ids = rows.groupBy("record_id").agg(F.count_distinct("inner_fold").alias("n")).agg(F.max("n")).first()[0]
-    if ids != 1 or rows.select("inner_fold").distinct().count() != folds:
+    ids = rows.groupBy("record_id").agg(F.min("inner_fold").alias("lo"), F.max("inner_fold").alias("hi")).agg(F.count("lo").alias("known"), F.count_if(F.col("lo") != F.col("hi")).alias("many")).first()
+    if not ids["known"] or ids["many"] or rows.select("inner_fold").distinct().count() != folds:
         raise ValueError(f"{folds} disjoint inner folds are needed")
     d = _chosen(choose_weights(summarize(score_grid(rows, simplex_grid(spark, 3, step, (D_ORIGINAL,)), ["D_xgb", "D_lightgbm", "D_mlp"]), ["w1", "w2", "w3"], folds), D_ORIGINAL))
     made = with_d(rows, d)
@@ -172,9 +210,9 @@ def select_policy(rows: DataFrame, step: float, folds: int = 4) -> DataFrame:
     tri = _chosen(choose_weights(summarize(score_grid(made, simplex_grid(spark, 3, step, (TRI_ORIGINAL,)), ["D", "B", "C"]), ["w1", "w2", "w3"], folds), TRI_ORIGINAL))
     b, t = db.first(), tri.first()
     scored = family_scores(made, (b["w1"], b["w2"]), (t["w1"], t["w2"], t["w3"]))
-    fam = choose_family(summarize(scored, ["family"], folds), FAMILIES)
+    fam = cut(choose_family(summarize(scored, ["family"], folds), FAMILIES))
     pick = lambda x, p, n: x.select(*[F.col(f"w{k}").alias(f"{p}{k}") for k in range(1, n + 1)])
-    return pick(d, "d_w", 3).crossJoin(pick(db, "db_w", 2)).crossJoin(pick(tri, "tri_w", 3)).crossJoin(fam.select("family"))
+    return pick(d, "d_w", 3).crossJoin(pick(db, "db_w", 2)).crossJoin(pick(tri, "tri_w", 3)).crossJoin(fam.select("family")), fam
 
 
 def replay_selection(rows: DataFrame, stored: DataFrame, step: float, folds: int = 4, tolerance: float = 1e-10) -> DataFrame:
@@ -187,9 +225,14 @@ def replay_selection(rows: DataFrame, stored: DataFrame, step: float, folds: int
 
 
 def family_scores(made: DataFrame, db: tuple[float, float], tri: tuple[float, float, float]) -> DataFrame:
-    value = {"D": F.col("D"), "SEQ_MAPPING_XGB": F.col("SEQ_MAPPING_XGB"), "D_B": F.col("D") * db[0] + F.col("B") * db[1], "D_B_C": F.col("D") * tri[0] + F.col("B") * tri[1] + F.col("C") * tri[2]}
-    long = made.select("inner_fold", "y_true", F.explode(F.array(*[F.struct(F.lit(f).alias("family"), F.round(v, 9).alias("y_pred")) for f, v in value.items()])).alias("x")).select("inner_fold", "y_true", "x.*")
-    return five_metrics(long, ["family", "inner_fold"])
+    """Metrics of each family on each inner fold: candidates of one grid, whose components are D, SEQ_MAPPING_XGB, B and C. Values that are missing or not finite are an error."""
+    names = ["D", "SEQ_MAPPING_XGB", "B", "C"]
+    weights = {"D": (1.0, 0.0, 0.0, 0.0), "SEQ_MAPPING_XGB": (0.0, 1.0, 0.0, 0.0), "D_B": (db[0], 0.0, db[1], 0.0), "D_B_C": (tri[0], 0.0, tri[1], tri[2])}
+    columns = ", ".join(f"w{k + 1} double" for k in range(len(names)))
+    named = made.sparkSession.createDataFrame([(f, *map(float, w)) for f, w in weights.items()], f"family string, {columns}")
+    known = made.select("inner_fold", *[finite(c).alias(c) for c in ("y_true", *names)])
+    scores = score_grid(known, named.drop("family").distinct(), names)  # families of the same weights are one candidate
+    return scores.join(F.broadcast(named), [f"w{k + 1}" for k in range(len(names))]).select("family", "inner_fold", "n", "SCC", "PCC", "RMSE", "MAE", "R2")
 
 
 def apply_policy(rows: DataFrame, policy: DataFrame) -> DataFrame:
